@@ -1,0 +1,29 @@
+"""Sending a table to every task in bounded pieces."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def waves(df: DataFrame, keys: Sequence[str], rows: int) -> Iterator[pa.Table]:
+    """Arrow tables of about ``rows`` rows that together are exactly ``df``.
+
+    Rows of one key stay in one wave, chosen by hash of the key. One wave covers a
+    small table; a larger one costs one more pass over the other side per wave, with
+    flat memory. A key with more than ``rows`` rows still arrives whole.
+    """
+    df = df.persist()
+    try:
+        total = df.count()
+        n = max(1, -(-total // rows))
+        for i in range(n if total else 0):
+            part = df if n == 1 else df.where(F.pmod(F.xxhash64(*keys), F.lit(n)) == i)
+            table = part.toArrow()
+            if table.num_rows:
+                yield table
+    finally:
+        df.unpersist()
