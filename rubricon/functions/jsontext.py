@@ -82,27 +82,21 @@ def context_list(reply: Column) -> Column:
     )
 
 
-def tiered_facts(reply: Column) -> Column:
-    """Rubric reply as ``array<struct<tier, fact>>``, or NULL when the shape is unknown.
+def tiered_facts(value: Column) -> Column:
+    """Parsed rubric reply as ``array<struct<tier, fact>>``, or NULL when the shape is unknown.
+    Pass a column that holds the VARIANT, not its expression: it is read many times.
 
     Accepts an object of tier arrays, a list of ``{tier, facts}`` and a list of
     ``{fact, tier}``; the two list shapes cannot be mixed. Unknown tiers are dropped.
     """
-    value = find_json(reply)
     pair = lambda tier, fact: F.struct(tier.alias("tier"), fact.alias("fact"))
     no_facts = F.array().cast("array<string>")
 
-    by_tier = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(json_field(value, f"$.{t}", "array<string>"), no_facts),
-                    lambda f, t=t: pair(F.lit(t), f),
-                )
-                for t in ("critical", "important", "optional")
-            ]
-        )
-    )
+    def of_tier(t: str) -> Column:
+        listed = F.coalesce(json_field(value, f"$.{t}", "array<string>"), no_facts)
+        return F.transform(listed, lambda f: pair(F.lit(t), f))
+
+    by_tier = F.flatten(F.array(*[of_tier(t) for t in ("critical", "important", "optional")]))
     items = F.try_variant_get(value, "$", "array<variant>")
     tier = lambda i: F.lower(json_field(i, "$.tier", "string"))
     many = lambda i: json_field(i, "$.facts", "array<string>")

@@ -36,17 +36,13 @@ def tier_name(priority: Column) -> Column:
 
 def flat(records: DataFrame) -> DataFrame:
     """One row per criterion from a record's three arrays."""
-    items = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.col(t),
-                    lambda f, i, t=t: F.struct(F.lit(t).alias("tier"), i.alias("pos"), f.alias("fact")),
-                )
-                for t in TIERS
-            ]
+
+    def of_tier(t: str) -> Column:
+        return F.transform(
+            F.col(t), lambda f, i: F.struct(F.lit(t).alias("tier"), i.alias("pos"), f.alias("fact"))
         )
-    )
+
+    items = F.flatten(F.array(*[of_tier(t) for t in TIERS]))
     return records.select("question", F.inline(items))
 
 
@@ -196,6 +192,7 @@ def untraceable(original: DataFrame, repaired: DataFrame, gram: int = 3) -> Data
     r = repaired.select("question", "fact", F.lower("fact").alias("text")).distinct()
     open_r = r.join(o, ["question", "text"], "left_anti")
     texts = open_r.select("question", "text").distinct()
+    o = o.join(texts.select("question").distinct(), "question", "left_semi")
     inside = _contained(needles=texts, haystacks=o, gram=gram).select("question", F.col("needle").alias("text"))
     around = _contained(needles=o, haystacks=texts, gram=gram).select("question", F.col("haystack").alias("text"))
     traced = inside.unionByName(around).distinct()
@@ -203,45 +200,42 @@ def untraceable(original: DataFrame, repaired: DataFrame, gram: int = 3) -> Data
 
 
 def _contained(needles: DataFrame, haystacks: DataFrame, gram: int) -> DataFrame:
-    """(question, needle, haystack) with the needle inside the haystack. Texts shorter than
-    ``gram`` are anchored by their whole text."""
-
-    def grams(text: Column, size: int) -> Column:
-        chars = F.split(text, "")
-        return F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.length(text) - (size - 1)),
-                lambda i: F.array_join(F.slice(chars, i, F.lit(size)), ""),
-            )
-        )
-
-    def of_size(df, size):
-        return df.where(F.length("text") >= size)
-
-    out = None
-    for size in range(1, gram + 1):
-        need = of_size(needles, size)
-        if size < gram:
-            need = need.where(F.length("text") == size)
-        need = need.select("question", F.col("text").alias("needle"), F.explode(grams(F.col("text"), size)).alias("g"))
-        hay = of_size(haystacks, size).select(
-            "question", F.col("text").alias("haystack"), F.explode(grams(F.col("text"), size)).alias("g")
-        )
-        hay = hay.join(need.select("question", "g").distinct(), ["question", "g"], "left_semi")
+    """(question, needle, haystack) with the needle inside the haystack. Needles shorter than
+    ``gram`` are anchored by their whole text. Gram rows carry text hashes; the texts come
+    back for the final comparison, which also settles hash collisions."""
+    needles = needles.withColumn("nid", F.xxhash64("text"))
+    haystacks = haystacks.withColumn("hid", F.xxhash64("text"))
+
+    def grams(size: int) -> Column:
+        at = F.sequence(F.lit(1), F.length("text") - (size - 1))
+        return F.array_distinct(F.transform(at, lambda i: F.substring("text", i, F.lit(size))))
+
+    sizes = needles.select(F.least(F.length("text"), F.lit(gram)).alias("n")).distinct().collect()
+    found = None
+    for size in sorted(r["n"] for r in sizes if r["n"]):
+        length = F.length("text")
+        need = needles.where(length >= size if size == gram else length == size)
+        need = need.select("question", "nid", F.explode(grams(size)).alias("g"))
+        hay = haystacks.where(length >= size).select("question", "hid", F.explode(grams(size)).alias("g"))
         df = hay.groupBy("question", "g").agg(F.count(F.lit(1)).alias("df"))
         # A needle with a gram that no haystack holds cannot be contained anywhere.
-        seen = need.join(df, ["question", "g"], "left").groupBy("question", "needle").agg(
-            F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"),
-            F.min(F.coalesce("df", F.lit(0))).alias("df"),
-        )
-        found = (
-            seen.where(F.col("df") > 0)
-            .join(hay, ["question", "g"])
-            .where(F.contains("haystack", "needle"))
-            .select("question", "needle", "haystack")
+        rank = F.struct(F.coalesce("df", F.lit(0)), "g")
+        anchors = (
+            need.join(df, ["question", "g"], "left")
+            .groupBy("question", "nid")
+            .agg(F.min_by("g", rank).alias("g"), F.min(F.coalesce("df", F.lit(0))).alias("df"))
+            .where(F.col("df") > 0)
         )
-        out = found if out is None else out.unionByName(found)
-    return out
+        part = anchors.drop("df").join(hay, ["question", "g"]).select("question", "nid", "hid")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return needles.select("question", F.col("text").alias("needle"), F.col("text").alias("haystack")).limit(0)
+    return (
+        found.join(needles.withColumnRenamed("text", "needle"), ["question", "nid"])
+        .join(haystacks.withColumnRenamed("text", "haystack"), ["question", "hid"])
+        .where(F.contains("haystack", "needle"))
+        .select("question", "needle", "haystack")
+    )
 
 
 def tier_moves(original: DataFrame, repaired: DataFrame) -> DataFrame:
