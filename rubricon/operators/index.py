@@ -162,13 +162,7 @@ def proportional_sample(chunks: DataFrame, key: str, cap: int = CHUNK_CAP) -> Da
     chunk count, so the only extra work is that count.
     """
     counts = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    step = F.col("_n").cast("double") / F.lit(float(cap))
-    near = F.floor(F.col("chunk_idx") / step)
-    chosen = F.exists(
-        F.array(near, near + 1),
-        lambda i: (i < cap) & (F.floor(i.cast("double") * step) == F.col("chunk_idx")),
-    )
-    return chunks.join(counts, key).where((F.col("_n") <= cap) | chosen).drop("_n")
+    return chunks.join(counts, key).where((F.col("_n") <= cap) | _sampled(cap)).drop("_n")
 
 
 def sparse_fallback(chunks: DataFrame, texts: DataFrame, key: str, least: int = SPARSE_CHUNKS) -> DataFrame:
@@ -179,6 +173,30 @@ def sparse_fallback(chunks: DataFrame, texts: DataFrame, key: str, least: int =
     )
 
 
+def document_chunks(
+    texts: DataFrame, key: str, least: int = SPARSE_CHUNKS, cap: int = CHUNK_CAP
+) -> DataFrame:
+    """Chunks of ``(<key>, text, raw_text)`` documents: the split of the labelled text, or of the
+    raw text where that gives fewer than ``least`` chunks, evenly sampled to ``cap``. Counts
+    are array sizes here, so nothing is shuffled."""
+    split = make_splitter()
+    rows = texts.withColumn("_s", split(F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("_r", split(F.when(F.size("_s") < least, F.col("raw_text"))))
+    chosen = rows.select(key, F.when(F.size("_s") >= least, F.col("_s")).otherwise(F.col("_r")).alias("_c"))
+    out = chosen.select(key, F.size("_c").alias("_n"), F.posexplode("_c").alias("chunk_idx", "text"))
+    return out.where((F.col("_n") <= cap) | _sampled(cap)).drop("_n")
+
+
+def _sampled(cap: int) -> Column:
+    """Whether ``chunk_idx`` is ``int(i * _n / cap)`` for some ``i`` below ``cap``."""
+    step = F.col("_n").cast("double") / F.lit(float(cap))
+    near = F.floor(F.col("chunk_idx") / step)
+    return F.exists(
+        F.array(near, near + 1),
+        lambda i: (i < cap) & (F.floor(i.cast("double") * step) == F.col("chunk_idx")),
+    )
+
+
 def filing_metadata(text: Column) -> list[Column]:
     return [filing_type(text).alias("filing_type"), filing_period(text).alias("period")]
 

@@ -49,3 +49,11 @@ def durable(df):
     """Cut lineage through reliable storage; survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df, name: str):
+    """Write a costly intermediate table once to the shared folder and read it back, so that
+    later passes prune columns and lost executors repeat nothing before it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
