@@ -160,9 +160,9 @@ def _candidates(t):
     )
 
 
-@query("fused_candidates", _HYBRID + "SELECT query_id, chunk_id, round(rrf, 9) AS rrf, fused_rank FROM candidates")
+@query("fused_candidates", _HYBRID + "SELECT query_id, chunk_id, rrf, fused_rank FROM candidates")
 def _(t):
-    return _candidates(t).withColumn("rrf", F.round("rrf", 9))
+    return _candidates(t)
 
 
 _RERANKED = """, reranked AS (SELECT c.*, round(1000.0 / n_chars, 6) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(1000.0 / n_chars, 6) DESC, fused_rank) - 1 AS INT) AS rerank_rank
