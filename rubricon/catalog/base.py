@@ -71,15 +71,18 @@ class Tables:
             (F.col("l_linestatus") == "F").alias("met"),
         )
 
-    def verdicts(self) -> DataFrame:
-        """criteria with model, category and hallucination of the question"""
-        q = self.orders.select(
+    def questions(self) -> DataFrame:
+        """question, model, category, hallucination: one row per order"""
+        return self.orders.select(
             F.col("o_orderkey").alias("question"),
             F.col("o_orderpriority").alias("model"),
             category_of("o_orderpriority").alias("category"),
             (F.col("o_orderstatus") == "P").alias("hallucination"),
         )
-        return self.criteria().join(q, "question")
+
+    def verdicts(self) -> DataFrame:
+        """criteria with model, category and hallucination of the question"""
+        return self.criteria().join(self.questions(), "question")
 
     def facts(self) -> DataFrame:
         """question, category, model, pos, fact: one claim per order"""

@@ -29,7 +29,7 @@ _ROLL = """SELECT model, question, category, h AS hallucination_detected, ce AS
 
 
 def _rolled(t, **kw):
-    return grading.roll_up(t.verdicts(), ["model", "question"], **kw)
+    return grading.roll_up(t.criteria(), ["question"], t.questions(), **kw)
 
 
 def _shown(df):
@@ -271,7 +271,7 @@ def _(t):
 )
 def _(t):
     """From criteria and judge replies to the gated run summary in one plan."""
-    from rubricon.catalog.base import category_of, tier_of
+    from rubricon.catalog.base import tier_of
 
     criteria = t.lineitem.select(
         F.col("l_orderkey").alias("question"), F.col("l_partkey").alias("part"), tier_of("l_returnflag").alias("tier")
@@ -282,10 +282,4 @@ def _(t):
         F.lit("").alias("reason"),
         F.lit(None).cast("string").alias("failure"),
     )
-    questions = t.orders.select(
-        F.col("o_orderkey").alias("question"),
-        F.col("o_orderpriority").alias("model"),
-        category_of("o_orderpriority").alias("category"),
-        (F.col("o_orderstatus") == "P").alias("hallucination"),
-    )
-    return grade_answers(criteria, questions, replies, ["part"])["gated_summary"]
+    return grade_answers(criteria, t.questions(), replies, ["part"])["gated_summary"]

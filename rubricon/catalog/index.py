@@ -95,17 +95,13 @@ def _(t):
 
 @query(
     "blocks_without_adjacent_repeats",
-    """WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS block_idx,
-    l_returnflag AS text FROM lineitem)
-  SELECT doc_id, CAST(block_idx AS INT) AS block_idx, text FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY block_idx) AS prev FROM l) WHERE prev IS NULL OR prev <> text""",
+    """WITH l AS (SELECT doc_id, CAST(i AS INT) AS block_idx, parts[i + 1] AS text FROM
+    (SELECT doc_id, string_split(text, ' ') AS parts FROM documents), LATERAL (SELECT unnest(range(len(parts))) AS i))
+  SELECT doc_id, block_idx, text FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY block_idx) AS prev FROM l) WHERE prev IS NULL OR prev <> text""",
 )
 def _(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    blocks = t.lineitem.select(
-        F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).alias("block_idx"), F.col("l_returnflag").alias("text")
-    )
+    """Words of a document as blocks; a word equal to the one before it goes."""
+    blocks = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("block_idx", "text"))
     return index.without_adjacent_repeats(blocks, "doc_id")
 
 

@@ -117,8 +117,8 @@ def _(t):
 
 @query("unnested_bars", with_(_BARS) + "SELECT symbol, date, close, volume FROM bars")
 def _(t):
-    """Bars packed per ticker as a payload and taken out again."""
-    packed = _bars(t).groupBy(F.col("symbol").alias("ticker")).agg(F.collect_list(F.struct("date", "close", "volume")).alias("priceData"))
+    """Bars packed per ticker and month as a payload and taken out again."""
+    packed = _bars(t).groupBy(F.col("symbol").alias("ticker"), F.trunc("date", "month").alias("month")).agg(F.collect_list(F.struct("date", "close", "volume")).alias("priceData"))
     return prices.unnested(packed)
 
 

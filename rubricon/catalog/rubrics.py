@@ -254,7 +254,7 @@ def _(t):
     return rubrics.tier_churn(t.original(), t.repaired())
 
 
-_ATTEMPTS = """attempts AS (SELECT l_orderkey AS question, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS attempt,
+_ATTEMPTS = """attempts AS (SELECT l_orderkey AS question, CAST(l_linenumber AS BIGINT) * 100000000000 + l_partkey * 10000 + l_suppkey AS attempt,
   CASE WHEN l_discount >= 0.1 THEN 'failed' WHEN l_tax >= 0.08 THEN 'invented' WHEN l_tax <= 0.0 THEN 'unchecked' ELSE 'ok' END AS status,
   round(l_quantity / 60, 2) AS score FROM lineitem),
 originals AS (SELECT o_orderkey AS question, CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice / 600000, 2) END AS original_score FROM orders),
@@ -269,7 +269,7 @@ which AS (SELECT c.question, min(c.attempt) AS best_attempt FROM cut c JOIN best
 @query(
     "best_attempt",
     with_(_ATTEMPTS)
-    + """SELECT o.question, original_score, CAST(best_attempt AS INT) AS best_attempt, best_score, CAST(coalesce(used, 0) AS INT) AS attempts_used,
+    + """SELECT o.question, original_score, best_attempt, best_score, coalesce(used, 0) AS attempts_used,
   coalesce(best_score > coalesce(original_score, 0), false) AS repaired,
   CASE WHEN best_score > coalesce(original_score, 0) THEN best_score ELSE coalesce(original_score, 0) END AS final_score,
   CASE WHEN best_score IS NULL THEN 'reverted' WHEN best_score > coalesce(original_score, 0) THEN 'repaired' ELSE 'kept_original' END AS outcome
@@ -277,12 +277,9 @@ which AS (SELECT c.question, min(c.attempt) AS best_attempt FROM cut c JOIN best
 )
 def _(t):
     """Line items of an order are its repair attempts."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     attempts = t.lineitem.select(
         F.col("l_orderkey").alias("question"),
-        F.row_number().over(w).alias("attempt"),
+        (F.col("l_linenumber").cast("long") * 100_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("attempt"),
         F.when(F.col("l_discount") >= 0.1, "failed")
         .when(F.col("l_tax") >= 0.08, "invented")
         .when(F.col("l_tax") <= 0.0, "unchecked")

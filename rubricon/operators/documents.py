@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.functions.text import slice_text
-from rubricon.operators.grouping import first_by
+from rubricon.operators.grouping import exploded, first_by
 
 # Reference form, and text kept when a document has no index.
 KEY_PATTERN = r"\{\{([^{}]+)\}\}"
@@ -32,7 +32,7 @@ def plain_key(key: Column) -> Column:
 def references(prompts: DataFrame) -> DataFrame:
     """One row per reference: ``prompt_id, ref_pos, ref``."""
     found = F.regexp_extract_all(F.col("prompt"), F.lit(KEY_PATTERN), F.lit(1))
-    return prompts.select("prompt_id", F.posexplode(found).alias("ref_pos", "ref"))
+    return exploded(prompts, ["prompt_id"], found, "ref_pos", "ref")
 
 
 def resolve_keys(prompts: DataFrame, store: DataFrame) -> DataFrame:
@@ -68,9 +68,8 @@ def fill_prompts(prompts: DataFrame, store: DataFrame, ranges: DataFrame | None
     """
     literals = F.split("prompt", KEY_PATTERN)
     refs = F.regexp_extract_all(F.col("prompt"), F.lit(KEY_PATTERN), F.lit(1))
-    parts = prompts.select(
-        "prompt_id", F.size(refs).alias("n_refs"), F.posexplode(F.arrays_zip(literals.alias("lit"), refs.alias("key"))).alias("pos", "_p")
-    ).select("prompt_id", "n_refs", "pos", F.col("_p.lit").alias("lit"), F.col("_p.key").alias("key"))
+    zipped = F.arrays_zip(literals.alias("lit"), refs.alias("key"))
+    parts = exploded(prompts, ["prompt_id", F.size(refs).alias("n_refs")], zipped, "pos", "_p").select("prompt_id", "n_refs", "pos", F.col("_p.lit").alias("lit"), F.col("_p.key").alias("key"))
     docs = parts.join(store.select("key", F.col("text").alias("doc")), "key", "left")
     unused = None
     if ranges is not None:

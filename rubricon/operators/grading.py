@@ -110,25 +110,40 @@ def _tier(tier: str) -> Column:
     return F.col("tier") == tier
 
 
-def roll_up(verdicts: DataFrame, keys: Sequence[str], signed_penalty: bool = False) -> DataFrame:
-    """Weighted, penalised and normalised score per question.
-
-    Rows carry ``category`` and ``hallucination`` (constant per question). The counting
-    is one aggregate with map-side combine; the weights come in afterwards, on one row
-    per question. ``signed_penalty`` adds the stored weight instead of deducting its
-    size.
+def roll_up(
+    verdicts: DataFrame, keys: Sequence[str], questions: DataFrame | None = None, signed_penalty: bool = False
+) -> DataFrame:
+    """Weighted, penalised and normalised score per key.
+
+    ``category`` and ``hallucination`` come from the verdict rows, or from ``questions(<keys>,
+    ..., category, hallucination)``. Criteria are counted first, in one aggregate with
+    map-side combine, and only the one row per key meets the questions and the weights: a
+    question with very many criteria costs no more than its share of the scan.
+    ``signed_penalty`` adds the stored weight instead of deducting its size.
     """
-    counted = verdicts.groupBy(*keys).agg(
-        F.first("category", ignorenulls=True).alias("category"),
-        F.max("hallucination").alias("hallucination_detected"),
+    counts = [
         *[F.count_if(_tier(t) & F.col("met")).alias(f"_{t}_met") for t in TIERS],
         *[F.count_if(_tier(t)).alias(f"_{t}_all") for t in TIERS],
-    )
+    ]
+    if questions is None:
+        counted = verdicts.groupBy(*keys).agg(
+            F.first("category", ignorenulls=True).alias("category"),
+            F.max("hallucination").alias("hallucination_detected"),
+            *counts,
+        )
+        shown = list(keys)
+    else:
+        counted = (
+            verdicts.groupBy(*keys)
+            .agg(*counts)
+            .join(questions.withColumnRenamed("hallucination", "hallucination_detected"), list(keys))
+        )
+        shown = [c for c in questions.columns if c not in ("category", "hallucination")]
     w = with_weights(counted)
     weight = lambda t: F.coalesce(F.col(f"weights.{t}"), F.lit(0.0))
     penalty = weight("hallucination") if signed_penalty else -F.abs(weight("hallucination"))
     out = w.select(
-        *keys,
+        *shown,
         "category",
         "hallucination_detected",
         *[(F.col(f"_{t}_met") * weight(t)).alias(f"{t}_earned") for t in TIERS],

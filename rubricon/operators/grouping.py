@@ -43,13 +43,42 @@ def _pick(df, keys, order, chooser):
     )
 
 
-def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Evaluate once. Up to ``max_rows`` rows come back as a broadcastable local
-    relation; anything larger is checkpointed and joined by shuffle."""
+def exploded(df: DataFrame, keep: Sequence[str | Column], items: Column, pos: str, value: str) -> DataFrame:
+    """One row per array item. A plain explode makes the optimizer test the array for emptiness
+    at the scan, which evaluates a costly array expression twice; the outer form does not."""
+    return df.select(*keep, F.posexplode_outer(items).alias(pos, value)).where(F.col(pos).isNotNull())
+
+
+def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """Evaluate once. Up to ``max_rows`` rows come back as a local relation and True; anything
+    larger is checkpointed and comes with False."""
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
-    return durable(df)
+        return df.sparkSession.createDataFrame(head, schema=df.schema), True
+    return durable(df), False
+
+
+def salted_join(
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str | Column], how: str = "inner", salts: int = 16
+) -> DataFrame:
+    """Join rows with a lookup of one row per key where a key may own much of the rows.
+
+    Rows of a key are dealt over ``salts`` partitions by the ``spread`` columns and the lookup
+    is repeated for each. An aggregate on the key after the join still combines on the map
+    side, since its input is no longer partitioned by the key alone.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, small: bool, on: Sequence[str], spread: Sequence[str | Column], how: str = "inner"
+) -> DataFrame:
+    """Broadcast a lookup that was measured to be small, else deal the rows over salts."""
+    if small:
+        return rows.join(F.broadcast(lookup), list(on), how)
+    return salted_join(rows, lookup, on, spread, how)
 
 
 def score_summary(
@@ -66,7 +95,7 @@ def score_summary(
     rows = df.select(*group, F.col(value).cast("double").alias("_v"))
     for g in group:
         rows = rows.where(F.col(g).isNotNull())
-    stats = pinned(
+    stats, small = pinned(
         rows.groupBy(*group).agg(
             F.avg("_v").alias("mean_score"),
             F.min("_v").alias("min_score"),
@@ -76,10 +105,11 @@ def score_summary(
         )
     )
     inside = F.when(F.col("_v").between(F.col("_b")[0], F.col("_b")[1]), F.col("_v"))
+    bracketed = lookup_join(
+        rows.where(F.col("_v").isNotNull()), stats.select(*group, "_b"), small, group, ["_v"]
+    )
     counted = (
-        rows.where(F.col("_v").isNotNull())
-        .join(stats.select(*group, "_b"), group)
-        .groupBy(*group, inside.alias("_in"))
+        bracketed.groupBy(*group, inside.alias("_in"))
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.count_if(F.col("_v") < F.col("_b")[0]).alias("_below"),

@@ -19,7 +19,7 @@ from rubricon.functions.text import (
     trim_space,
     url_key,
 )
-from rubricon.operators.grouping import first_by
+from rubricon.operators.grouping import exploded
 
 # Least block length, length from which repeats are dropped, caps.
 BLOCK_CHARS, REPEAT_CHARS = 40, 500
@@ -50,7 +50,7 @@ def page_text_and_blocks(pages: DataFrame) -> DataFrame:
 
 
 def block_rows(parsed: DataFrame, key: str) -> DataFrame:
-    return parsed.select(key, F.posexplode("blocks").alias("block_idx", "_b")).select(
+    return exploded(parsed, [key], F.col("blocks"), "block_idx", "_b").select(
         key, "block_idx", F.col("_b.tag").alias("tag"), F.col("_b.text").alias("text")
     )
 
@@ -134,7 +134,7 @@ def labelled_text(parsed: DataFrame, key: str) -> DataFrame:
 
 def chunk_rows(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
     split = make_splitter()
-    return texts.select(key, F.posexplode(split(F.col(column))).alias("chunk_idx", "text"))
+    return exploded(texts, [key], split(F.col(column)), "chunk_idx", "text")
 
 
 def word_window_rows(
@@ -183,7 +183,7 @@ def document_chunks(
     rows = texts.withColumn("_s", split(F.coalesce("text", F.lit(""))))
     rows = rows.withColumn("_r", split(F.when(F.size("_s") < least, F.col("raw_text"))))
     chosen = rows.select(key, F.when(F.size("_s") >= least, F.col("_s")).otherwise(F.col("_r")).alias("_c"))
-    out = chosen.select(key, F.size("_c").alias("_n"), F.posexplode("_c").alias("chunk_idx", "text"))
+    out = exploded(chosen, [key, F.size("_c").alias("_n")], F.col("_c"), "chunk_idx", "text")
     return out.where((F.col("_n") <= cap) | _sampled(cap)).drop("_n")
 
 
@@ -237,7 +237,7 @@ def publishable(chunks: DataFrame, key: str, share: float = PREFIX_SHARE) -> Dat
 def postings(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Term counts per chunk."""
     return (
-        chunks.select(*keys, F.explode(tokens(F.col("text"))).alias("term"))
+        exploded(chunks, keys, tokens(F.col("text")), "_i", "term")
         .groupBy(*keys, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -246,7 +246,7 @@ def postings(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
 def term_stats(chunks: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Chunks per term. Terms are made distinct inside their chunk before the shuffle."""
     return (
-        chunks.select(*scope, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+        exploded(chunks, scope, F.array_distinct(tokens(F.col("text"))), "_i", "term")
         .groupBy(*scope, "term")
         .agg(F.count(F.lit(1)).alias("df"))
     )

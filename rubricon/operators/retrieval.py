@@ -16,11 +16,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubricon.functions.text import exact_terms, tokens
-from rubricon.operators.grouping import numbered, top_k
+from rubricon.operators.grouping import exploded, lookup_join, numbered, pinned, top_k
 from rubricon.operators.index import corpus_stats, term_stats
 from rubricon.operators.waves import waves
 
@@ -77,8 +78,9 @@ def query_weights(chunks: DataFrame, queries: DataFrame, scope: str) -> DataFram
     The weight is the term's inverse document frequency times its repetitions in the
     query; a negative frequency weight is replaced by a quarter of the corpus mean.
     """
-    wanted = queries.select(scope).distinct()
-    corpus = chunks.join(wanted, scope, "left_semi")
+    # One corpus may hold most chunks, so they are never partitioned by scope.
+    wanted, small = pinned(queries.select(scope).distinct())
+    corpus = lookup_join(chunks, wanted, small, [scope], ["chunk_id"], "left_semi")
     size = corpus_stats(corpus, [scope])
     idf = (
         term_stats(corpus, [scope])
@@ -87,7 +89,7 @@ def query_weights(chunks: DataFrame, queries: DataFrame, scope: str) -> DataFram
     )
     mean = idf.groupBy(scope).agg(F.avg("idf").alias("mean_idf"))
     terms = (
-        queries.select(scope, "query_id", F.explode(tokens(F.col("text"))).alias("term"))
+        exploded(queries, [scope, "query_id"], tokens(F.col("text")), "_i", "term")
         .groupBy(scope, "query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
@@ -190,7 +192,7 @@ def dense_channel(
         ids = part["query_id"].to_numpy()
         matrix = np.array(part["vector"].to_pylist(), dtype=np.float64)
         shared = spark.sparkContext.broadcast((ids, matrix))
-        parts.append(vectors.select("chunk_id", "vector").mapInPandas(_score_dense(shared, k), HITS))
+        parts.append(vectors.select("chunk_id", "vector").mapInArrow(_score_dense(shared, k), HITS))
     return _ranked(_union(parts, spark, HITS), k)
 
 
@@ -199,13 +201,15 @@ def _score_dense(shared, k):
         ids, matrix = shared.value
         best = {q: _Best(k) for q in ids}
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            scores = np.stack(batch["vector"].to_numpy()).astype(np.float64) @ matrix.T
-            chunk_ids = batch["chunk_id"].to_numpy()
+            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
+            scores = flat.reshape(batch.num_rows, -1).astype(np.float64) @ matrix.T
+            chunk_ids = batch.column("chunk_id").to_numpy()
             for c, q in enumerate(ids):
                 best[q].offer(scores[:, c], chunk_ids)
-        yield _emit(best)
+        frame = _emit(best).astype({"query_id": "int64", "chunk_id": "int64", "score": "float64"})
+        yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
     return run
 
@@ -226,7 +230,7 @@ def verbatim_hits(chunks: DataFrame, queries: DataFrame, scope: str, wave_rows:
     All terms of a wave are found in one pass over the text; only chunks with a hit are
     emitted.
     """
-    terms = queries.select(scope, "query_id", F.explode(exact_terms(F.col("text"))).alias("term"))
+    terms = exploded(queries, [scope, "query_id"], exact_terms(F.col("text")), "_i", "term").drop("_i")
     spark = chunks.sparkSession
     parts = []
     source = chunks.select(F.col(scope).alias("scope"), "chunk_id", F.lower("text").alias("text"))

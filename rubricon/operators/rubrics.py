@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rubricon.functions.text import fold_space, signals
 from rubricon.operators.grading import CATEGORIES, TIERS
-from rubricon.operators.grouping import first_by, last_by
+from rubricon.operators.grouping import exploded, first_by, last_by, salted_join
 
 # Thresholds of the quality gate, of routing and of the shape warning.
 QUALITY_THRESHOLD = 0.70
@@ -99,9 +99,12 @@ def repaired_assignment(rubric: DataFrame, facts: DataFrame) -> DataFrame:
         ["question", "_f"],
         ["_p", "_fact"],
     )
+    # Copies of one criterion collapse before the join.
+    induced = first_by(
+        rubric.select("question", "tier", "pos", fold(F.col("fact")).alias("_f")), ["question", "tier", "_f"], ["pos"]
+    )
     mapped = (
-        rubric.withColumn("_f", fold(F.col("fact")))
-        .join(originals, ["question", "_f"])
+        induced.join(originals, ["question", "_f"])
         .select("question", "tier", "pos", F.col("_fact").alias("fact"))
     )
     kept = first_by(mapped, ["question", "tier", "fact"], ["pos"])
@@ -170,11 +173,10 @@ def resolve_contradictions(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def invented_figures(original: DataFrame, repaired: DataFrame) -> DataFrame:
     """Repaired facts with a figure that occurs nowhere in the original rubric of the question."""
-    known = original.select("question", F.explode(signals(F.col("fact"))).alias("figure")).distinct()
+    known = exploded(original, ["question"], signals(F.col("fact")), "_i", "figure").drop("_i").distinct()
+    facts = repaired.select("question", "fact").distinct()
     return (
-        repaired.select("question", "fact")
-        .distinct()
-        .select("question", "fact", F.explode(signals(F.col("fact"))).alias("figure"))
+        exploded(facts, ["question", "fact"], signals(F.col("fact")), "_i", "figure")
         .join(known, ["question", "figure"], "left_anti")
         .groupBy("question", "fact")
         .agg(F.count(F.lit(1)).alias("new_figures"))
@@ -215,8 +217,8 @@ def _contained(needles: DataFrame, haystacks: DataFrame, gram: int) -> DataFrame
     for size in sorted(r["n"] for r in sizes if r["n"]):
         length = F.length("text")
         need = needles.where(length >= size if size == gram else length == size)
-        need = need.select("question", "nid", F.explode(grams(size)).alias("g"))
-        hay = haystacks.where(length >= size).select("question", "hid", F.explode(grams(size)).alias("g"))
+        need = exploded(need, ["question", "nid"], grams(size), "_i", "g").drop("_i")
+        hay = exploded(haystacks.where(length >= size), ["question", "hid"], grams(size), "_i", "g").drop("_i")
         df = hay.groupBy("question", "g").agg(F.count(F.lit(1)).alias("df"))
         # A needle with a gram that no haystack holds cannot be contained anywhere.
         rank = F.struct(F.coalesce("df", F.lit(0)), "g")
@@ -270,14 +272,14 @@ def best_attempt(originals: DataFrame, attempts: DataFrame, threshold: float = Q
 
     ``attempts(question, attempt, status, score)`` with status ``ok``, ``invented`` (figures
     not in the original), ``unchecked`` (no quality score) or ``failed`` (no repair; ends
-    the attempts). Attempts end at the first score that reaches the threshold. The best
+    the attempts); ``attempt`` is unique within a question. Attempts end at the first score that reaches the threshold. The best
     score counts, the earliest on ties, and only if it beats the original. Everything
     is one aggregate per question because an attempt that reaches the threshold beats
     all before it.
     """
     ended = attempts.where(F.col("status") == "failed").groupBy("question").agg(F.min("attempt").alias("_end"))
     ok = F.col("status") == "ok"
-    live = attempts.join(ended, "question", "left").where(F.col("_end").isNull() | (F.col("attempt") <= F.col("_end")))
+    live = salted_join(attempts, ended, ["question"], ["attempt"], "left").where(F.col("_end").isNull() | (F.col("attempt") <= F.col("_end")))
     passed = ok & (F.col("score") >= threshold)
     agg = live.groupBy("question").agg(
         F.min(F.when(passed, F.col("attempt"))).alias("_stop"),

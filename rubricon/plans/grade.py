@@ -15,8 +15,8 @@ def grade_answers(
     """``criteria(question, tier, ...)``, ``questions(question, model, category, hallucination)``
     and ``replies(<keys>, met, reason, failure)`` to verdicts, scores, gated scores and
     both summaries."""
-    verdicts = grading.attach_verdicts(criteria, replies, reply_keys).join(questions, "question")
-    scores = grading.roll_up(verdicts, ["model", "question"])
+    verdicts = grading.attach_verdicts(criteria, replies, reply_keys)
+    scores = grading.roll_up(verdicts, ["question"], questions)
     gated = grading.gate(scores, dealbreaker)
     return {
         "verdicts": verdicts,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rubricon.functions.jsontext import find_json, tiered_facts
 from rubricon.operators import rubrics
+from rubricon.operators.grouping import exploded
 from rubricon.session import durable
 
 
@@ -17,7 +18,7 @@ def rubric_from_replies(replies: DataFrame, facts: DataFrame) -> DataFrame:
     ``(question, pos, fact)``, put back onto the facts so that none is lost or invented."""
     parsed = replies.select("question", find_json(F.col("content")).alias("value"))
     tiered = parsed.select("question", tiered_facts(F.col("value")).alias("_t"))
-    induced = tiered.select("question", F.posexplode("_t").alias("pos", "_c")).select("question", F.col("_c.tier").alias("tier"), "pos", F.col("_c.fact").alias("fact"))
+    induced = exploded(tiered, ["question"], F.col("_t"), "pos", "_c").select("question", F.col("_c.tier").alias("tier"), "pos", F.col("_c.fact").alias("fact"))
     return rubrics.repaired_assignment(induced, facts)
 
 
