@@ -23,18 +23,21 @@ def _rest(df: DataFrame, keys: Sequence[str]) -> list[str]:
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Keep the first row of every key. ``order`` must be total within a key."""
-    return _pick(df, keys, order, F.min_by)
+    return _pick(df, keys, order, F.min_by, F.min)
 
 
 def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Keep the last row of every key. ``order`` must be total within a key."""
-    return _pick(df, keys, order, F.max_by)
+    return _pick(df, keys, order, F.max_by, F.max)
 
 
-def _pick(df, keys, order, chooser):
+def _pick(df, keys, order, chooser, extreme):
     rest = _rest(df, keys)
     if not rest:
         return df.distinct()
+    if len(rest) == 1 and len(order) == 1 and isinstance(order[0], str) and rest[0] == order[0]:
+        # A plain minimum or maximum aggregates by hash without sorting.
+        return df.groupBy(*keys).agg(extreme(rest[0]).alias(rest[0])).select(*df.columns)
     return (
         df.groupBy(*keys)
         .agg(chooser(F.struct(*rest), F.struct(*order)).alias("_row"))
@@ -49,6 +52,13 @@ def exploded(df: DataFrame, keep: Sequence[str | Column], items: Column, pos: st
     return df.select(*keep, F.posexplode_outer(items).alias(pos, value)).where(F.col(pos).isNotNull())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal an input with fewer splits than cores over all cores before costly row work. Inputs
+    with enough splits, as any large table has, are returned as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Evaluate once. Up to ``max_rows`` rows come back as a local relation and True; anything
     larger is checkpointed and comes with False."""

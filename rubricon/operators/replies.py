@@ -6,6 +6,7 @@ and reads ``request_id, stage, attempt, status, finish_reason, content`` back.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -26,11 +27,12 @@ def request_rows(df: DataFrame, stage: str, keys: list[str], prompt: Column) ->
 
 
 def render(template: str, **values: Column) -> Column:
-    """Template text with ``{name}`` filled from columns, each once and without rescanning."""
-    import re
-
+    """Template text with ``{name}`` filled from columns, each once and without rescanning. Other
+    braces stay as they are."""
     parts, at = [], 0
     for m in re.finditer(r"\{(\w+)\}", template):
+        if m.group(1) not in values:
+            continue
         parts += [F.lit(template[at : m.start()]), F.coalesce(values[m.group(1)].cast("string"), F.lit(""))]
         at = m.end()
     return F.concat(*parts, F.lit(template[at:]))
