@@ -13,6 +13,7 @@ from rubricon.functions.jsontext import (
     json_kind,
 )
 from rubricon.operators import index
+from rubricon.operators.replies import reply_or
 from rubricon.plans.build_index import build_index
 
 _L = with_(LINES)
@@ -176,6 +177,20 @@ def _(t):
     return t.documents.select("doc_id", F.md5(tx.document_sample(F.col("text"))).alias("sample_md5"))
 
 
+@query(
+    "summaries_or_heads",
+    """SELECT doc_id, md5(CASE WHEN quality = 1 THEN 'summary of ' || doc_id ELSE left(text, 2000) END) AS summary_md5
+  FROM documents LEFT JOIN labels USING (doc_id)""",
+)
+def _(t):
+    """Documents with a good label have a summary reply; the others use their first 2000 characters."""
+    told = t.labels.where(F.col("quality") == 1).select(
+        "doc_id", F.concat(F.lit("summary of "), F.col("doc_id").cast("string")).alias("content")
+    )
+    rows = reply_or(t.documents.select("doc_id", "text"), told, ["doc_id"], "summary", F.left("text", F.lit(2000)))
+    return rows.select("doc_id", F.md5("summary").alias("summary_md5"))
+
+
 _ROWS = """rows AS (SELECT doc_id, block_idx AS chunk_idx, text FROM lines),
 prefix AS (SELECT doc_id, chunk_idx, CASE WHEN doc_id % 3 = 0 THEN '' WHEN chunk_idx % 2 = 0 THEN ' about ' || doc_id || ' ' END AS prefix FROM rows),
 joined AS (SELECT doc_id, chunk_idx, trim(coalesce(prefix, '')) AS prefix, text FROM rows JOIN prefix USING (doc_id, chunk_idx))"""

@@ -255,6 +255,17 @@ def _(t):
     return matching.fuzzy_match(norm.select("norm").distinct(), grades).withColumn("ratio", F.round("ratio", 6))
 
 
+@query("turn_similarity")
+def _(t):
+    """Similarity of every turn with the next one of its conversation."""
+    from rubricon.functions.text import make_similarity
+
+    turn = t.conversations.select("conv_id", "turn", "text")
+    following = turn.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
+    pairs = turn.join(following, ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", F.round(make_similarity()("text", "next_text"), 6).alias("ratio"))
+
+
 @query("report_overview")
 def _(t):
     """All report tables in one long frame."""

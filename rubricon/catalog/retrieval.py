@@ -214,10 +214,18 @@ def _(t):
     return retrieval.passages(_top(t), document_order=True)
 
 
-@query("retrieved_contexts")
+_CONTEXT = """, isl AS (SELECT query_id, chunk_id AS chunk_idx, rerank_rank AS r, chunk_id - row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS isl FROM reranked),
+  st AS (SELECT a.query_id, a.isl, a.chunk_idx AS start, a.r FROM isl a WHERE NOT EXISTS
+    (SELECT 1 FROM isl b WHERE b.query_id = a.query_id AND b.isl = a.isl AND b.r < a.r AND b.chunk_idx <= a.chunk_idx)),
+  ps AS (SELECT st.query_id, st.r, string_agg(text, chr(10) || '[Contiguous Block Extension]' || chr(10) ORDER BY m.chunk_idx) AS passage
+    FROM st JOIN isl m ON m.query_id = st.query_id AND m.isl = st.isl AND m.chunk_idx >= st.start JOIN documents ON doc_id = m.chunk_idx GROUP BY 1, 2)
+  SELECT query_id, count(*) AS passages, md5(string_agg(passage, chr(10) || chr(10) || '[... Structural Fragment Break ...]' || chr(10) || chr(10) ORDER BY r)) AS context_md5 FROM ps GROUP BY 1"""
+
+
+@query("retrieved_contexts", _HYBRID + _RERANKED + _CONTEXT)
 def _(t):
     """Context text per benchmark query after all channels, fusion, rerank and merging."""
-    return retrieve(
+    out = retrieve(
         _docs(t),
         _items(t),
         "scope",
@@ -225,6 +233,8 @@ def _(t):
         query_vectors=_item_vectors(t),
         rerank_scores=lambda c: _rerank_scores(t, c),
     )
+    breaks = (F.length("context") - F.length(F.replace("context", F.lit(retrieval.BREAK_MARK)))) / len(retrieval.BREAK_MARK)
+    return out.select("query_id", (breaks + 1).cast("long").alias("passages"), F.md5("context").alias("context_md5"))
 
 
 # --- stored documents and prompts ------------------------------------------------------

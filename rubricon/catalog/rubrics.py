@@ -489,3 +489,50 @@ def _(t):
     )
     facts = t.lineitem.groupBy(F.col("l_orderkey").alias("question"), fact.alias("fact")).agg(F.min("l_linenumber").alias("pos"))
     return rubric_from_replies(replies, facts).select("question", "tier", "fact")
+
+
+@query("developed_rubrics")
+def _(t):
+    """Customers' rubrics grown from their orders with rule-based stand-ins for the model steps.
+    A customer has at most one fact per year and priority, which bounds a stand-in reply."""
+    from rubricon.plans.develop import Steps, develop
+
+    year = F.year("o_orderdate")
+    fact = F.concat(F.lit("Spent in "), year.cast("string"), F.lit(" on "), "o_orderpriority")
+    orders = t.orders.select(
+        F.col("o_custkey").alias("question"), F.col("o_orderstatus").alias("model"), year.alias("cluster_id"), F.col("o_orderkey").alias("pos"), fact.alias("fact")
+    )
+    core = orders.where(F.col("model") == "F").groupBy("question", "fact").agg(F.min("pos").alias("pos")).select("question", "pos", "fact")
+
+    def reply(rows, tier):
+        item = F.struct(tier.alias("tier"), F.array("fact").alias("facts"))
+        return rows.select("question", F.to_json(F.array(item)).alias("content"))
+
+    def check(rubric):
+        s = rubrics.flat_stats(rubric)
+        share = lambda c: F.round(F.col(c) / F.col("total"), 4)
+        return s.select(
+            "question",
+            F.lit(0.9).alias("specificity"),
+            F.lit(0.9).alias("atomicity"),
+            (F.lit(1.0) - share("n_critical") / 2).alias("tier_correctness"),
+            F.least(F.lit(1.0), F.lit(0.5) + F.col("total") / 10).alias("coverage"),
+            F.round(F.lit(1.0) - share("n_critical") / 2, 4).alias("overall"),
+            F.lit(1).alias("issue_count"),
+        )
+
+    def repair(rubric, attempt):
+        """Every attempt moves more criteria out of the top tier."""
+        low = F.pmod(F.xxhash64("fact"), F.lit(4)) < attempt
+        tier = F.when((F.col("tier") == "critical") & low, "important").otherwise(F.col("tier"))
+        arrays = [F.collect_list(F.when(F.col("_t") == n, F.col("fact"))).alias(n) for n in ("critical", "important", "optional")]
+        packed = rubric.withColumn("_t", tier).groupBy("question").agg(*arrays)
+        return packed.select("question", F.to_json(F.struct("critical", "important", "optional")).alias("content"))
+
+    steps = Steps(
+        induce=lambda facts: reply(facts, F.when(F.pmod(F.xxhash64("fact"), F.lit(3)) > 0, "critical").otherwise("optional")),
+        check=check,
+        extract=lambda rubric: orders.join(rubric.select("question").distinct(), "question", "left_semi"),
+        repair=repair,
+    )
+    return develop(core, steps, most=2, attempts=2)["stats"]

@@ -85,6 +85,13 @@ def read_replies(requests: DataFrame, replies: DataFrame, arrays: bool = True) -
     return joined.withColumn("error", error)
 
 
+def reply_or(rows: DataFrame, replies: DataFrame, keys: list[str], column: str, default: Column) -> DataFrame:
+    """Rows with their reply text, or a default where there is none (for a document summary, the
+    first part of its text)."""
+    joined = rows.join(replies.select(*keys, F.col("content").alias("_reply")), keys, "left")
+    return joined.withColumn(column, F.coalesce(F.nullif("_reply", F.lit("")), default)).drop("_reply")
+
+
 def split_failures(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows without, and failed rows with, their error."""
     return rows.where(F.col("error").isNull()).drop("error"), rows.where(F.col("error").isNotNull())

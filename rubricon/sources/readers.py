@@ -75,6 +75,21 @@ def plain_answers(spark: SparkSession, path, question: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.lit(question).alias("question"), F.col("value").alias("answer"))
 
 
+def inline_answer(spark: SparkSession, text: str, question: str) -> DataFrame:
+    return spark.createDataFrame([(question, text)], "question string, answer string")
+
+
+def any_answers(spark: SparkSession, source: str, question: str, is_path: bool = True) -> DataFrame:
+    """Answers given as a JSON list file, a plain text file or the text itself. What is not a
+    list becomes one answer to ``question``."""
+    if not is_path:
+        return inline_answer(spark, source, question)
+    first = spark.read.text(source).where(F.trim("value") != "").select(F.trim("value")).first()
+    if first is not None and first[0].startswith("["):
+        return answers(spark, source).select("question", "answer")
+    return plain_answers(spark, source, question)
+
+
 def turn_logs(spark: SparkSession, paths: str | Sequence[str], multiline: bool = True) -> DataFrame:
     """Agent turns; model, run, question and turn come from
     ``.../<model>/<run>/<question>/turns/<turn>/<file>``. Folder names with a colon must be

@@ -162,3 +162,12 @@ def test_incremental_ingest(spark, tmp_path):
     none = lambda c: c.select("url_key", "chunk_idx", F.lit("").alias("prefix"))
     ingest(spark, landing, strict, str(tmp_path / "ckpt2"), none).awaitTermination()
     assert spark.read.parquet(strict + "/quarantine").count() > 0
+
+
+def test_answers_of_any_form(spark, tmp_path):
+    dump(tmp_path / "list.json", [{"question": "a", "success": True, "answer": "x"}, {"question": "b", "success": True, "answer": "y"}])
+    (tmp_path / "one.txt").write_text("\nfree text\nanswer", encoding="utf-8")
+    rows = lambda *a, **k: [tuple(r) for r in readers.any_answers(spark, *a, **k).collect()]
+    assert sorted(rows(str(tmp_path / "list.json"), "q")) == [("a", "x"), ("b", "y")]
+    assert rows(str(tmp_path / "one.txt"), "q") == [("q", "\nfree text\nanswer")]
+    assert rows("inline", "q", is_path=False) == [("q", "inline")]

@@ -153,3 +153,46 @@ def test_prompts(spark):
     assert keys[(2, 0)] == "doc_a" and keys[(3, 0)] is None
     only = documents.resolve_keys(p, store.where("key = 'doc_b'"))
     assert {r["key"] for r in only.where("prompt_id = 3").collect()} == {"doc_b"}
+
+
+def test_develop_enriches_then_repairs(spark):
+    from rubricon.operators.grading import TIERS
+    from rubricon.plans.develop import Steps, develop
+
+    core = spark.createDataFrame([(1, 0, "a 1"), (1, 1, "b 2"), (2, 0, "c 3")], "question long, pos long, fact string")
+    asked = []
+
+    def packed(rows, tier):
+        rows = rows.withColumn("_t", tier)
+        cols = [F.collect_list(F.when(F.col("_t") == t, F.col("fact"))).alias(t) for t in TIERS]
+        return rows.groupBy("question").agg(*cols).select("question", F.to_json(F.struct(*TIERS)).alias("content"))
+
+    def check(rubric):
+        s = rubrics.flat_stats(rubric)
+        good = F.when(F.col("n_optional") > 0, 0.96).otherwise(0.5)
+        return s.select(
+            "question", F.lit(1.0).alias("specificity"), F.lit(1.0).alias("atomicity"), good.alias("tier_correctness"),
+            F.when(F.col("total") >= 2, 1.0).otherwise(0.5).alias("coverage"), good.alias("overall"), F.lit(1).alias("issue_count"),
+        )
+
+    def repair(rubric, attempt):
+        asked.append((attempt, rubric.select("question").distinct().count()))
+        # Question 2 gets an invented figure first.
+        fact = F.when((F.col("question") == 2) & F.lit(attempt == 1), F.concat("fact", F.lit(" 99"))).otherwise(F.col("fact"))
+        return packed(rubric.withColumn("fact", fact), F.lit("optional"))
+
+    claims = spark.createDataFrame(
+        [(2, "m", 0, 0, "d 4"), (2, "n", 0, 1, "d  4!"), (2, "m", 1, 2, "lonely")], "question long, model string, cluster_id int, pos int, fact string"
+    )
+    steps = Steps(
+        induce=lambda f: packed(f, F.lit("critical")),
+        check=check,
+        extract=lambda r: claims.join(r.select("question").distinct(), "question", "left_semi"),
+        repair=repair,
+    )
+    out = develop(core, steps)
+    got = sorted((r["question"], r["tier"], r["fact"]) for r in out["rubric"].collect())
+    assert got == [(1, "optional", "a 1"), (1, "optional", "b 2"), (2, "optional", "c 3"), (2, "optional", "d  4!")]
+    assert {r["question"]: (r["outcome"], r["best_attempt"]) for r in out["repairs"].collect()} == {1: ("repaired", 1), 2: ("repaired", 2)}
+    assert asked == [(1, 2), (2, 1)]
+    assert out["quality"].where("recommendation <> 'stop'").count() == 0
