@@ -109,7 +109,7 @@ def query_weights(chunks: DataFrame, queries: DataFrame, scope: str) -> DataFram
 
 
 def lexical_channel(
-    chunks: DataFrame, queries: DataFrame, scope: str, k: int = CHANNEL_K, wave_rows: int = 500_000
+    chunks: DataFrame, queries: DataFrame, scope: str, k: int = CHANNEL_K, wave_rows: int = 100_000
 ) -> DataFrame:
     """Best ``k`` chunks per query by BM25, chunks without any query term included.
 
@@ -138,7 +138,7 @@ def _weight_blocks(part, scope, cells: int = 4_000_000):
         known = rows.dropna(subset=["term"])
         avg_len = float(known["avg_len"].iloc[0]) if len(known) else 1.0
         ids = rows["query_id"].unique()
-        width = max(1, cells // max(1, known["term"].nunique()))
+        width = min(512, max(1, cells // max(1, known["term"].nunique())))
         blocks = []
         for start in range(0, len(ids), width):
             block = ids[start : start + width]
