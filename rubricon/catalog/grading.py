@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rubricon.catalog.base import CRITERIA, VERDICTS, WEIGHTS, query, with_
 from rubricon.functions.jsontext import hallucination, verdict
 from rubricon.operators import grading
+from rubricon.operators.grouping import spread
 from rubricon.plans.grade import grade_answers
 
 _COUNTS = """counted AS (SELECT model, question, category, bool_or(hallucination) AS h,
@@ -230,7 +231,7 @@ _JUDGE = """judge AS (SELECT event_id, CASE event_id % 4
 def _judge(t):
     k = F.get_json_object("props", "$.k")
     n = F.col("event_id") % 4
-    return t.events.select(
+    return spread(t.events).select(
         "event_id",
         F.when(n == 0, F.concat(F.lit('{"verdict": "MET", "reason": "k '), k, F.lit('"}')))
         .when(n == 1, F.concat(F.lit('```json\n{"verdict": "PARTLY", "hallucination": true, "k": '), k, F.lit("}\n```")))

@@ -13,6 +13,7 @@ from rubricon.functions.jsontext import (
     json_kind,
 )
 from rubricon.operators import index
+from rubricon.operators.grouping import spread
 from rubricon.operators.replies import reply_or
 from rubricon.plans.build_index import build_index
 
@@ -56,7 +57,7 @@ def _(t):
 @query("page_sections")
 def _(t):
     """Section-labelled text of every page."""
-    return index.labelled_text(index.page_text_and_blocks(t.pages), "page_id")
+    return index.labelled_text(index.page_text_and_blocks(t.pages)).select("page_id", "text")
 
 
 @query("long_blocks", _L + "SELECT * FROM lines WHERE length(text) >= 40")
@@ -231,7 +232,7 @@ def _(t):
     k = F.get_json_object("props", "$.k")
     body = F.concat(F.lit('<think>x</think>```json\n{"contexts": [" k '), k, F.lit('", "'), "event_type", F.lit(' "]}\n```'))
     content = F.when(F.col("event_id") % 3 == 2, "sorry").otherwise(body)
-    replies = t.events.select(
+    replies = spread(t.events).select(
         F.col("event_id").alias("doc_id"),
         (F.col("event_id") % 7 * 3).cast("int").alias("first_idx"),
         F.lit(3).alias("batch_size"),
@@ -311,7 +312,7 @@ _WRAPPED = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(1
 def _wrapped(t):
     n = F.col("event_id") % 6
     p = F.col("props")
-    return t.events.select(
+    return spread(t.events).select(
         "event_id",
         F.when(n == 0, p)
         .when(n == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```")))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rubricon.catalog.base import FACTS, ORIGINAL, QUALITY, REPAIRED, query, with_
 from rubricon.functions.text import signals
 from rubricon.operators import rubrics
+from rubricon.operators.grouping import spread
 from rubricon.plans.rubrics import dedupe_rubric, repair_round, rubric_from_replies
 
 _O, _OR = with_(ORIGINAL), with_(ORIGINAL, REPAIRED)
@@ -483,7 +484,7 @@ def _(t):
     tier = tier_of("l_returnflag")
     fact = F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))
     name = F.when(tier == "optional", "minor").otherwise(F.initcap(tier))
-    replies = t.lineitem.select(
+    replies = spread(t.lineitem).select(
         F.col("l_orderkey").alias("question"),
         F.concat(F.lit('Sure: [{"tier": "'), name, F.lit('", "fact": "'), F.upper(fact), F.lit('"}] done')).alias("content"),
     )

@@ -29,12 +29,13 @@ FIRST_SECTION = "PREAMBLE"
 
 
 def unseen_pages(pages: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """First capture of every url that has no index yet, keyed by the url hash."""
-    keyed = pages.withColumn("url_key", url_key(F.col("url")))
+    """First capture of every url that has no index yet, keyed by the url hash. ``page_id`` is
+    unique. Which pages stay is decided on ids and hashes alone; the page bodies take part in
+    one join only."""
+    narrow = pages.select("page_id", url_key(F.col("url")).alias("url_key"))
     if done is not None:
-        keyed = keyed.join(done.select("url_key").distinct(), "url_key", "left_anti")
-    first = keyed.groupBy("url_key").agg(F.min("page_id").alias("page_id"))
-    return keyed.join(first, ["url_key", "page_id"], "left_semi")
+        narrow = narrow.join(done.select("url_key").distinct(), "url_key", "left_anti")
+    return pages.join(narrow.groupBy("url_key").agg(F.min("page_id").alias("page_id")), "page_id")
 
 
 def page_text_and_blocks(pages: DataFrame) -> DataFrame:
@@ -118,18 +119,36 @@ def without_adjacent_repeats(blocks: DataFrame, key: str) -> DataFrame:
     return joined.where(F.col("_h").isNull() | (F.col("_h") != F.md5("text"))).drop("_h")
 
 
-def labelled_text(parsed: DataFrame, key: str) -> DataFrame:
-    """One section-labelled text per page from its cleaned blocks. The blocks of a page come
-    from one cell of the input and go back into one."""
-    clean = without_repeats(sectioned(long_enough(block_rows(parsed, key)), key), key)
-    label = F.concat(F.lit("[SECTION: "), F.col("section"), F.lit("]\n"), F.col("text"))
-    joined = clean.groupBy(key).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("block_idx", label.alias("t")))), lambda s: s["t"]),
-            "\n\n",
-        ).alias("text")
+def labelled_text(parsed: DataFrame) -> DataFrame:
+    """Add ``text``: the cleaned blocks of each page under their section labels.
+
+    A page's blocks are an array in its own row, so the section of a block, the removal of
+    section lines and the removal of later copies of long blocks are array work inside the row
+    and nothing is shuffled. ``sectioned`` and ``without_repeats`` do the same for block tables.
+    Copies are found by sorting the hashes of long blocks and comparing neighbours.
+    """
+    item = lambda idx, section, text: F.struct(idx.alias("idx"), section.alias("section"), text.alias("text"))
+    head = lambda t: F.when(is_section_line(t), section_name(t))
+    numbered = F.transform(
+        "blocks", lambda b, i: F.struct(i.alias("idx"), head(b["text"]).alias("head"), b["text"].alias("text"))
     )
-    return joined
+    is_long = lambda x: F.length(x["text"]) > REPEAT_CHARS
+    rows = parsed.withColumn("_b", F.filter(numbered, lambda x: F.length(x["text"]) >= BLOCK_CHARS))
+    rows = rows.withColumn("_h", F.filter("_b", lambda x: x["head"].isNotNull()))
+
+    def section(x):
+        before = F.filter("_h", lambda h: h["idx"] < x["idx"])
+        return F.coalesce(F.try_element_at(before, F.lit(-1))["head"], F.lit(FIRST_SECTION))
+
+    body = F.filter("_b", lambda x: x["head"].isNull())
+    rows = rows.withColumn("_t", F.transform(body, lambda x: item(x["idx"], section(x), x["text"])))
+    hashed = F.transform(F.filter("_t", is_long), lambda x: F.struct(F.md5(x["text"]).alias("h"), x["idx"], x["section"], x["text"]))
+    rows = rows.withColumn("_l", F.array_sort(hashed))
+    new = lambda x, i: (i == 0) | (F.get("_l", i - 1)["h"] != x["h"])
+    kept = F.transform(F.filter("_l", new), lambda x: item(x["idx"], x["section"], x["text"]))
+    clean = F.array_sort(F.concat(F.filter("_t", lambda x: ~is_long(x)), kept))
+    label = lambda x: F.concat(F.lit("[SECTION: "), x["section"], F.lit("]\n"), x["text"])
+    return rows.select(*parsed.columns, F.array_join(F.transform(clean, label), "\n\n").alias("text"))
 
 
 def chunk_rows(texts: DataFrame, key: str, column: str = "text") -> DataFrame:

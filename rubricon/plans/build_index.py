@@ -28,8 +28,7 @@ def build_index(
     fresh = index.unseen_pages(pages, done)
     parsed = stored(index.page_text_and_blocks(fresh), "parsed-pages")
     texts = parsed.select(KEY, "url", "raw_text")
-    labelled = index.labelled_text(parsed, KEY)
-    chunks = stored(index.document_chunks(texts.join(labelled, KEY, "left"), KEY), "page-chunks")
+    chunks = stored(index.document_chunks(index.labelled_text(parsed), KEY), "page-chunks")
     meta = texts.select(
         KEY, "url", *index.filing_metadata(F.col("raw_text")), document_sample(F.col("raw_text")).alias("summary_input")
     )

@@ -31,10 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
     (local tests) a private temporary folder is made and remembered.
     """
+    current = spark.sparkContext.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if not current:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rubricon-"))

@@ -171,3 +171,29 @@ def test_answers_of_any_form(spark, tmp_path):
     assert sorted(rows(str(tmp_path / "list.json"), "q")) == [("a", "x"), ("b", "y")]
     assert rows(str(tmp_path / "one.txt"), "q") == [("q", "\nfree text\nanswer")]
     assert rows("inline", "q", is_path=False) == [("q", "inline")]
+
+
+def test_labels_inside_the_row_equal_the_block_table(spark):
+    import random
+
+    rnd = random.Random(11)
+    long = ["".join(rnd.choices("abcdef ", k=600)) + str(i) for i in range(4)]
+
+    def block():
+        kind = rnd.random()
+        if kind < 0.15:
+            return rnd.choice(["risk factors\n", "MD&A\n", "Dilution\n"]) + "x" * 40
+        if kind < 0.5:
+            return rnd.choice(long)
+        return "short " * rnd.randrange(1, 12)
+
+    pages = [(n, [("p", block()) for _ in range(rnd.randrange(0, 40))]) for n in range(60)]
+    parsed = spark.createDataFrame(pages, "page_id long, blocks array<struct<tag string, text string>>")
+    rows = index.long_enough(index.block_rows(parsed, "page_id"))
+    clean = index.without_repeats(index.sectioned(rows, "page_id"), "page_id").collect()
+    want = {n: "" for n, _ in pages}
+    for r in sorted(clean, key=lambda r: (r["page_id"], r["block_idx"])):
+        label = f"[SECTION: {r['section']}]\n{r['text']}"
+        want[r["page_id"]] += ("\n\n" if want[r["page_id"]] else "") + label
+    got = {r["page_id"]: r["text"] for r in index.labelled_text(parsed).select("page_id", "text").collect()}
+    assert got == want
