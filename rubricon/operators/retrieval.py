@@ -72,19 +72,27 @@ def _union(parts: list[DataFrame], spark, schema: str) -> DataFrame:
     return out
 
 
-def query_weights(chunks: DataFrame, queries: DataFrame, scope: str) -> DataFrame:
+def query_weights(
+    chunks: DataFrame, queries: DataFrame, scope: str, stats: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """Weight of every query term that occurs in the query's corpus.
 
+    ``stats`` are the ``terms`` and ``corpus`` tables of an index, which save counting the
+    chunks again.
+
     The weight is the term's inverse document frequency times its repetitions in the
     query; a negative frequency weight is replaced by a quarter of the corpus mean.
     """
     # One corpus may hold most chunks, so they are never partitioned by scope.
     wanted, small = pinned(queries.select(scope).distinct())
-    corpus = lookup_join(chunks, wanted, small, [scope], ["chunk_id"], "left_semi")
-    size = corpus_stats(corpus, [scope])
+    if stats is None:
+        corpus = lookup_join(chunks, wanted, small, [scope], ["chunk_id"], "left_semi")
+        counts, size = term_stats(corpus, [scope]), corpus_stats(corpus, [scope])
+    else:
+        counts = lookup_join(stats[0], wanted, small, [scope], ["term"], "left_semi")
+        size = stats[1]
     idf = (
-        term_stats(corpus, [scope])
-        .join(size.select(scope, "n_chunks"), scope)
+        counts.join(size.select(scope, "n_chunks"), scope)
         .withColumn("idf", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     )
     mean = idf.groupBy(scope).agg(F.avg("idf").alias("mean_idf"))
@@ -109,15 +117,16 @@ def query_weights(chunks: DataFrame, queries: DataFrame, scope: str) -> DataFram
 
 
 def lexical_channel(
-    chunks: DataFrame, queries: DataFrame, scope: str, k: int = CHANNEL_K, wave_rows: int = 100_000
-) -> DataFrame:
+    chunks: DataFrame, queries: DataFrame, scope: str, k: int = CHANNEL_K, wave_rows: int = 100_000,
+    stats: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """Best ``k`` chunks per query by BM25, chunks without any query term included.
 
     ``chunks(<scope>, chunk_id, text)``, ``queries(<scope>, query_id, text)``; a query sees
-    the chunks of its scope only. One pass counts terms, one scores. A query without any
+    the chunks of its scope only. One pass counts terms (none with ``stats``), one scores. A query without any
     known term still ranks its corpus, with zero scores.
     """
-    weights = query_weights(chunks, queries, scope)
+    weights = query_weights(chunks, queries, scope, stats)
     padded = queries.select(scope, "query_id").join(weights, [scope, "query_id"], "left")
     spark = chunks.sparkSession
     parts = []
@@ -204,10 +213,13 @@ def _score_dense(shared, k):
             if not batch.num_rows:
                 continue
             flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            scores = flat.reshape(batch.num_rows, -1).astype(np.float64) @ matrix.T
+            rows = flat.reshape(batch.num_rows, -1).astype(np.float64)
             chunk_ids = batch.column("chunk_id").to_numpy()
-            for c, q in enumerate(ids):
-                best[q].offer(scores[:, c], chunk_ids)
+            # A block of queries at a time bounds the score matrix.
+            for start in range(0, len(ids), 256):
+                scores = rows @ matrix[start : start + 256].T
+                for c, q in enumerate(ids[start : start + 256]):
+                    best[q].offer(scores[:, c], chunk_ids)
         frame = _emit(best).astype({"query_id": "int64", "chunk_id": "int64", "score": "float64"})
         yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 

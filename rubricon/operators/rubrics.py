@@ -20,6 +20,8 @@ QUALITY_THRESHOLD = 0.70
 COVERAGE_LEAST, STRUCTURE_LEAST, STOP_OVERALL, OPEN_ISSUE_OVERALL = 0.90, 0.80, 0.95, 0.85
 CRITICAL_SHARE = 0.8
 DIMENSIONS = ["specificity", "atomicity", "tier_correctness", "coverage"]
+# Gram sizes that anchor a containment test, ascending.
+ANCHOR_SIZES = [1, 2, 3, 8]
 ACTIONS = ["stop", "enrich", "repair"]
 
 
@@ -183,28 +185,32 @@ def invented_figures(original: DataFrame, repaired: DataFrame) -> DataFrame:
     )
 
 
-def untraceable(original: DataFrame, repaired: DataFrame, gram: int = 3) -> DataFrame:
+def untraceable(original: DataFrame, repaired: DataFrame) -> DataFrame:
     """Repaired facts that neither equal, contain nor are contained in an original fact.
 
     Containment is found by equi-join instead of comparing all pairs of a question: the
-    shorter text is anchored at its rarest ``gram`` of the other side, and only texts
-    that hold that gram are compared.
+    shorter text is anchored at the one of its grams that the other side holds least
+    often, and only texts that hold that gram are compared.
     """
     o = original.select("question", F.lower("fact").alias("text")).distinct()
     r = repaired.select("question", "fact", F.lower("fact").alias("text")).distinct()
     open_r = r.join(o, ["question", "text"], "left_anti")
     texts = open_r.select("question", "text").distinct()
     o = o.join(texts.select("question").distinct(), "question", "left_semi")
-    inside = _contained(needles=texts, haystacks=o, gram=gram).select("question", F.col("needle").alias("text"))
-    around = _contained(needles=o, haystacks=texts, gram=gram).select("question", F.col("haystack").alias("text"))
+    inside = _contained(needles=texts, haystacks=o).select("question", F.col("needle").alias("text"))
+    around = _contained(needles=o, haystacks=texts).select("question", F.col("haystack").alias("text"))
     traced = inside.unionByName(around).distinct()
     return open_r.join(traced, ["question", "text"], "left_anti").select("question", "fact")
 
 
-def _contained(needles: DataFrame, haystacks: DataFrame, gram: int) -> DataFrame:
-    """(question, needle, haystack) with the needle inside the haystack. Needles shorter than
-    ``gram`` are anchored by their whole text. Gram rows carry text hashes; the texts come
-    back for the final comparison, which also settles hash collisions."""
+def _contained(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+    """(question, needle, haystack) with the needle inside the haystack. A needle uses the longest
+    anchor size it has room for: long grams are rare even in a question with very many
+    facts. Gram rows carry text hashes; the texts come back for the final comparison, which
+    also settles hash collisions."""
+    fitting = F.lit(0)
+    for size in ANCHOR_SIZES:
+        fitting = F.when(F.length("text") >= size, size).otherwise(fitting)
     needles = needles.withColumn("nid", F.xxhash64("text"))
     haystacks = haystacks.withColumn("hid", F.xxhash64("text"))
 
@@ -212,13 +218,11 @@ def _contained(needles: DataFrame, haystacks: DataFrame, gram: int) -> DataFrame
         at = F.sequence(F.lit(1), F.length("text") - (size - 1))
         return F.array_distinct(F.transform(at, lambda i: F.substring("text", i, F.lit(size))))
 
-    sizes = needles.select(F.least(F.length("text"), F.lit(gram)).alias("n")).distinct().collect()
+    sizes = needles.select(fitting.alias("n")).distinct().collect()
     found = None
     for size in sorted(r["n"] for r in sizes if r["n"]):
-        length = F.length("text")
-        need = needles.where(length >= size if size == gram else length == size)
-        need = exploded(need, ["question", "nid"], grams(size), "_i", "g").drop("_i")
-        hay = exploded(haystacks.where(length >= size), ["question", "hid"], grams(size), "_i", "g").drop("_i")
+        need = exploded(needles.where(fitting == size), ["question", "nid"], grams(size), "_i", "g").drop("_i")
+        hay = exploded(haystacks.where(F.length("text") >= size), ["question", "hid"], grams(size), "_i", "g").drop("_i")
         df = hay.groupBy("question", "g").agg(F.count(F.lit(1)).alias("df"))
         # A needle with a gram that no haystack holds cannot be contained anywhere.
         rank = F.struct(F.coalesce("df", F.lit(0)), "g")

@@ -19,17 +19,19 @@ def retrieve(
     query_vectors: DataFrame,
     rerank_scores: Callable[[DataFrame], DataFrame],
     document_order: bool = False,
+    stats: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Context text per query.
 
     ``chunks(<scope>, chunk_id, text)``, ``queries(<scope>, query_id, text)``,
     ``vectors(chunk_id, vector)``, ``query_vectors(query_id, vector)``. ``rerank_scores`` turns
     candidates into ``(query_id, chunk_id, rerank_score)``. Candidates are stored before
-    they are scored, so that a model is asked once.
+    they are scored, so that a model is asked once. ``stats`` are the ``terms`` and ``corpus``
+    tables of an index.
     """
     fused = retrieval.fuse(
         [
-            retrieval.lexical_channel(chunks, queries, scope),
+            retrieval.lexical_channel(chunks, queries, scope, stats=stats),
             retrieval.dense_channel(vectors, query_vectors),
             retrieval.verbatim_channel(chunks, queries, scope),
         ]

@@ -50,6 +50,17 @@ def test_lexical_channel_equals_brute_force(spark):
         assert all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
 
 
+def test_stored_statistics_give_the_same_ranks(spark):
+    from rubricon.operators.index import corpus_stats, term_stats
+
+    rnd = random.Random(12)
+    c = spark.createDataFrame(corpus(rnd, 60, ["a", "b"]), "scope string, chunk_id long, text string")
+    q = spark.createDataFrame([("a", 1, "alpha beta beta"), ("b", 2, "iota")], "scope string, query_id long, text string")
+    stats = (term_stats(c, ["scope"]), corpus_stats(c, ["scope"]))
+    rows = lambda **k: sorted(map(tuple, retrieval.lexical_channel(c, q, "scope", 9, **k).collect()))
+    assert rows(stats=stats) == rows()
+
+
 def test_dense_channel_equals_brute_force(spark):
     rnd = np.random.default_rng(6)
     v = rnd.normal(size=(200, 8)).astype(np.float32)
