@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rubricon.catalog.base import FACTS, ORIGINAL, QUALITY, REPAIRED, query, with_
+from rubricon.catalog.base import ORIGINAL, QUALITY, REPAIRED, query, with_
 from rubricon.functions.text import signals
 from rubricon.operators import rubrics
 from rubricon.operators.grouping import spread

@@ -5,12 +5,9 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rubricon.functions.text import SPACE
-
 # Chunk size, overlap, and separators from coarse to fine.
 CHUNK_SIZE, CHUNK_OVERLAP = 2000, 300
 SEPARATORS = ["\n\n", "\n", " ", ""]
@@ -60,13 +57,3 @@ def make_splitter(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separato
         return text.map(lambda t: [] if not t else list(split(t)))
 
     return splitter
-
-
-def word_windows(text: Column, size: int = WINDOW_WORDS, overlap: int = WINDOW_OVERLAP) -> Column:
-    """Fixed word windows; the last window is the first one that reaches the end."""
-    stride = size - overlap
-    found = F.filter(F.split(text, f"{SPACE}+"), lambda t: t != "")
-    last = F.greatest(F.lit(0), F.ceil((F.size(found) - size) / F.lit(float(stride)))).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(found, i * stride + 1, F.lit(size)), " ")
-    )
