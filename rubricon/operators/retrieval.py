@@ -24,6 +24,7 @@ from rubricon.functions.text import exact_terms, tokens
 from rubricon.operators.grouping import exploded, lookup_join, numbered, pinned, top_k
 from rubricon.operators.index import corpus_stats, term_stats
 from rubricon.operators.waves import waves
+from rubricon.session import stored
 
 # Channel depth, fused and reranked depth, fusion constant, ranking weights.
 CHANNEL_K, FUSED_K, RERANK_K, RRF_BASE = 40, 80, 20, 60
@@ -286,8 +287,9 @@ def _count_hits(shared):
 
 
 def verbatim_channel(chunks: DataFrame, queries: DataFrame, scope: str) -> DataFrame:
-    """All hits with their 0-based rank: more terms first, then document order."""
-    hits = verbatim_hits(chunks, queries, scope)
+    """All hits with their 0-based rank: more terms first, then document order. Hits are stored
+    because ranking reads them twice and finding them reads every text."""
+    hits = stored(verbatim_hits(chunks, queries, scope), "verbatim-hits")
     return numbered(hits, ["query_id"], ["hits"], "chunk_id", "rank")
 
 
