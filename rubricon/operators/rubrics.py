@@ -206,17 +206,24 @@ def untraceable(original: DataFrame, repaired: DataFrame) -> DataFrame:
 def _contained(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     """(question, needle, haystack) with the needle inside the haystack. A needle uses the longest
     anchor size it has room for: long grams are rare even in a question with very many
-    facts. Gram rows carry text hashes; the texts come back for the final comparison, which
-    also settles hash collisions."""
+    facts. Gram rows carry hashes of gram and text only, so everything up to the candidates
+    aggregates by hash; the texts come back for the final comparison, which also settles
+    collisions."""
     fitting = F.lit(0)
     for size in ANCHOR_SIZES:
         fitting = F.when(F.length("text") >= size, size).otherwise(fitting)
     needles = needles.withColumn("nid", F.xxhash64("text"))
     haystacks = haystacks.withColumn("hid", F.xxhash64("text"))
 
+    # Holders (capped) above the gram hash in one long, so that the least one is a plain minimum.
+    bits, most = 43, (1 << 20) - 1
+    mask = (1 << bits) - 1
+
     def grams(size: int) -> Column:
         at = F.sequence(F.lit(1), F.length("text") - (size - 1))
-        return F.array_distinct(F.transform(at, lambda i: F.substring("text", i, F.lit(size))))
+        return F.array_distinct(
+            F.transform(at, lambda i: F.xxhash64(F.substring("text", i, F.lit(size))).bitwiseAND(F.lit(mask)))
+        )
 
     sizes = needles.select(fitting.alias("n")).distinct().collect()
     found = None
@@ -225,14 +232,15 @@ def _contained(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
         hay = exploded(haystacks.where(F.length("text") >= size), ["question", "hid"], grams(size), "_i", "g").drop("_i")
         df = hay.groupBy("question", "g").agg(F.count(F.lit(1)).alias("df"))
         # A needle with a gram that no haystack holds cannot be contained anywhere.
-        rank = F.struct(F.coalesce("df", F.lit(0)), "g")
+        held = F.least(F.coalesce("df", F.lit(0)), F.lit(most)).cast("long")
         anchors = (
             need.join(df, ["question", "g"], "left")
             .groupBy("question", "nid")
-            .agg(F.min_by("g", rank).alias("g"), F.min(F.coalesce("df", F.lit(0))).alias("df"))
-            .where(F.col("df") > 0)
+            .agg(F.min(F.shiftleft(held, bits).bitwiseOR(F.col("g"))).alias("_least"))
+            .where(F.col("_least") > mask)
+            .select("question", "nid", F.col("_least").bitwiseAND(F.lit(mask)).alias("g"))
         )
-        part = anchors.drop("df").join(hay, ["question", "g"]).select("question", "nid", "hid")
+        part = anchors.join(hay, ["question", "g"]).select("question", "nid", "hid")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return needles.select("question", F.col("text").alias("needle"), F.col("text").alias("haystack")).limit(0)
