@@ -21,7 +21,7 @@ from rubricon.llm.common import text_of
 from rubricon.session import stored
 
 TOP = 2**63 - 2
-CELL_ROWS = 50_000
+CELL_ROWS = 10_000
 
 
 @dataclass
