@@ -360,7 +360,7 @@ class _Page:
         for _ in range(self.random.randint(1, 12)):
             kind = self.random.random()
             low, high = self.one("1 4", "5 40", "20 120", "40 200").split()
-            text = self.main(self.words(int(low), int(high)))
+            text = self.main(self.words(int(low), int(high), self.one(".", ".", ".", "", "!", ":", " |", "***")))
             if kind < 0.72:
                 if self.random.random() < 0.25:
                     text += f' <a href="/x">{self.words(1, 4, "")}</a> {self.words(3, 20)}'
@@ -381,7 +381,7 @@ class _Page:
                 body.append(self.aside())
         inner = "\n".join(body)
         kind = self.random.random()
-        if kind < 0.35:
+        if kind < 0.4:
             return f"<article>{inner}</article>"
         if kind < 0.5:
             return f"<main>{inner}</main>"
