@@ -23,7 +23,7 @@ from rubricon.llm.common import id_of, shown_id, text_of
 from rubricon.llm.vocabulary import Words
 from rubricon.session import stored
 
-CELL_PIECES = 50_000
+CELL_PIECES = 16_384
 
 
 def fullest(stock: dict[int, int], room: int) -> dict[int, int]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricon.llm import bpe, exact, fingerprints, htmltext, langid, packing, quality, sharding, simhash
+from rubricon.llm import bpe, exact, fingerprints, htmltext, langid, packing, quality, sharding, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,13 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query()
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stay when repeated passages of 20 words go."""
+    kept = substrings.kept_words(table(spark, sf_dir, "documents"), width=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
