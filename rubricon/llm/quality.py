@@ -205,8 +205,10 @@ def scored(
     held_out_fold: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: bool = False,
 ) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``.
+    """doc_id, held_out, score, predicted for every row of ``docs``, and with ``carry`` the row itself
+    as the struct ``row``.
 
     Null and empty texts are scored like any other, by figures of zero. Without a model, as when no
     label could be learnt from, every score is 1: nothing is rejected unseen. Rows that repeat an id
@@ -217,10 +219,21 @@ def scored(
         for batch in batches:
             x = np.array([figures(t.as_py()) for t in batch.column(2)], np.float64).reshape(-1, len(FIGURES))
             score = model.score(x) if model else np.ones(len(x))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score)], names=["id", "held_out", "score"])
-
-    rows = docs.select(id_of(id_col).alias("id"), (fold(id_col) == held_out_fold).alias("held_out"), text_of(text_col))
-    out = rows.mapInArrow(run, "id long, held_out boolean, score double")
-    return out.select(
-        shown_id("id").alias("doc_id"), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+            columns = [*batch.columns[:2], pa.array(score), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "score", "row"][: len(columns)])
+
+    rows = docs.select(
+        id_of(id_col).alias("id"),
+        (fold(id_col) == held_out_fold).alias("held_out"),
+        text_of(text_col),
+        *([F.struct("*").alias("row")] if carry else []),
+    )
+    schema = "id long, held_out boolean, score double"
+    schema += f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
+    return rows.mapInArrow(run, schema).select(
+        shown_id("id").alias("doc_id"),
+        "held_out",
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+        *(["row"] if carry else []),
     )

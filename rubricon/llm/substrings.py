@@ -235,8 +235,11 @@ def _verdict_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["id", "mark", "start", "mask"])
 
 
-def kept_words(docs: DataFrame, width: int = 20, gram: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_words(
+    docs: DataFrame, width: int = 20, gram: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
+) -> DataFrame:
     """doc_id, n_words, n_removed, kept for every row: the words that stay, parted by single spaces.
+    With ``carry`` also the row itself as the struct ``row``.
 
     A word goes if a window of ``width`` words covers it that also starts earlier: in a row with a
     smaller id, or before in the same row. Windows are judged on the given texts. A null text has no
@@ -245,7 +248,12 @@ def kept_words(docs: DataFrame, width: int = 20, gram: int = 4, id_col: str = "d
     document. An empty table gives an empty one. Other columns of ``docs`` are not read.
     """
     text = text_of(text_col)
-    rows = docs.select(id_of(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    rows = docs.select(
+        id_of(id_col).alias("id"),
+        F.xxhash64(text).alias("mark"),
+        text.alias("text"),
+        *([F.struct("*").alias("row")] if carry else []),
+    )
     counts = stored(_counted(rows, width, gram).where("n > 1"), "minimisers")
     total, repeated = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # Fewer than HOT_SHARE minimisers can own so much of the total.
@@ -261,7 +269,7 @@ def kept_words(docs: DataFrame, width: int = 20, gram: int = 4, id_col: str = "d
             for at, words, found in _formed(batch, width, gram, hot):
                 yield _travelling(found, ids[at:], marks[at:], _chosen(found, bits, filled))
 
-    strings = rows.mapInArrow(travelling, "m long, packed binary, id long, mark long, start long")
+    strings = rows.select("id", "mark", "text").mapInArrow(travelling, "m long, packed binary, id long, mark long, start long")
     first = F.min(F.struct("id", "mark", "start")).alias("at")
     merged = strings.groupBy("m", "packed").agg(first).select("m", "packed", "at.id", "at.mark", "at.start")
     dealt = merged.repartition("m").sortWithinPartitions("m")
@@ -277,11 +285,13 @@ def kept_words(docs: DataFrame, width: int = 20, gram: int = 4, id_col: str = "d
                 for at, words, found in _formed(batch, width, gram, hot)
                 for row in _cleaned(words, found, given[at:], _chosen(found, bits, filled))
             ]
-            columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string())))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_removed", "kept"])
+            columns = [*batch.columns[2:-1], *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string())))]
+            names = [*batch.schema.names[2:-1], "n_words", "n_removed", "kept"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = rows.join(by_text, ["id", "mark"], "left").select("id", "verdicts", "text")
-    out = joined.mapInArrow(cleaned, "id long, n_words long, n_removed long, kept string")
+    joined = rows.join(by_text, ["id", "mark"], "left").select("mark", "verdicts", "id", *(["row"] if carry else []), "text")
+    schema = "id long" + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else "")
+    out = joined.mapInArrow(cleaned, f"{schema}, n_words long, n_removed long, kept string")
     return out.withColumn("id", shown_id("id")).withColumnRenamed("id", "doc_id")
 
 
