@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from rubricon.llm.common import id_of, shown_id, slices, text_of
 from rubricon.session import stored
 
-HOT_SHARE = 4096
+HOT_SHARE, HOT_LEAST = 4096, 64
 FILTER_BITS = 1 << 28  # 32 MB at most
 BLOCK_BITS = 1 << 16
 _SPACE = np.zeros(256, bool)
@@ -257,7 +257,7 @@ def kept_words(
     counts = stored(_counted(rows, width, gram).where("n > 1"), "minimisers")
     total, repeated = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # Fewer than HOT_SHARE minimisers can own so much of the total.
-    hot = [r["m"] for r in counts.where(F.col("n") > max(64, total // HOT_SHARE)).select("m").collect()]
+    hot = [r["m"] for r in counts.where(F.col("n") > max(HOT_LEAST, total // HOT_SHARE)).select("m").collect()]
     hot = np.sort(np.array(hot, np.int64).view(np.uint64))
     bits, filled = _filter(counts, repeated)
     shared = docs.sparkSession.sparkContext.broadcast((hot, bits, filled))  # of bounded size
