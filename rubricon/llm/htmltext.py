@@ -27,6 +27,7 @@ _BLOCK = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select "
     "summary table tbody td tfoot th thead tr ul".split()
 )
+_SECTIONS = frozenset("article aside body dialog footer form header main nav section".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _UNSEEN = frozenset("script style template noscript iframe svg math object textarea title head datalist canvas audio video".split())
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -179,6 +180,11 @@ def _path_features(path: tuple[str, ...]) -> tuple[str, ...]:
             for part in ("comment", "cookie", "footer", "header", "sidebar", "advert", "promo", "newsletter", "nav", "menu", "article", "content", "banner", "related"):
                 if part in w and part != w:
                     found["part:" + part] = None
+    for element in reversed(path):  # the innermost element that tells what it is for
+        tag, *words = element.split(" ")
+        if words or tag in _SECTIONS:
+            found |= dict.fromkeys(f"near:{w}" for w in (words or [tag]))
+            break
     leaf = next((e.split(" ")[0] for e in reversed(path) if e.split(" ")[0] in _BLOCK), "none")
     found["leaf:" + leaf] = None
     return tuple(found)
@@ -236,7 +242,7 @@ class Field:
         return states[::-1]
 
 
-def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 250, rate: float = 0.1, penalty: float = 1e-3) -> Field:
+def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 400, rate: float = 0.1, penalty: float = 3e-4) -> Field:
     """Maximum likelihood with a quadratic penalty by full-batch Adam steps; all chains run side by side."""
     pages = [p for p in pages if p[0]]
     names: dict[str, int] = {}
@@ -361,21 +367,21 @@ class _Page:
             kind = self.random.random()
             low, high = self.one("1 4", "5 40", "20 120", "40 200").split()
             text = self.main(self.words(int(low), int(high), self.one(".", ".", ".", "", "!", ":", " |", "***")))
-            if kind < 0.72:
+            if kind < 0.68:
                 if self.random.random() < 0.25:
                     text += f' <a href="/x">{self.words(1, 4, "")}</a> {self.words(3, 20)}'
                 body.append(self.one("<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>", "<p><b>{}<br>").format(text))
-            elif kind < 0.8:
+            elif kind < 0.76:
                 body.append(f"<h2>{self.main(self.words(1, 7, ''))}</h2>")
-            elif kind < 0.87:
+            elif kind < 0.83:
                 items = "".join(f"<li>{self.main(self.words(1, 25, self.one('', '.')))}</li>" for _ in range(self.random.randint(1, 5)))
                 body.append(self.one("<ul>{}</ul>", "<ol>{}</ol>").format(items))
-            elif kind < 0.91:
+            elif kind < 0.88:
                 body.append(self.one("<blockquote>{}</blockquote>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>").format(text))
-            elif kind < 0.94:
+            elif kind < 0.9:
                 cell = lambda: f"<td>{self.main(self.words(1, 4, ''))}</td>"
                 body.append("<table>" + "".join(f"<tr>{cell()}{cell()}</tr>" for _ in range(self.random.randint(1, 4))) + "</table>")
-            elif kind < 0.96:
+            elif kind < 0.91:
                 body.append(f"<figure><img><figcaption>{self.main(self.words(3, 20))}</figcaption></figure>")
             else:
                 body.append(self.aside())
@@ -416,7 +422,7 @@ def labelled_pages(count: int, seed: int = 11) -> list[tuple[list[Block], list[i
 
 
 @lru_cache(maxsize=4)
-def trained(pages: int = 800) -> Field:
+def trained(pages: int = 1000) -> Field:
     """The field fitted on that many labelled pages."""
     return fit(labelled_pages(pages))
 

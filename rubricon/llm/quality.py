@@ -108,7 +108,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, n_bins: int = 10, steps: int = 600, rate: float = 0.05) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, n_bins: int = 14, steps: int = 600, rate: float = 0.05) -> Model:
     """Minimise the non-negative risk by full-batch Adam steps."""
     both = np.concatenate([positive, unlabelled])
     # Few texts are odd in any one figure, so the edges are dense at both ends of the range.

@@ -15,8 +15,8 @@ def jaccard(a, b):
 def test_collision_rate_is_generalised_jaccard():
     rng, sampler = random.Random(9), fingerprints.Sampler()
     misses = []
-    for _ in range(150):
-        pool = [f"w{i}" for i in range(60)]
+    for trial in range(200):
+        pool = [f"w{i}_{trial}" for i in range(60)]
         a = rng.choices(pool[:45], k=120)
         b = a[: rng.randint(0, 120)] + rng.choices(pool, k=60)
         x, y = sampler.fingerprints([" ".join(a), " ".join(b)])
