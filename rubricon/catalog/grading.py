@@ -254,33 +254,44 @@ def _(t):
     )
 
 
+_MODELS = ("alpha", "beta", "gamma", "delta", "epsilon")
+
+
 @query(
     "graded_answers",
-    with_(CRITERIA, _REPLIES, WEIGHTS)
-    + """, v AS (SELECT l_orderkey AS question, CASE l_returnflag WHEN 'A' THEN 'critical' WHEN 'N' THEN 'important' ELSE 'optional' END AS tier,
-    coalesce(met, false) AS met FROM lineitem LEFT JOIN replies ON part = l_partkey),
-  q AS (SELECT o_orderkey AS question, o_orderpriority AS model, o_orderstatus = 'P' AS h, CASE left(o_orderpriority, 1) WHEN '1' THEN 'quantitative'
-    WHEN '2' THEN 'disclosure' WHEN '3' THEN 'governance' WHEN '4' THEN 'forensic' ELSE 'modeling' END AS category FROM orders),
-  s AS (SELECT model, question, h, greatest(0.0, sum(CASE WHEN met THEN CASE tier WHEN 'critical' THEN w_c WHEN 'important' THEN w_i ELSE w_o END ELSE 0 END)
+    with_(CRITERIA, WEIGHTS)
+    + f""", models AS (SELECT unnest(range(5)) AS m, unnest({list(_MODELS)}) AS model),
+  a AS (SELECT o_orderkey AS question, model, m, (o_orderkey + m) % 7 = 0 AS h, CASE left(o_orderpriority, 1) WHEN '1' THEN 'quantitative'
+    WHEN '2' THEN 'disclosure' WHEN '3' THEN 'governance' WHEN '4' THEN 'forensic' ELSE 'modeling' END AS category FROM orders, models),
+  v AS (SELECT l_orderkey AS question, model, CASE l_returnflag WHEN 'A' THEN 'critical' WHEN 'N' THEN 'important' ELSE 'optional' END AS tier,
+    (p_size + m) % 3 > 0 AND (p_size + m) % 2 = 0 AS met FROM lineitem JOIN part ON p_partkey = l_partkey, models),
+  s AS (SELECT model, question, h, greatest(0.0, coalesce(sum(CASE WHEN met THEN CASE tier WHEN 'critical' THEN w_c WHEN 'important' THEN w_i ELSE w_o END ELSE 0 END), 0)
       + CASE WHEN h THEN -abs(any_value(w_h)) ELSE 0 END) AS raw,
-    sum(CASE tier WHEN 'critical' THEN w_c WHEN 'important' THEN w_i ELSE w_o END) AS mx,
-    bool_or(tier = 'critical' AND NOT met) OR h AS failed, bool_and(met) AND NOT h AS pass
-    FROM v JOIN q USING (question) JOIN weights USING (category) GROUP BY 1, 2, 3)
-  SELECT model, count(*) AS count, round(avg(CASE WHEN failed THEN 0 ELSE round(raw / mx, 4) END), 4) AS avg_gated,
-  round(avg(round(raw / mx, 4)), 4) AS avg_ungated, round(avg(CASE WHEN pass THEN 1.0 ELSE 0.0 END), 4) AS avg_all_pass,
-  'critical' AS dealbreaker_tier FROM s GROUP BY model""",
+    coalesce(sum(CASE tier WHEN 'critical' THEN w_c WHEN 'important' THEN w_i WHEN 'optional' THEN w_o END), 0) AS mx,
+    coalesce(bool_or(tier = 'critical' AND NOT met), false) OR h AS failed, coalesce(bool_and(met), true) AND NOT h AS pass
+    FROM a LEFT JOIN v USING (question, model) JOIN weights USING (category) GROUP BY 1, 2, 3),
+  r AS (SELECT *, CASE WHEN mx > 0 THEN round(raw / mx, 4) ELSE 0 END AS score FROM s)
+  SELECT model, count(*) AS count, round(avg(CASE WHEN failed THEN 0 ELSE score END), 4) AS avg_gated,
+  round(avg(score), 4) AS avg_ungated, round(avg(CASE WHEN pass THEN 1.0 ELSE 0.0 END), 4) AS avg_all_pass,
+  'critical' AS dealbreaker_tier FROM r GROUP BY model""",
 )
 def _(t):
-    """From criteria and judge replies to the gated run summary in one plan."""
-    from rubricon.catalog.base import tier_of
+    """From criteria and judge replies to the gated run summary in one plan. All five models answer
+    every order; orders without a line have no criteria."""
+    from rubricon.catalog.base import category_of, tier_of
 
+    models = F.posexplode(F.array(*[F.lit(m) for m in _MODELS])).alias("m", "model")
     criteria = t.lineitem.select(
         F.col("l_orderkey").alias("question"), F.col("l_partkey").alias("part"), tier_of("l_returnflag").alias("tier")
     )
-    replies = t.part.where(F.col("p_size") % 3 > 0).select(
+    answers = t.orders.select(F.col("o_orderkey").alias("question"), category_of("o_orderpriority").alias("category"), models)
+    answers = answers.select("question", "model", "category", ((F.col("question") + F.col("m")) % 7 == 0).alias("hallucination"))
+    size = F.col("p_size") + F.col("m")
+    replies = t.part.select("p_partkey", "p_size", models).where(size % 3 > 0).select(
         F.col("p_partkey").alias("part"),
-        (F.col("p_size") % 2 == 0).alias("met"),
+        "model",
+        (size % 2 == 0).alias("met"),
         F.lit("").alias("reason"),
         F.lit(None).cast("string").alias("failure"),
     )
-    return grade_answers(criteria, t.questions(), replies, ["part"])["gated_summary"]
+    return grade_answers(criteria, answers, replies, ["model", "part"])["gated_summary"]

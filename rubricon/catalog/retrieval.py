@@ -229,7 +229,7 @@ def _(t):
         _docs(t),
         _items(t),
         "scope",
-        vectors=_doc_vectors(t),
+        vectors=_doc_vectors(t).withColumn("scope", F.lit("all")),
         query_vectors=_item_vectors(t),
         rerank_scores=lambda c: _rerank_scores(t, c),
     )
@@ -309,7 +309,7 @@ def _(t):
 @query(
     "context_or_text",
     with_(_STORE)
-    + """SELECT c_custkey AS query_id, key, md5(CASE WHEN c_custkey % 2 = 0 THEN 'context ' || c_custkey ELSE left(text, 50000) END) AS context_md5
+    + """SELECT c_custkey AS query_id, key, md5(CASE WHEN c_custkey % 2 = 0 THEN 'context ' || c_custkey ELSE text END) AS context_md5
   FROM (SELECT c_custkey, 'src_' || (c_custkey % 22) AS key FROM customer) LEFT JOIN store USING (key)""",
 )
 def _(t):

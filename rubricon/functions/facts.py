@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +21,18 @@ def is_quantitative(fact: Column) -> Column:
     return fact.rlike(r"(?U)\d")
 
 
+@lru_cache(maxsize=1)
+def _digits() -> tuple[str, str]:
+    """All decimal digits beyond ASCII, and the ASCII digits they stand for."""
+    found = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdecimal()]
+    return "".join(found), "".join(str(int(c)) for c in found)
+
+
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of any script as 0 to 9."""
+    return F.when(text.rlike(r"(?U)[\d&&[^0-9]]"), F.translate(text, *_digits())).otherwise(text)
+
+
 @F.pandas_udf(T.DoubleType())
 def _round_binary(value: pd.Series) -> pd.Series:
     return value.map(lambda v: v if pd.isna(v) else round(v, 1)).astype("float64")
@@ -30,7 +45,7 @@ def amount_in_millions(fact: Column, binary_rounding: bool = False) -> Column:
     number is taken as its unit. Rounding is half-even on the decimal form inside
     the JVM; ``binary_rounding`` rounds the binary value instead, in Python.
     """
-    bare = F.replace(fact, F.lit(","))
+    bare = F.replace(ascii_digits(fact), F.lit(","))
     number = F.regexp_extract(bare, AMOUNT_PATTERN, 1)
     unit = F.upper(F.regexp_extract(bare, AMOUNT_PATTERN, 2))
     value = F.when(number != "", number).cast("double")

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from rubricon.functions.text import slice_text
 from rubricon.operators.grouping import exploded
 
-# Reference form, and text kept when a document has no index.
+# Fixed value: reference form.
 KEY_PATTERN = r"\{\{([^{}]+)\}\}"
-FLAT_CHARS = 50_000
 
 
 def keyed_store(saves: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -96,12 +95,13 @@ def fill_prompts(prompts: DataFrame, store: DataFrame, ranges: DataFrame | None
     return out.select("prompt_id", F.when(error.isNull(), F.col("_text")).alias("text"), error.alias("error"))
 
 
-def context_or_text(requests: DataFrame, contexts: DataFrame, store: DataFrame) -> DataFrame:
-    """Retrieved context, else the first part of the document's flat text."""
+def context_or_text(requests: DataFrame, contexts: DataFrame, store: DataFrame, chars: int | None = None) -> DataFrame:
+    """Retrieved context, else the document's flat text, cut to ``chars`` characters if asked for."""
+    flat = F.col("text") if chars is None else F.left("text", F.lit(chars))
     return (
         requests.join(contexts.select("query_id", "context"), "query_id", "left")
         .join(store.select("key", "text"), "key", "left")
-        .select(*requests.columns, F.coalesce("context", F.left("text", F.lit(FLAT_CHARS))).alias("context"))
+        .select(*requests.columns, F.coalesce("context", flat).alias("context"))
     )
 
 

@@ -116,9 +116,10 @@ def roll_up(
     """Weighted, penalised and normalised score per key.
 
     ``category`` and ``hallucination`` come from the verdict rows, or from ``questions(<keys>,
-    ..., category, hallucination)``. Criteria are counted first, in one aggregate with
-    map-side combine, and only the one row per key meets the questions and the weights: a
-    question with very many criteria costs no more than its share of the scan.
+    ..., category, hallucination)``, of which those without any verdict score 0. Criteria are
+    counted first, in one aggregate with map-side combine, and only the one row per key meets the
+    questions and the weights: a question with very many criteria costs no more than its share of
+    the scan.
     ``signed_penalty`` adds the stored weight instead of deducting its size.
     """
     counts = [
@@ -133,10 +134,10 @@ def roll_up(
         )
         shown = list(keys)
     else:
-        counted = (
-            verdicts.groupBy(*keys)
-            .agg(*counts)
-            .join(questions.withColumnRenamed("hallucination", "hallucination_detected"), list(keys))
+        named = questions.withColumnRenamed("hallucination", "hallucination_detected")
+        # A question without criteria stays, with counts of zero.
+        counted = named.join(verdicts.groupBy(*keys).agg(*counts), list(keys), "left").fillna(
+            0, [f"_{t}_{part}" for t in TIERS for part in ("met", "all")]
         )
         shown = [c for c in questions.columns if c not in ("category", "hallucination")]
     w = with_weights(counted)

@@ -192,18 +192,20 @@ def sparse_fallback(chunks: DataFrame, texts: DataFrame, key: str, least: int =
     )
 
 
-def document_chunks(
-    texts: DataFrame, key: str, least: int = SPARSE_CHUNKS, cap: int = CHUNK_CAP
-) -> DataFrame:
-    """Chunks of ``(<key>, text, raw_text)`` documents: the split of the labelled text, or of the
-    raw text where that gives fewer than ``least`` chunks, evenly sampled to ``cap``. Counts
-    are array sizes here, so nothing is shuffled."""
+def document_chunks(texts: DataFrame, key: str, least: int | None = None) -> DataFrame:
+    """Chunks of ``(<key>, text, raw_text)`` documents: the split of the labelled text.
+
+    With ``least``, a document whose labelled text gives fewer chunks is split from its raw text
+    instead. Counts are array sizes here, so nothing is shuffled. ``proportional_sample`` is a step
+    of its own for callers that want fewer chunks."""
     split = make_splitter()
-    rows = texts.withColumn("_s", split(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("_r", split(F.when(F.size("_s") < least, F.col("raw_text"))))
-    chosen = rows.select(key, F.when(F.size("_s") >= least, F.col("_s")).otherwise(F.col("_r")).alias("_c"))
-    out = exploded(chosen, [key, F.size("_c").alias("_n")], F.col("_c"), "chunk_idx", "text")
-    return out.where((F.col("_n") <= cap) | _sampled(cap)).drop("_n")
+    chosen = split(F.coalesce("text", F.lit("")))
+    rows = texts
+    if least is not None:
+        rows = texts.withColumn("_s", chosen)
+        rows = rows.withColumn("_r", split(F.when(F.size("_s") < least, F.col("raw_text"))))
+        chosen = F.when(F.size("_s") >= least, F.col("_s")).otherwise(F.col("_r"))
+    return exploded(rows, [key], chosen, "chunk_idx", "text")
 
 
 def _sampled(cap: int) -> Column:
@@ -254,11 +256,12 @@ def publishable(chunks: DataFrame, key: str, share: float = PREFIX_SHARE) -> Dat
 
 
 def postings(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Term counts per chunk."""
+    """Term counts per chunk, with the chunk's length in terms."""
+    cut = chunks.select(*keys, tokens(F.col("text")).alias("_t"))
     return (
-        exploded(chunks, keys, tokens(F.col("text")), "_i", "term")
+        exploded(cut, [*keys, F.size("_t").alias("len")], F.col("_t"), "_i", "term")
         .groupBy(*keys, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        .agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
     )
 
 

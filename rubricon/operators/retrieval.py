@@ -1,9 +1,10 @@
 """Hybrid retrieval for a table of queries.
 
-Lexical, dense and verbatim-term channels share one shape: the queries are sent to every
-task in bounded waves, chunks stream past them in Arrow batches, and each task keeps
-only its best rows per query. Chunk-query pairs are never laid out as rows, and the shuffle
-carries at most ``k`` rows per query and task.
+A query sees the chunks of its scope, usually one document, and chunk ids need be unique within
+a scope only. The lexical channel joins query terms with postings, all in the JVM, and adds chunks
+without any term from their ids alone. In the dense and verbatim-term channels the queries are sent
+to every task in bounded waves, chunks stream past them in Arrow batches, and each dense task keeps
+only its best rows per query.
 
 Scores are rounded to 9 decimals before ranking, so copies of a chunk tie exactly; ties go
 to the larger chunk id in the scored channels and to the smaller one in the verbatim
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubricon.functions.text import exact_terms, tokens
-from rubricon.operators.grouping import exploded, lookup_join, numbered, pinned, top_k
-from rubricon.operators.index import corpus_stats, term_stats
+from rubricon.operators.grouping import exploded, numbered, top_k
+from rubricon.operators.index import corpus_stats, postings
 from rubricon.operators.waves import waves
 from rubricon.session import stored
 
@@ -73,154 +74,120 @@ def _union(parts: list[DataFrame], spark, schema: str) -> DataFrame:
     return out
 
 
-def query_weights(
-    chunks: DataFrame, queries: DataFrame, scope: str, stats: tuple[DataFrame, DataFrame] | None = None
-) -> DataFrame:
+def query_weights(queries: DataFrame, scope: str, terms: DataFrame, corpus: DataFrame) -> DataFrame:
     """Weight of every query term that occurs in the query's corpus.
 
-    ``stats`` are the ``terms`` and ``corpus`` tables of an index, which save counting the
-    chunks again.
-
-    The weight is the term's inverse document frequency times its repetitions in the
-    query; a negative frequency weight is replaced by a quarter of the corpus mean.
+    ``terms(<scope>, term, df)`` and ``corpus(<scope>, n_chunks, avg_len)`` are tables of an index.
+    The weight is the term's inverse document frequency times its repetitions in the query; a
+    negative frequency weight is replaced by a quarter of the corpus mean.
     """
-    # One corpus may hold most chunks, so they are never partitioned by scope.
-    wanted, small = pinned(queries.select(scope).distinct())
-    if stats is None:
-        corpus = lookup_join(chunks, wanted, small, [scope], ["chunk_id"], "left_semi")
-        counts, size = term_stats(corpus, [scope]), corpus_stats(corpus, [scope])
-    else:
-        counts = lookup_join(stats[0], wanted, small, [scope], ["term"], "left_semi")
-        size = stats[1]
     idf = (
-        counts.join(size.select(scope, "n_chunks"), scope)
+        terms.join(queries.select(scope).distinct(), scope, "left_semi")
+        .join(corpus.select(scope, "n_chunks", "avg_len"), scope)
         .withColumn("idf", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     )
     mean = idf.groupBy(scope).agg(F.avg("idf").alias("mean_idf"))
-    terms = (
+    asked = (
         exploded(queries, [scope, "query_id"], tokens(F.col("text")), "_i", "term")
         .groupBy(scope, "query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
     floor = F.lit(BM25_FLOOR) * F.col("mean_idf")
     return (
-        terms.join(idf.select(scope, "term", "idf"), [scope, "term"])
+        asked.join(idf.select(scope, "term", "idf", "avg_len"), [scope, "term"])
         .join(mean, scope)
-        .join(size.select(scope, "avg_len"), scope)
         .select(
-            scope,
-            "query_id",
-            "term",
-            "avg_len",
+            scope, "query_id", "term", "avg_len",
             (F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")) * F.col("qtf")).alias("weight"),
         )
-    )
+    )
+
+
+def lexical_tables(chunks: DataFrame, scope: str) -> dict[str, DataFrame]:
+    """``postings``, ``terms`` and ``corpus`` of chunks, as an index keeps them. The postings are
+    stored; the term counts are counts of them."""
+    rows = stored(postings(chunks, [scope, "chunk_id"]), "postings")
+    return {
+        "postings": rows,
+        "terms": rows.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df")),
+        "corpus": corpus_stats(chunks, [scope]),
+    }
 
 
 def lexical_channel(
-    chunks: DataFrame, queries: DataFrame, scope: str, k: int = CHANNEL_K, wave_rows: int = 100_000,
-    stats: tuple[DataFrame, DataFrame] | None = None,
-) -> DataFrame:
+    chunks: DataFrame, queries: DataFrame, scope: str, k: int = CHANNEL_K, tables: dict[str, DataFrame] | None = None
+) -> DataFrame:
     """Best ``k`` chunks per query by BM25, chunks without any query term included.
 
-    ``chunks(<scope>, chunk_id, text)``, ``queries(<scope>, query_id, text)``; a query sees
-    the chunks of its scope only. One pass counts terms (none with ``stats``), one scores. A query without any
-    known term still ranks its corpus, with zero scores.
+    ``chunks(<scope>, chunk_id, text)``, ``queries(<scope>, query_id, text)``; a query sees the chunks
+    of its scope only. ``tables`` are the postings, terms and corpus tables of an index; with them the
+    texts are not read. A query without any known term still ranks its corpus, with zero scores.
     """
-    weights = query_weights(chunks, queries, scope, stats)
-    padded = queries.select(scope, "query_id").join(weights, [scope, "query_id"], "left")
-    spark = chunks.sparkSession
-    parts = []
-    source = chunks.select(F.col(scope).alias("scope"), "chunk_id", "text")
-    for part in waves(padded, ["query_id"], wave_rows):
-        shared = spark.sparkContext.broadcast(_weight_blocks(part, scope))
-        asked = source.where(F.col("scope").isin(sorted(shared.value))) if len(shared.value) <= 1000 else source
-        parts.append(asked.mapInPandas(_score_lexical(shared, k), HITS))
-    return _ranked(_union(parts, spark, HITS), k)
-
+    tables = tables or lexical_tables(chunks, scope)
+    weights = query_weights(queries, scope, tables["terms"], tables["corpus"])
+    tf, length = F.col("tf"), F.col("len") / F.col("avg_len")
+    part = F.col("weight") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length))
+    matched = stored(
+        tables["postings"].join(weights, [scope, "term"]).groupBy(scope, "query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score")),
+        "matches",
+    )
+    return _ranked(matched.select("query_id", "chunk_id", "score").unionByName(_unmatched(chunks, queries, scope, matched, k)), k)
 
-def _weight_blocks(part, scope, cells: int = 4_000_000):
-    """scope -> blocks of (term index, query ids, weight matrix, average length). The number
-    of queries in a block shrinks as its vocabulary grows."""
-    frame = part.to_pandas()
-    out = {}
-    for key, rows in frame.groupby(scope):
-        known = rows.dropna(subset=["term"])
-        avg_len = float(known["avg_len"].iloc[0]) if len(known) else 1.0
-        ids = rows["query_id"].unique()
-        width = min(512, max(1, cells // max(1, known["term"].nunique())))
-        blocks = []
-        for start in range(0, len(ids), width):
-            block = ids[start : start + width]
-            mine = known[known["query_id"].isin(block)]
-            terms = {t: i for i, t in enumerate(mine["term"].unique())}
-            col = {q: i for i, q in enumerate(block)}
-            matrix = np.zeros((len(terms), len(block)))
-            matrix[mine["term"].map(terms).to_numpy(dtype=int), mine["query_id"].map(col).to_numpy(dtype=int)] = mine["weight"]
-            blocks.append((terms, block, matrix, avg_len))
-        out[key] = blocks
-    return out
 
+def _unmatched(chunks: DataFrame, queries: DataFrame, scope: str, matched: DataFrame, k: int) -> DataFrame:
+    """Chunks without a term, the largest ids first, for queries with fewer than ``k`` positive scores.
 
-def _score_lexical(shared, k):
-    def run(batches):
-        best = defaultdict(lambda: _Best(k))
-        for batch in batches:
-            for scope, rows in batch.groupby("scope"):
-                blocks = shared.value.get(scope)
-                if not blocks:
-                    continue
-                found = [text.lower().split() for text in rows["text"]]
-                ids = rows["chunk_id"].to_numpy()
-                for terms, query_ids, matrix, avg_len in blocks:
-                    scores = np.zeros((len(ids), len(query_ids)))
-                    for n, words in enumerate(found):
-                        tf = Counter(w for w in words if w in terms)
-                        if tf:
-                            count = np.fromiter(tf.values(), dtype=float)
-                            norm = BM25_K1 * (1 - BM25_B + BM25_B * len(words) / avg_len)
-                            at = [terms[w] for w in tf]
-                            scores[n] = (count * (BM25_K1 + 1) / (count + norm)) @ matrix[at]
-                    for c, q in enumerate(query_ids):
-                        best[q].offer(scores[:, c], ids)
-        yield _emit(best)
-
-    return run
+    Such a query finds what it needs among the ``k`` plus as many last ids of its scope as it has
+    matches, which are fewer than ``k`` unless scores are negative.
+    """
+    counts = matched.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("_up"), F.count(F.lit(1)).alias("_m"))
+    short = queries.select(scope, "query_id").distinct().join(counts, "query_id", "left").fillna(0, ["_up", "_m"]).where(F.col("_up") < k)
+    most = short.agg(F.max("_m")).first()[0]
+    last = top_k(chunks.select(scope, "chunk_id"), [scope], [F.desc("chunk_id")], k + (most or 0), "_i")
+    free = short.join(last, scope).where(F.col("_i") < k + F.col("_m"))
+    free = free.join(matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return free.select("query_id", "chunk_id", F.lit(0.0).alias("score"))
 
 
 def dense_channel(
-    vectors: DataFrame, queries: DataFrame, k: int = CHANNEL_K, wave_rows: int = 5_000
+    vectors: DataFrame, queries: DataFrame, k: int = CHANNEL_K, wave_rows: int = 5_000, scope: str | None = None
 ) -> DataFrame:
     """Best ``k`` chunks per query by plain dot product.
 
-    ``vectors(chunk_id, vector)``, ``queries(query_id, vector)``. Products are formed in
-    double precision, one matrix product per batch.
+    ``vectors([<scope>,] chunk_id, vector)``, ``queries([<scope>,] query_id, vector)``; with ``scope``
+    a query sees the vectors of its scope only. Products are formed in double precision, one matrix
+    product per batch and scope.
     """
     spark = vectors.sparkSession
+    of_scope = (F.col(scope) if scope else F.lit("")).alias("scope")
     parts = []
-    for part in waves(queries.select("query_id", "vector"), ["query_id"], wave_rows):
-        ids = part["query_id"].to_numpy()
-        matrix = np.array(part["vector"].to_pylist(), dtype=np.float64)
-        shared = spark.sparkContext.broadcast((ids, matrix))
-        parts.append(vectors.select("chunk_id", "vector").mapInArrow(_score_dense(shared, k), HITS))
+    for part in waves(queries.select(of_scope, "query_id", "vector"), ["query_id"], wave_rows):
+        frame = part.to_pandas()
+        blocks = {
+            key: (rows["query_id"].to_numpy(), np.stack(rows["vector"].to_list()).astype(np.float64))
+            for key, rows in frame.groupby("scope")
+        }
+        shared = spark.sparkContext.broadcast(blocks)
+        parts.append(vectors.select(of_scope, "chunk_id", "vector").mapInArrow(_score_dense(shared, k), HITS))
     return _ranked(_union(parts, spark, HITS), k)
 
 
 def _score_dense(shared, k):
     def run(batches):
-        ids, matrix = shared.value
-        best = {q: _Best(k) for q in ids}
+        best = {q: _Best(k) for ids, _ in shared.value.values() for q in ids}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            rows = flat.reshape(batch.num_rows, -1).astype(np.float64)
-            chunk_ids = batch.column("chunk_id").to_numpy()
-            # A block of queries at a time bounds the score matrix.
-            for start in range(0, len(ids), 256):
-                scores = rows @ matrix[start : start + 256].T
-                for c, q in enumerate(ids[start : start + 256]):
-                    best[q].offer(scores[:, c], chunk_ids)
+            scopes = np.array(batch.column("scope").to_pylist(), dtype=object)
+            for key in set(scopes) & shared.value.keys():
+                mine = batch.filter(pa.array(scopes == key))
+                ids, matrix = shared.value[key]
+                flat = mine.column("vector").flatten().to_numpy(zero_copy_only=False)
+                rows = flat.reshape(mine.num_rows, -1).astype(np.float64)
+                chunk_ids = mine.column("chunk_id").to_numpy()
+                # A block of queries at a time bounds the score matrix.
+                for start in range(0, len(ids), 256):
+                    scores = rows @ matrix[start : start + 256].T
+                    for c, q in enumerate(ids[start : start + 256]):
+                        best[q].offer(scores[:, c], chunk_ids)
         frame = _emit(best).astype({"query_id": "int64", "chunk_id": "int64", "score": "float64"})
         yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 

@@ -23,7 +23,7 @@ def build_index(
 
     ``contexts`` writes prefixes ``(url_key, chunk_idx, prefix)`` for chunk rows, usually a
     model step; without it chunks go unprefixed and the publish flags say so. Pages are parsed
-    and split once each; both results are kept in the shared folder for the later passes.
+    and split once each, and prefixes written once; the results are kept in the shared folder for the later passes.
     """
     fresh = index.unseen_pages(pages, done)
     parsed = stored(index.page_text_and_blocks(fresh), "parsed-pages")
@@ -32,8 +32,9 @@ def build_index(
     meta = texts.select(
         KEY, "url", *index.filing_metadata(F.col("raw_text")), document_sample(F.col("raw_text")).alias("summary_input")
     )
+    # Stored, so that a model is asked once whatever is read from the result.
     prefixes = (
-        contexts(chunks)
+        stored(contexts(chunks), "prefixes")
         if contexts
         else chunks.select(KEY, "chunk_idx", F.lit("").alias("prefix"))
     )

@@ -10,13 +10,19 @@ from rubricon.operators import grading
 
 
 def grade_answers(
-    criteria: DataFrame, questions: DataFrame, replies: DataFrame, reply_keys: Sequence[str], dealbreaker: str = "critical"
+    criteria: DataFrame, answers: DataFrame, replies: DataFrame, reply_keys: Sequence[str], dealbreaker: str = "critical"
 ) -> dict[str, DataFrame]:
-    """``criteria(question, tier, ...)``, ``questions(question, model, category, hallucination)``
+    """``criteria(question, tier, ...)``, ``answers(question, model, category, hallucination)``
     and ``replies(<keys>, met, reason, failure)`` to verdicts, scores, gated scores and
-    both summaries."""
-    verdicts = grading.attach_verdicts(criteria, replies, reply_keys)
-    scores = grading.roll_up(verdicts, ["question"], questions)
+    both summaries.
+
+    Every answer is judged and scored on its own: a question that several models answered has its
+    criteria once per model, and ``reply_keys`` name the model where replies differ by it. An answer
+    to a question without criteria scores 0 and counts.
+    """
+    asked = criteria.join(answers.select("question", "model"), "question")
+    verdicts = grading.attach_verdicts(asked, replies, reply_keys)
+    scores = grading.roll_up(verdicts, ["model", "question"], answers)
     gated = grading.gate(scores, dealbreaker)
     return {
         "verdicts": verdicts,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,8 +30,8 @@ def get_session(app: str = "rubricon", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a private temporary folder is made and remembered.
+    The cluster names it in ``spark.checkpoint.dir``. Only in local mode, where the
+    executors share the driver's disk, a private temporary folder may stand in for it.
     """
     current = spark.sparkContext.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,12 +41,26 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rubricon-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all intermediate tables that this application has stored. Call it when the results
+    that were built on them have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df):

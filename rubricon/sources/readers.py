@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubricon import schemas
+from rubricon.functions.text import trim_space
 
 
 def _json(spark: SparkSession, path, schema: str, multiline: bool) -> DataFrame:
@@ -66,7 +67,7 @@ def taxonomy(spark: SparkSession, path) -> DataFrame:
 
 def questions(spark: SparkSession, path) -> DataFrame:
     """One question per line, stripped, blank lines dropped."""
-    text = F.trim("value")
+    text = trim_space(F.col("value"))
     return spark.read.text(path).select(text.alias("question")).where(text != "")
 
 
@@ -84,7 +85,7 @@ def any_answers(spark: SparkSession, source: str, question: str, is_path: bool =
     list becomes one answer to ``question``."""
     if not is_path:
         return inline_answer(spark, source, question)
-    first = spark.read.text(source).where(F.trim("value") != "").select(F.trim("value")).first()
+    first = questions(spark, source).first()
     if first is not None and first[0].startswith("["):
         return answers(spark, source).select("question", "answer")
     return plain_answers(spark, source, question)

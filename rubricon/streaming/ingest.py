@@ -17,14 +17,15 @@ from pyspark.sql.streaming import StreamingQuery
 from rubricon.plans.build_index import KEY, build_index
 
 PAGES = "page_id long, url string, html string"
-TABLES = ("texts", "metadata", "chunks", "publish")
 
 
 def indexed_keys(spark: SparkSession, folder: str, before: int) -> DataFrame:
     """Url keys written by batches before ``before``."""
     try:
         return spark.read.parquet(f"{folder}/texts").where(F.col("batch") < before).select(KEY)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], f"{KEY} string")
 
 
@@ -32,20 +33,17 @@ def write_batch(
     pages: DataFrame, batch: int, folder: str, contexts: Callable[[DataFrame], DataFrame] | None = None
 ) -> None:
     """Index one batch. With a context step, chunks of documents that miss the prefix share go
-    to ``quarantine`` instead of ``chunks``."""
+    to ``quarantine`` instead of ``chunks``, and their pages are taken up again when they next land."""
     spark = pages.sparkSession
     tables = build_index(pages, indexed_keys(spark, folder, batch), contexts)
     put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
-    for name in ("metadata", "publish"):
-        put(tables[name], name)
-    if contexts is None:
-        put(tables["chunks"], "chunks")
-    else:
-        kept = tables["publish"].where("publish").select(KEY)
-        put(tables["chunks"].join(kept, KEY, "left_semi"), "chunks")
+    put(tables["publish"], "publish")
+    kept = tables["publish"].where("publish" if contexts else "true").select(KEY)
+    if contexts:
         put(tables["chunks"].join(kept, KEY, "left_anti"), "quarantine")
-    # The key list comes last: a batch without it counts as not done.
-    put(tables["texts"], "texts")
+    for name in ("metadata", "chunks", "postings", "terms", "corpus", "texts"):
+        # The key list of texts comes last: a batch without it counts as not done.
+        put(tables[name].join(kept, KEY, "left_semi"), name)
 
 
 def ingest(

@@ -39,7 +39,22 @@ def test_question_attributes_can_come_separately(spark):
     v = spark.createDataFrame([(1, "critical", True), (1, "optional", False)], "question long, tier string, met boolean")
     q = spark.createDataFrame([(1, "m", "forensic", False), (2, "m", "forensic", False)], "question long, model string, category string, hallucination boolean")
     r = grading.roll_up(v, ["question"], q).collect()
-    assert [(x["model"], x["question"], x["score"]) for x in r] == [("m", 1, 0.8333)]
+    assert sorted((x["model"], x["question"], x["score"]) for x in r) == [("m", 1, 0.8333), ("m", 2, 0.0)]
+
+
+def test_models_of_one_question_are_scored_apart(spark):
+    c = spark.createDataFrame([(1, "critical", "a"), (1, "optional", "b")], "question long, tier string, fact string")
+    a = spark.createDataFrame(
+        [(1, "good", "forensic", False), (1, "bad", "forensic", False), (2, "bad", "forensic", False)],
+        "question long, model string, category string, hallucination boolean",
+    )
+    r = spark.createDataFrame(
+        [(m, f, m == "good", "", None) for m in ("good", "bad") for f in "ab"],
+        "model string, fact string, met boolean, reason string, failure string",
+    )
+    out = grade_answers(c, a, r, ["model", "fact"])
+    assert {(x["model"], x["question"]): x["score"] for x in out["scores"].collect()} == {("good", 1): 1.0, ("bad", 1): 0.0, ("bad", 2): 0.0}
+    assert {x["model"]: (x["count"], x["average_score"]) for x in out["summary"].collect()} == {"good": (1, 1.0), "bad": (2, 0.0)}
 
 
 def test_unknown_category_scores_zero(spark):

@@ -37,28 +37,43 @@ def test_lexical_channel_equals_brute_force(spark):
     queries.append(("a", 99, "nothing matches"))
     c = spark.createDataFrame(docs, "scope string, chunk_id long, text string")
     q = spark.createDataFrame(queries, "scope string, query_id long, text string")
-    for wave_rows in (500_000, 7):
-        got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in retrieval.lexical_channel(c, q, "scope", 10, wave_rows).collect()}
+    for k in (10, 60):
+        got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in retrieval.lexical_channel(c, q, "scope", k).collect()}
         want = {}
         for scope, qid, text in queries:
             mine = [d for d in docs if d[0] == scope]
             scores = bm25([d[2].split() for d in mine], text.lower().split())
-            top = sorted(zip(scores, mine), key=lambda x: (-round(x[0], 9), -x[1][1]))[:10]
+            top = sorted(zip(scores, mine), key=lambda x: (-round(x[0], 9), -x[1][1]))[:k]
             for rank, (s, d) in enumerate(top):
                 want[(qid, rank)] = (d[1], s)
         assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
         assert all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
 
 
-def test_stored_statistics_give_the_same_ranks(spark):
-    from rubricon.operators.index import corpus_stats, term_stats
+def test_tables_of_an_index_give_the_same_ranks(spark):
+    from rubricon.operators.index import corpus_stats, postings, term_stats
 
     rnd = random.Random(12)
     c = spark.createDataFrame(corpus(rnd, 60, ["a", "b"]), "scope string, chunk_id long, text string")
     q = spark.createDataFrame([("a", 1, "alpha beta beta"), ("b", 2, "iota")], "scope string, query_id long, text string")
-    stats = (term_stats(c, ["scope"]), corpus_stats(c, ["scope"]))
-    rows = lambda **k: sorted(map(tuple, retrieval.lexical_channel(c, q, "scope", 9, **k).collect()))
-    assert rows(stats=stats) == rows()
+    tables = {"postings": postings(c, ["scope", "chunk_id"]), "terms": term_stats(c, ["scope"]), "corpus": corpus_stats(c, ["scope"])}
+    rows = lambda c, **k: sorted(map(tuple, retrieval.lexical_channel(c, q, "scope", 9, **k).collect()))
+    # With tables, only the ids of the chunks are read.
+    assert rows(c.withColumn("text", F.lit("")), tables=tables) == rows(c)
+
+
+def test_lexical_channel_runs_in_the_jvm(spark):
+    c = spark.createDataFrame([("a", 1, "alpha beta")], "scope string, chunk_id long, text string")
+    q = spark.createDataFrame([("a", 1, "alpha")], "scope string, query_id long, text string")
+    plan = retrieval.lexical_channel(c, q, "scope")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+
+
+def test_dense_channel_keeps_to_the_scope(spark):
+    v = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 0, [9.0, 0.0]), ("b", 1, [1.0, 1.0])], "doc string, chunk_id long, vector array<float>")
+    q = spark.createDataFrame([("a", 7, [1.0, 0.0]), ("b", 8, [0.0, 1.0]), ("c", 9, [1.0, 1.0])], "doc string, query_id long, vector array<double>")
+    got = {(r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in retrieval.dense_channel(v, q, scope="doc").collect()}
+    assert got == {(7, 0, 0, 1.0), (8, 0, 1, 1.0), (8, 1, 0, 0.0)}
 
 
 def test_dense_channel_equals_brute_force(spark):
@@ -85,36 +100,56 @@ def test_verbatim_hits_count_case_variants_twice(spark):
     assert got == {0: (4, 0), 1: (2, 1)}
 
 
-def loop_passages(order):
-    have, visited, out = set(order), set(), []
-    for i in order:
-        if i in visited:
-            continue
-        run = [i]
-        visited.add(i)
-        while run[-1] + 1 in have:
-            run.append(run[-1] + 1)
-            visited.add(run[-1])
-        out.append(run)
-    return out
+def test_passages_of_hand_made_lists(spark):
+    lists = {
+        1: ([6, 5, 7], {0: [6, 7], 1: [5, 6, 7]}, {5: [5, 6, 7]}),
+        2: ([3, 9, 4, 1], {0: [3, 4], 1: [9], 3: [1]}, {1: [1], 3: [3, 4], 9: [9]}),
+        3: ([2], {0: [2]}, {2: [2]}),
+    }
+    rows = [(q, c, r) for q, (order, _, _) in lists.items() for r, c in enumerate(order)]
+    top = spark.createDataFrame(rows, "query_id long, chunk_idx long, rerank_rank int")
+    for document_order in (False, True):
+        got = {}
+        for r in retrieval.passages(top, document_order).collect():
+            got.setdefault(r["query_id"], {}).setdefault(r["passage_rank"], []).append(r["chunk_idx"])
+        for q, (_, by_rank, by_place) in lists.items():
+            assert {k: sorted(v) for k, v in got[q].items()} == (by_place if document_order else by_rank)
 
 
-def test_passages_equal_the_loop(spark):
+def test_passages_are_maximal_runs_from_uncovered_chunks(spark):
     rnd = random.Random(7)
     lists = {q: rnd.sample(range(14), rnd.randrange(1, 12)) for q in range(150)}
-    lists[1000] = [6, 5, 7]
-    top = spark.createDataFrame(
-        [(q, c, r) for q, order in lists.items() for r, c in enumerate(order)], "query_id long, chunk_idx long, rerank_rank int"
-    )
-    for document_order in (False, True):
-        rows = retrieval.passages(top, document_order).collect()
-        for q, order in lists.items():
-            runs = {}
-            for r in rows:
-                if r["query_id"] == q:
-                    runs.setdefault(r["passage_rank"], []).append(r["chunk_idx"])
-            got = [sorted(runs[k]) for k in sorted(runs)]
-            assert got == loop_passages(sorted(order) if document_order else order)
+    rows = [(q, c, r) for q, order in lists.items() for r, c in enumerate(order)]
+    top = spark.createDataFrame(rows, "query_id long, chunk_idx long, rerank_rank int")
+    found = {}
+    for r in retrieval.passages(top).collect():
+        found.setdefault((r["query_id"], r["passage_rank"]), set()).add(r["chunk_idx"])
+    for q, order in lists.items():
+        ranks = sorted(r for p, r in found if p == q)
+        assert set().union(*(found[q, r] for r in ranks)) == set(order)
+        for rank in ranks:
+            run = found[q, rank]
+            # It starts at the chunk of its rank, has no gap, and cannot go on.
+            assert min(run) == order[rank] and len(run) == max(run) - min(run) + 1 and max(run) + 1 not in order
+            assert all(order[rank] not in found[q, r] for r in ranks if r < rank)
+
+
+def test_from_pages_to_context(spark):
+    from rubricon.plans.build_index import build_index
+    from rubricon.plans.retrieve import retrieve_from_index
+
+    para = "<p>" + "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3 + "{}</p>"
+    page = lambda word, n: "<html><body>" + "".join(para.format(f"{word} item {i}") for i in range(n)) + "</body></html>"
+    pages = spark.createDataFrame([(1, "http://a", page("ants", 30)), (2, "http://b", page("bees", 30))], "page_id long, url string, html string")
+    built = build_index(pages)
+    keys = {r["url"]: r["url_key"] for r in built["texts"].collect()}
+    vectors = built["chunks"].select("url_key", "chunk_idx", F.array(F.lit(1.0), F.col("chunk_idx").cast("double")).alias("vector"))
+    queries = spark.createDataFrame([(keys["http://a"], 1, "ants 7"), (keys["http://b"], 2, "Bees-like 9")], "url_key string, query_id long, text string")
+    query_vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, vector array<double>")
+    score = lambda c: c.select("query_id", "chunk_id", (-F.col("fused_rank")).cast("double").alias("rerank_score"))
+    out = {r["query_id"]: r["context"] for r in retrieve_from_index(built, queries, vectors, query_vectors, score).collect()}
+    assert "ants item 7" in out[1] and "bees" not in out[1]
+    assert "bees item 9" in out[2] and "ants" not in out[2]
 
 
 def test_fusion_adds_channels_and_breaks_ties_by_channel(spark):
