@@ -200,21 +200,21 @@ SCORES = """scores AS (SELECT o_orderpriority AS model, c_mktsegment AS domain,
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 _TIER = "CASE l_returnflag WHEN 'A' THEN 'critical' WHEN 'N' THEN 'important' ELSE 'optional' END"
-_CATEGORY = """CASE left(o_orderpriority, 1) WHEN '1' THEN 'quantitative' WHEN '2' THEN 'disclosure'
+CATEGORY = """CASE left(o_orderpriority, 1) WHEN '1' THEN 'quantitative' WHEN '2' THEN 'disclosure'
   WHEN '3' THEN 'governance' WHEN '4' THEN 'forensic' ELSE 'modeling' END"""
 _FACT = "'Part ' || l_partkey || ' shipped ' || CAST(l_quantity AS INT) || ' units'"
 
 CRITERIA = f"""criteria AS (SELECT l_orderkey AS question, l_linenumber AS pos, {_TIER} AS tier,
   {_FACT} AS fact, l_linestatus = 'F' AS met FROM lineitem)"""
 
-VERDICTS = f"""{CRITERIA}, verdicts AS (SELECT c.*, o_orderpriority AS model, {_CATEGORY} AS category,
+VERDICTS = f"""{CRITERIA}, verdicts AS (SELECT c.*, o_orderpriority AS model, {CATEGORY} AS category,
   o_orderstatus = 'P' AS hallucination FROM criteria c JOIN orders ON o_orderkey = question)"""
 
 WEIGHTS = """weights(category, w_c, w_i, w_o, w_h) AS (VALUES ('quantitative', 12.0::DOUBLE, 6.0::DOUBLE, 2.0::DOUBLE, -10.0::DOUBLE),
   ('disclosure', 10.0, 5.0, 2.0, -6.0), ('governance', 10.0, 5.0, 2.0, -6.0), ('forensic', 10.0, 5.0, 2.0, -8.0),
   ('modeling', 10.0, 5.0, 2.0, -8.0), ('comparative', 10.0, 5.0, 2.0, -6.0))"""
 
-FACTS = f"""facts AS (SELECT n_name AS question, {_CATEGORY} AS category, o_orderpriority AS model, o_orderkey AS pos,
+FACTS = f"""facts AS (SELECT n_name AS question, {CATEGORY} AS category, o_orderpriority AS model, o_orderkey AS pos,
   CASE WHEN o_orderstatus = 'P' THEN 'Revenue growth came from ' || lower(c_mktsegment) || ' demand'
        WHEN o_orderkey % 2 = 0 THEN '$' || (t // 10) || '.' || (t % 10) || 'M revenue in ' || y
        ELSE 'FY' || y || ' revenue was $' || (t // 10) || '.' || (t % 10) || 'M' END AS fact

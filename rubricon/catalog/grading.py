@@ -2,17 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from rubricon.catalog.base import CRITERIA, VERDICTS, WEIGHTS, query, with_
+from rubricon.catalog.base import CATEGORY, CRITERIA, VERDICTS, WEIGHTS, query, with_
 from rubricon.functions.jsontext import hallucination, verdict
 from rubricon.operators import grading
 from rubricon.operators.grouping import spread
 from rubricon.plans.grade import grade_answers
 
-_COUNTS = """counted AS (SELECT model, question, category, bool_or(hallucination) AS h,
+_COUNTS = f"""counted AS (SELECT o_orderpriority AS model, o_orderkey AS question, {CATEGORY} AS category, bool_or(o_orderstatus = 'P') AS h,
   count(*) FILTER (tier = 'critical' AND met) AS cm, count(*) FILTER (tier = 'critical') AS ca,
   count(*) FILTER (tier = 'important' AND met) AS im, count(*) FILTER (tier = 'important') AS ia,
   count(*) FILTER (tier = 'optional' AND met) AS om, count(*) FILTER (tier = 'optional') AS oa
-  FROM verdicts GROUP BY 1, 2, 3)"""
+  FROM orders LEFT JOIN criteria ON question = o_orderkey GROUP BY 1, 2, 3)"""
 
 
 def _scored(penalty):
@@ -22,7 +22,7 @@ scored AS (SELECT *, greatest(0.0, ce + ie + oe + pen) AS raw, cp + ip + op AS m
 graded AS (SELECT *, CASE WHEN mx > 0 THEN round(raw / mx, 4) ELSE 0.0::DOUBLE END AS ungated FROM scored)"""
 
 
-_BASE = with_(VERDICTS, WEIGHTS, _COUNTS, _scored("-abs(w_h)"))
+_BASE = with_(CRITERIA, WEIGHTS, _COUNTS, _scored("-abs(w_h)"))
 _GATED = ", gated AS (SELECT *, ca > cm OR h AS failed, ca + ia + oa = cm + im + om AND NOT h AS pass FROM graded)"
 _ROLL = """SELECT model, question, category, h AS hallucination_detected, ce AS critical_earned, cp AS critical_possible,
   ie AS important_earned, ip AS important_possible, oe AS optional_earned, op AS optional_possible,
@@ -42,7 +42,7 @@ def _(t):
     return _shown(_rolled(t))
 
 
-@query("score_roll_up_signed", with_(VERDICTS, WEIGHTS, _COUNTS, _scored("w_h")) + _ROLL)
+@query("score_roll_up_signed", with_(CRITERIA, WEIGHTS, _COUNTS, _scored("w_h")) + _ROLL)
 def _(t):
     return _shown(_rolled(t, signed_penalty=True))
 
