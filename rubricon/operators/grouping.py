@@ -1,7 +1,7 @@
 """Grouping primitives that stay flat when one key holds much of the data.
 
 None of these gathers a group into one task: selections are aggregates with
-map-side combine, medians are found between sketch brackets, and row numbers are
+map-side combine, medians are found by narrowing brackets over counts, and row numbers are
 the sum of a small prefix table and a numbering inside bounded buckets.
 """
 
@@ -12,9 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubricon.session import durable
-
-SMALL_ROWS = 200_000
+from rubricon.session import stored
 
 
 def _rest(df: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -59,15 +57,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """Evaluate once. Up to ``max_rows`` rows come back as a local relation and True; anything
-    larger is checkpointed and comes with False."""
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(head, schema=df.schema), True
-    return durable(df), False
-
-
 def salted_join(
     rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str | Column], how: str = "inner", salts: int = 16
 ) -> DataFrame:
@@ -82,65 +71,59 @@ def salted_join(
     return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, small: bool, on: Sequence[str], spread: Sequence[str | Column], how: str = "inner"
-) -> DataFrame:
-    """Broadcast a lookup that was measured to be small, else deal the rows over salts."""
-    if small:
-        return rows.join(F.broadcast(lookup), list(on), how)
-    return salted_join(rows, lookup, on, spread, how)
-
-
-def score_summary(
-    df: DataFrame, group: Sequence[str], value: str, accuracy: int = 10_000
-) -> DataFrame:
+def score_summary(df: DataFrame, group: Sequence[str], value: str, cells: int = 1024) -> DataFrame:
     """Mean, exact interpolated median, min, max and non-null count per group.
 
-    A quantile sketch brackets the median within 2/accuracy of the ranks. Only the
-    distinct values inside the bracket are counted and walked, so the memory
-    needed for a group does not grow with its rows.
+    Rows are reduced once to a count per distinct value, which is stored; the median is found in
+    those counts, so neither rows nor distinct values of a group meet in one task. Values are finite.
     """
     group = list(group)
-    eps = 2.0 / accuracy
     rows = df.select(*group, F.col(value).cast("double").alias("_v"))
     for g in group:
         rows = rows.where(F.col(g).isNotNull())
-    stats, small = pinned(
-        rows.groupBy(*group).agg(
-            F.avg("_v").alias("mean_score"),
-            F.min("_v").alias("min_score"),
-            F.max("_v").alias("max_score"),
-            F.count("_v").alias("n"),
-            F.percentile_approx("_v", [0.5 - eps, 0.5 + eps], accuracy).alias("_b"),
-        )
-    )
-    inside = F.when(F.col("_v").between(F.col("_b")[0], F.col("_b")[1]), F.col("_v"))
-    bracketed = lookup_join(
-        rows.where(F.col("_v").isNotNull()), stats.select(*group, "_b"), small, group, ["_v"]
-    )
-    counted = (
-        bracketed.groupBy(*group, inside.alias("_in"))
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.count_if(F.col("_v") < F.col("_b")[0]).alias("_below"),
-        )
-    )
-    step = F.when(F.col("_in").isNull(), F.col("_below")).otherwise(F.col("_n"))
-    walked = counted.withColumn(
-        "_upto",
-        F.sum(step).over(Window.partitionBy(*group).orderBy(F.col("_in").asc_nulls_first())),
-    ).join(stats.select(*group, "n"), group)
-    at = lambda k: F.min(F.when(F.col("_in").isNotNull() & (F.col("_upto") > k), F.col("_in")))
-    medians = walked.groupBy(*group).agg(
-        ((at(F.floor((F.col("n") - 1) / 2)) + at(F.ceil((F.col("n") - 1) / 2))) / 2).alias(
-            "median_score"
-        )
+    counts = stored(rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    filled = F.when(F.col("_v").isNotNull(), F.col("_n"))
+    stats = counts.groupBy(*group).agg(
+        (F.sum(F.col("_v") * F.col("_n")) / F.sum(filled)).alias("mean_score"),
+        F.min("_v").alias("min_score"),
+        F.max("_v").alias("max_score"),
+        F.coalesce(F.sum(filled), F.lit(0)).alias("n"),
     )
+    middle = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
+    wanted = stats.where("n > 0").select(*group, F.explode(F.array_distinct(middle)).alias("_rank"), "min_score", "max_score")
+    found = _ranked_values(counts.where("_v is not null"), wanted, group, cells)
+    medians = found.groupBy(*group).agg(F.avg("_v").alias("median_score"))
     return stats.join(medians, group, "left").select(
         *group, "mean_score", "median_score", "min_score", "max_score", "n"
     )
 
 
+def _ranked_values(counts: DataFrame, wanted: DataFrame, group: list[str], cells: int) -> DataFrame:
+    """The value at each wanted 0-based rank of a group: ``<group>, _rank, _v``.
+
+    Each round cuts the bracket of every rank into equal cells, counts the values in them, and goes on
+    with the cell that holds the rank, until that cell has one value. A running sum covers at most
+    ``cells`` rows.
+    """
+    key = [*group, "_rank"]
+    open_ = stored(wanted.select(*key, F.col("min_score").alias("_lo"), F.col("max_score").alias("_hi"), F.lit(0).cast("long").alias("_below")), "brackets")
+    done = None
+    while True:
+        inside = counts.join(open_, group).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+        cut = inside.groupBy(*key, "_below", F.least(F.floor(share * cells), F.lit(cells - 1)).alias("_cell")).agg(
+            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_c")
+        )
+        upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*key).orderBy("_cell"))
+        held = cut.withColumn("_upto", upto).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
+        open_ = stored(held.select(*key, "_lo", "_hi", (F.col("_upto") - F.col("_c")).alias("_below")), "brackets")
+        settled = open_.where("_lo = _hi").select(*key, F.col("_lo").alias("_v"))
+        done = settled if done is None else done.unionByName(settled)
+        open_ = open_.where("_lo < _hi")
+        if open_.isEmpty():
+            return done
+
+
 def numbered(
     df: DataFrame, group: Sequence[str], levels: Sequence[str], idx: str, out: str, width: int = 65_536
 ) -> DataFrame:
