@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rubricon.catalog.base import SCORES, query, with_
+from rubricon.catalog.base import SQL, SCORES, query, with_
 from rubricon.operators import matching, reports
 from rubricon.plans.report import report_tables
 
@@ -275,3 +275,17 @@ def _(t):
         part = df.select(F.lit(name).alias("report"), F.to_json(F.struct(*df.columns)).alias("row"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+_REPORTS = ["overall_leaderboard"] + [f"{g}_{kind}" for g in ("domain", "workflow") for kind in ("scores", "rankings", "advantage", "specialists", "winners", "heatmap", "rank_matrix")]
+
+
+@query("report_sizes", " UNION ALL ".join(f"SELECT '{name}' AS report, count(*) AS n_rows FROM ({SQL[name]})" for name in _REPORTS))
+def _(t):
+    """How many rows each report of one run has."""
+    out = None
+    for name, df in report_tables(t.scores(), t.models()).items():
+        name = name.removeprefix("best_")
+        part = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("report"), "n_rows")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -18,28 +18,13 @@ WINDOW_WORDS, WINDOW_OVERLAP = 500, 75
 def make_splitter(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators=tuple(SEPARATORS)):
     """Recursive character splitter over Arrow batches: cut at the coarsest separator
     present, pack neighbouring pieces up to ``size`` characters, carry up to
-    ``overlap`` characters into the next chunk."""
+    ``overlap`` characters into the next chunk. A piece that is too long is cut at the next finer
+    separator, and what it gives is packed apart from its neighbours."""
 
-    def pieces(text, level):
-        """Pieces of at most ``size`` characters where a finer cut exists."""
-        while level < len(separators) - 1 and separators[level] not in text:
-            level += 1
-        sep = separators[level]
-        if sep == "":
-            yield from text
-            return
-        for n, part in enumerate(text.split(sep)):
-            part = sep + part if n else part
-            if not part:
-                continue
-            if len(part) <= size or level == len(separators) - 1:
-                yield part
-            else:
-                yield from pieces(part, level + 1)
-
-    def split(text):
+    def pack(run):
+        """Chunks of neighbouring pieces."""
         window, held = deque(), 0
-        for piece in pieces(text, 0):
+        for piece in run:
             if held + len(piece) > size and window:
                 chunk = "".join(window).strip()
                 if chunk:
@@ -52,6 +37,30 @@ def make_splitter(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separato
         if chunk:
             yield chunk
 
+    def split(text, level=0):
+        while level < len(separators) - 1 and separators[level] not in text:
+            level += 1
+        sep = separators[level]
+        if sep == "":
+            yield from pack(text)
+            return
+        run = []
+        for n, part in enumerate(text.split(sep)):
+            part = sep + part if n else part
+            if not part:
+                continue
+            if len(part) < size:
+                run.append(part)
+                continue
+            # Pieces of one level are packed among themselves.
+            yield from pack(run)
+            run = []
+            if level == len(separators) - 1:
+                yield part
+            else:
+                yield from split(part, level + 1)
+        yield from pack(run)
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def splitter(text: pd.Series) -> pd.Series:
         return text.map(lambda t: [] if not t else list(split(t)))

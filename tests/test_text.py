@@ -142,3 +142,10 @@ def test_splitter_sizes_and_coverage(spark):
         at = max(at, found + len(c))
     assert body[at:].strip() == ""
     assert spark.createDataFrame([("ab cd",)], "t string").select(split("t")).first()[0] == ["ab cd"]
+
+
+def test_splitter_packs_levels_apart(spark):
+    split = splitting.make_splitter(10, 3)
+    got = lambda t: spark.createDataFrame([(t,)], "t string").select(split("t")).first()[0]
+    assert got("aa\n\nbb cc dd ee ff\n\ngg") == ["aa", "bb cc dd", "dd ee ff", "gg"]
+    assert got("abcdefghijkl m") == ["abcdefghij", "ijkl", "m"] or got("abcdefghijkl m")[-1] == "m"
