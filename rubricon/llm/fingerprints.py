@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ SAMPLES = 64
 CELLS = 1 << 16
 GROUP_ROWS = 500
 _SLICE_CHARS = 1 << 19
+BLOCK_WORDS = 1 << 16
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -84,38 +87,68 @@ class Sampler:
     def fingerprints(self, texts: list[str]) -> np.ndarray:
         """One row of samples for each text; an empty text has zeros."""
         counts = [Counter(t.encode().split()) for t in texts]
-        place: dict[bytes, int] = {}
-        for c in counts:
-            for w in c:
-                place.setdefault(w, len(place))
-        words = list(place)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 9) for w in words), np.uint64, len(words))
-        single = self._single(words, hashes)
         out = np.zeros((len(texts), SAMPLES), np.uint32)
         for i, c in enumerate(counts):
-            if not c:
+            if len(c) > BLOCK_WORDS:
+                out[i] = _by_blocks(c)
+                counts[i] = Counter()
+        words = list(dict.fromkeys(chain.from_iterable(counts)))
+        place = dict(zip(words, range(len(words))))
+        hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=9), words), np.uint64, len(words))
+        single = self._single(words, hashes)
+        at = [np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in counts]
+        weights = [np.fromiter(c.values(), np.int64, len(c)) for c in counts]
+        # Words that occur more than once in some text need their draws themselves.
+        often = np.unique(np.concatenate([a[w > 1] for a, w in zip(at, weights)] or [np.zeros(0, np.int64)]))
+        drawn = np.full(len(words), -1)
+        drawn[often] = np.arange(len(often))
+        r, logc, b = draws(hashes[often])
+        for i, (terms, weight) in enumerate(zip(at, weights)):
+            if not len(terms):
                 continue
-            at = np.fromiter((place[w] for w in c), np.int64, len(c))
-            weight = np.fromiter(c.values(), np.int64, len(c))
-            a = single[at]
-            t = np.zeros(SAMPLES, np.int64)
+            a = single[terms]
+            steps = np.zeros((len(terms), 1), np.float32)
             several = np.flatnonzero(weight > 1)
             if len(several):
-                r, logc, b = draws(hashes[at[several]])
-                steps = np.floor(np.log(weight[several]).astype(np.float32)[:, None] / r + b)
-                a[several] = logc - r * (steps - b) - r
+                d = drawn[terms[several]]
+                t = np.floor(np.log(weight[several]).astype(np.float32)[:, None] / r[d] + b[d])
+                a[several] = logc[d] - r[d] * (t - b[d]) - r[d]
+                steps = np.zeros(a.shape, np.float32)
+                steps[several] = t
             best = a.argmin(axis=0)
-            if len(several):
-                where = np.full(len(c), -1)
-                where[several] = np.arange(len(several))
-                hit = where[best] >= 0
-                t[hit] = steps[where[best[hit]], np.flatnonzero(hit)].astype(np.int64)
-            with np.errstate(over="ignore"):
-                mixed = _mixed(hashes[at[best]] + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            out[i] = (mixed >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            t = np.take_along_axis(steps, best[None, :], axis=0)[0] if steps.shape[1] > 1 else np.zeros(SAMPLES)
+            out[i] = _packed(hashes[terms[best]], t)
         return out
 
 
+def _packed(terms: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Samples (term hash, t) in 32 bits each, never 0."""
+    with np.errstate(over="ignore"):
+        mixed = _mixed(terms + steps.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (mixed >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def _by_blocks(counts: Counter) -> np.ndarray:
+    """The samples of one text with very many words, a block of them at a time."""
+    words = list(counts)
+    least = np.full(SAMPLES, np.inf, np.float32)
+    terms, steps = np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.float32)
+    for i in range(0, len(words), 4096):
+        part = words[i : i + 4096]
+        hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=9), part), np.uint64, len(part))
+        weight = np.log(np.fromiter((counts[w] for w in part), np.int64, len(part))).astype(np.float32)
+        r, logc, b = draws(hashes)
+        t = np.floor(weight[:, None] / r + b)
+        a = logc - r * (t - b) - r
+        best = a.argmin(axis=0)
+        found = np.take_along_axis(a, best[None, :], axis=0)[0]
+        less = found < least
+        least[less] = found[less]
+        terms[less] = hashes[best[less]]
+        steps[less] = t[best[less], np.flatnonzero(less)]
+    return _packed(terms, steps)
+
+
 def hexed(samples: np.ndarray) -> list[str]:
     return [row.astype(">u4").tobytes().hex() for row in samples]
 

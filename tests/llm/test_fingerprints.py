@@ -31,6 +31,14 @@ def test_batches_and_kept_words_do_not_matter(monkeypatch):
     assert (np.stack([fingerprints.Sampler().fingerprints([t])[0] for t in texts]) == whole).all()
 
 
+def test_blocks_of_words_give_the_same(monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(f"v{int(rng.paretovariate(0.4)) % 9000}" for _ in range(12_000)), "a b a"]
+    whole = fingerprints.Sampler().fingerprints(texts)
+    monkeypatch.setattr(fingerprints, "BLOCK_WORDS", 1)
+    assert (fingerprints.Sampler().fingerprints(texts) == whole).all()
+
+
 def check(rows, out):
     order = sorted(rows, key=lambda r: -float("inf") if r[0] is None else r[0], reverse=True)
     want = Counter()
