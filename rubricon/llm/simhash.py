@@ -15,6 +15,10 @@ some ten thousand. A task unites what it links and returns at most one link per
 the pairs of a dense group; node pairs that are united already are not walked again. Links of all
 tasks are joined to components by alternating star contractions, each round written to shared
 storage. Copies of a fingerprint are one leaf, and no text or group is gathered anywhere.
+
+A text may have several independent fingerprints (``prints``). Two are then linked when any one pair
+of them is within the error budget and all together within ``total_bits``: the first finds more of
+the similar texts, the second keeps out unlike ones that are close in one fingerprint by chance.
 """
 
 from __future__ import annotations
@@ -27,47 +31,61 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.llm.common import id_of, shown_id, text_of
 from rubricon.session import stored
 
 BITS, BLOCK = 64, 16
-TASK_NODES = 16_384
+TASK_NODES = 32_768
 OUTRIGHT = 64
 FRONTIER = 1 << 19
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """Bitwise majority of the hashes of all word shingles, repeats included; 0 without a word."""
+def fingerprint(text: str, words: int = 4, prints: int = 1) -> np.ndarray:
+    """Bitwise majority of the hashes of all word shingles, repeats included; 0 without a word.
+
+    Further fingerprints take the hashes mixed anew."""
     parts = text.encode().translate(_LOWER).split()
     if not parts:
-        return 0
+        return np.zeros(prints, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(parts) - words + 1)
     last = ends[min(words, len(parts)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((prints, BITS), np.int64)
     for at in range(0, n, 1 << 16):
         spans = zip(starts[at : min(n, at + (1 << 16))].tolist(), last[at : at + (1 << 16)].tolist())
         hashes = np.array([digest(joined[s:e], 42) for s, e in spans], np.uint64)
-        ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        for p in range(prints):
+            if p:
+                hashes = _mixed(hashes)
+            bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[p] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel()
+
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))) + np.uint64(0x9E3779B97F4A7C15)
 
-def fingerprinted(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the 64 bits as a signed long) of every row; null text is empty."""
+
+def fingerprinted(docs: DataFrame, words: int = 4, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fps (the fingerprints as signed longs) and leaf (what tells them apart) of every row; null
+    text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            found = [fingerprint(t.as_py(), words, prints).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "fps"])
 
-    return docs.select(id_of(id_col), text_of(text_col)).mapInArrow(run, "id long, fp long")
+    out = docs.select(id_of(id_col), text_of(text_col)).mapInArrow(run, "id long, fps array<long>")
+    return out.withColumn("leaf", F.col("fps")[0] if prints == 1 else F.xxhash64("fps"))
 
 
 def budget(depth: int, max_bits: int) -> int:
@@ -94,17 +112,28 @@ class _Sets:
                 self.least = further
 
 
-def unions(keys: np.ndarray, depth: int, split: int, errors: int, max_bits: int) -> np.ndarray:
-    """For sorted distinct keys of one task, the position of the least key each is linked with.
+def unions(
+    keys: np.ndarray, depth: int, split: int, errors: int, max_bits: int, prints: np.ndarray | None = None, total_bits: int = 0
+) -> np.ndarray:
+    """For the sorted keys of one task, the position of the least key each is linked with.
 
     ``split`` parts the keys into the two nodes walked together, which differ in ``errors`` bits of
-    their ``depth`` first ones; with ``split`` 0 it is one node, walked with itself.
+    their ``depth`` first ones; with ``split`` 0 it is one node, walked with itself. ``prints`` has all
+    fingerprints of each key, which may differ in ``total_bits`` together.
     """
     n = len(keys)
     sets = _Sets(n)
+
+    def unite(a: np.ndarray, b: np.ndarray) -> None:
+        near = np.bitwise_count(keys[a] ^ keys[b]) <= max_bits
+        a, b = a[near], b[near]
+        if prints is not None:
+            near = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= total_bits
+            a, b = a[near], b[near]
+        sets.unite(a, b)
+
     for gap in (1, 2):  # neighbours in the order of keys, to have dense groups united early
-        near = np.flatnonzero(np.bitwise_count(keys[gap:] ^ keys[:-gap]) <= max_bits)
-        sets.unite(near, near + gap)
+        unite(np.arange(n - gap), np.arange(gap, n))
     first = [0, n, 0, n, 0] if not split else [0, split, split, n, errors]
     stack = [(depth, np.array([first], np.int64))]
     while stack:
@@ -112,23 +141,24 @@ def unions(keys: np.ndarray, depth: int, split: int, errors: int, max_bits: int)
         if len(pairs) > FRONTIER:
             stack += [(level, part) for part in np.array_split(pairs, -(-len(pairs) // FRONTIER))]
             continue
-        a0, a1, b0, b1, err = pairs.T
+        a0, a1, b0, b1, _ = pairs.T
         # Whole nodes of one set have nothing left to find.
         change = np.concatenate([[0], np.cumsum(sets.least[1:] != sets.least[:-1])])
         one = (change[a1 - 1] == change[a0]) & (change[b1 - 1] == change[b0]) & (sets.least[a0] == sets.least[b0])
         pairs = pairs[~one]
         if not len(pairs):
             continue
-        a0, a1, b0, b1, err = pairs.T
+        a0, a1, b0, b1, _ = pairs.T
         small = ((a1 - a0) * (b1 - b0) <= OUTRIGHT) | (level == BITS)
-        _compare(keys, pairs[small], max_bits, sets)
+        _compare(pairs[small], unite)
         pairs = pairs[~small]
         if len(pairs):
             stack.append((level + 1, _step(keys, pairs, level, budget(level + 1, max_bits))))
     return sets.least
 
 
-def _compare(keys: np.ndarray, pairs: np.ndarray, max_bits: int, sets: _Sets) -> None:
+def _compare(pairs: np.ndarray, unite) -> None:
+    """Every leaf of one node with every leaf of the other, some millions of pairs at a time."""
     a0, a1, b0, b1, _ = pairs.T
     sizes = (a1 - a0) * (b1 - b0)
     at = 0
@@ -138,9 +168,7 @@ def _compare(keys: np.ndarray, pairs: np.ndarray, max_bits: int, sets: _Sets) ->
         which = np.repeat(np.arange(at, upto), n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         width = (b1 - b0)[which]
-        a, b = a0[which] + inner // width, b0[which] + inner % width
-        near = np.bitwise_count(keys[a] ^ keys[b]) <= max_bits
-        sets.unite(a[near], b[near])
+        unite(a0[which] + inner // width, b0[which] + inner % width)
         at = upto
 
 
@@ -160,10 +188,14 @@ def _step(keys: np.ndarray, pairs: np.ndarray, level: int, allowed: int) -> np.n
     return children[(children[:, 0] < children[:, 1]) & (children[:, 2] < children[:, 3]) & (children[:, 4] <= allowed)]
 
 
-def _task_links(max_bits: int, depth: int):
+def _task_links(max_bits: int, depth: int, total_bits: int | None):
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        keys = np.unique(part["key"].to_numpy(np.int64).view(np.uint64))
-        turn = int(part["turn"].iloc[0])
+        keys = part["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        keys, leaves = keys[order], part["leaf"].to_numpy(np.int64)[order]
+        prints = None
+        if total_bits is not None:
+            prints = np.stack(part["fps"].to_list())[order].view(np.uint64)
         split, errors = 0, 0
         if depth:
             top = keys >> np.uint64(BITS - depth)
@@ -172,37 +204,41 @@ def _task_links(max_bits: int, depth: int):
             split = int(np.searchsorted(top, top[-1])) if errors else 0
             if bool(part["cross"].iloc[0]) and not errors:
                 keys = keys[:0]
-        least = unions(keys, depth, split, errors, max_bits) if len(keys) > 1 else np.arange(len(keys))
-        back = lambda k: ((k >> np.uint64(turn)) | (k << np.uint64((BITS - turn) % BITS))) if turn else k
+        least = unions(keys, depth, split, errors, max_bits, prints, total_bits or 0) if len(keys) > 1 else np.arange(len(keys))
         moved = np.flatnonzero(least != np.arange(len(keys)))
-        a, b = back(keys[moved]).view(np.int64), back(keys[least[moved]]).view(np.int64)
+        a, b = leaves[moved], leaves[least[moved]]
         return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)})
 
     return run
 
 
-def links(nodes: DataFrame, count: int, max_bits: int = 4) -> DataFrame:
-    """u > v: fingerprints that are linked, enough of them to connect every component.
+def links(nodes: DataFrame, count: int, max_bits: int = 4, prints: int = 1, total_bits: int | None = None) -> DataFrame:
+    """u > v: leaves that are linked, enough of them to connect every component.
 
-    ``nodes`` has the distinct fingerprints (fp), ``count`` is their number.
+    ``nodes`` has the distinct leaves (leaf, fps), ``count`` is their number.
     """
     depth = min(BLOCK, max(0, math.ceil(math.log2(max(1, count) / TASK_NODES))))
     flips = [m for e in range(1, budget(1, max_bits) + 1) for m in combinations(range(depth), e)]
     masks = [sum(1 << b for b in m) for m in flips]
-    turns = F.explode(F.array(*[F.lit(t) for t in range(0, BITS, BLOCK)]))
-    key = F.expr("case when turn = 0 then fp else shiftleft(fp, turn) | shiftrightunsigned(fp, 64 - turn) end")
-    turned = nodes.select("fp", turns.alias("turn")).select("turn", key.alias("key"))
+
+    def turned(p: int, turn: int) -> Column:
+        fp = F.col("fps")[p]
+        key = F.shiftleft(fp, turn).bitwiseOR(F.shiftrightunsigned(fp, BITS - turn)) if turn else fp
+        return F.struct(F.lit(p * BITS + turn).alias("turn"), key.alias("key"))
+
+    tries = F.explode(F.array(*[turned(p, turn) for p in range(prints) for turn in range(0, BITS, BLOCK)]))
+    carried = ["leaf"] if total_bits is None else ["leaf", "fps"]
+    dealt = nodes.select("leaf", "fps", tries.alias("_t")).select(*carried, "_t.turn", "_t.key")
     if depth:
         top = F.shiftrightunsigned("key", BITS - depth)
         # A pair of nodes is named by the smaller prefix and the mask of the bits that differ.
-        other = F.explode(F.array(F.lit(0), *[F.lit(m) for m in masks]))
-        dealt = turned.select("turn", "key", top.alias("top"), other.alias("mask"))
-        dealt = dealt.select("turn", "key", F.least("top", F.col("top").bitwiseXOR(F.col("mask"))).alias("node"), "mask")
+        dealt = dealt.withColumn("mask", F.explode(F.array(F.lit(0), *[F.lit(m) for m in masks])))
+        dealt = dealt.withColumn("branch", F.least(top, top.bitwiseXOR(F.col("mask"))))
     else:
-        dealt = turned.select("turn", "key", F.lit(0).alias("node"), F.lit(0).alias("mask"))
+        dealt = dealt.withColumns({"mask": F.lit(0), "branch": F.lit(0)})
     dealt = dealt.withColumn("cross", F.col("mask") != 0)
-    found = dealt.groupBy("turn", "node", "mask").applyInPandas(_task_links(max_bits, depth), "u long, v long")
-    return found.distinct()
+    task = _task_links(max_bits, depth, total_bits)
+    return dealt.groupBy("turn", "branch", "mask").applyInPandas(task, "u long, v long").where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -232,19 +268,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def near_groups(docs: DataFrame, max_bits: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(
+    docs: DataFrame,
+    max_bits: int = 4,
+    words: int = 4,
+    prints: int = 1,
+    total_bits: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """doc_id, fp and component_id of every row: the smallest id reachable over links.
 
-    Two rows are linked when their fingerprints differ in at most ``max_bits`` (up to 15) bits. Texts
+    Two rows are linked when their fingerprints differ in at most ``max_bits`` (up to 15) bits; with
+    several ``prints``, when one of them does and all together differ in at most ``total_bits``. Texts
     without a word, null ones too, have the fingerprint zero and are linked like any others. A null id
     is smaller than all others. An empty table gives an empty one; other columns are not read.
     """
-    rows = stored(fingerprinted(docs, words, id_col, text_col), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    stars = components(links(nodes, nodes.count(), max_bits))
-    rooted = nodes.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "component")
-    return rows.join(named, "fp").select(
-        shown_id("id").alias("doc_id"), "fp", shown_id("component").alias("component_id")
+    rows = stored(fingerprinted(docs, words, prints, id_col, text_col), "fingerprints")
+    nodes = stored(rows.groupBy("leaf").agg(F.min("id").alias("first"), F.first("fps").alias("fps")), "nodes")
+    stars = components(links(nodes, nodes.count(), max_bits, prints, total_bits))
+    rooted = nodes.join(stars.select(F.col("u").alias("leaf"), F.col("v").alias("root")), "leaf", "left")
+    rooted = rooted.select("leaf", "first", F.coalesce("root", "leaf").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("leaf", "component")
+    return rows.join(named, "leaf").select(
+        shown_id("id").alias("doc_id"), F.col("fps")[0].alias("fp"), shown_id("component").alias("component_id")
     )

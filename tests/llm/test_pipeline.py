@@ -37,7 +37,7 @@ def test_every_stage_equals_brute_force(spark, stages):
     assert sorted(pairs(good)) == sorted((i, t) for i, t in pairs(docs) if keep(t))
     kept = {i for i, _, _, k in equal_groups(pairs(good)) if k}
     assert sorted(pairs(exact)) == sorted((i, t) for i, t in pairs(good) if i in kept)
-    kept = {i for i, _, c in slow_groups(pairs(exact), 7, 5) if i == c}
+    kept = {i for i, _, c in slow_groups(pairs(exact), 7, 5, 4, 42) if i == c}
     assert sorted(pairs(near)) == sorted((i, t) for i, t in pairs(exact) if i in kept)
     given = dict(pairs(near))
     want = {i: kept if n else given[i] for i, _, n, kept in kept_words(list(given.items()), 20)}

@@ -16,12 +16,15 @@ def slow_fingerprint(text, words):
     return sum((2 * n > len(shingles)) << b for b, n in enumerate(ones))
 
 
-def slow_groups(rows, max_bits, words=4):
+def slow_groups(rows, max_bits, words=4, prints=1, total_bits=64):
     fps = [slow_fingerprint(t, words) for _, t in rows]
+    all_fps = [[int(x) for x in simhash.fingerprint(t or "", words, prints)] for _, t in rows]
+    assert fps == [x[0] for x in all_fps]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= max_bits and group[i] != group[j]:
+            bits = [(a ^ b).bit_count() for a, b in zip(all_fps[i], all_fps[j])]
+            if min(bits) <= max_bits and sum(bits) <= total_bits and group[i] != group[j]:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     rank = lambda i: -float("inf") if i is None else i
@@ -53,6 +56,13 @@ def test_groups(documents, monkeypatch, task_nodes, max_bits):
     assert got(simhash.near_groups(documents(rows), max_bits)) == slow_groups(rows, max_bits)
 
 
+@pytest.mark.parametrize("task_nodes", [1 << 14, 8])
+def test_several_prints(documents, monkeypatch, task_nodes):
+    monkeypatch.setattr(simhash, "TASK_NODES", task_nodes)
+    rows = near_texts(33, 150)
+    assert got(simhash.near_groups(documents(rows), 6, 5, prints=3, total_bits=30)) == slow_groups(rows, 6, 5, 3, 30)
+
+
 def test_odd_rows(documents, odd_rows):
     assert got(simhash.near_groups(documents(odd_rows))) == slow_groups(odd_rows, 4)
 
