@@ -215,8 +215,9 @@ def _contained(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     needles = needles.withColumn("nid", F.xxhash64("text"))
     haystacks = haystacks.withColumn("hid", F.xxhash64("text"))
 
-    # Holders (capped) above the gram hash in one long, so that the least one is a plain minimum.
-    bits, most = 43, (1 << 20) - 1
+    # Holders above the gram hash in one long, so that the least one is a plain minimum. There is
+    # room for a billion of them in one question.
+    bits, most = 33, (1 << 30) - 1
     mask = (1 << bits) - 1
 
     def grams(size: int) -> Column:

@@ -18,6 +18,8 @@ from rubricon.operators.grouping import exploded
 from rubricon.plans.rubrics import dedupe_rubric, rubric_from_replies
 from rubricon.session import durable
 
+# Positions of one tier lie below the next one's.
+_TIER = 1 << 59
 RUBRIC = ["question", "tier", "pos", "fact"]
 QUALITY = ["question", *rubrics.DIMENSIONS, "overall", "issue_count"]
 
@@ -96,10 +98,10 @@ def enriched_facts(steps: Steps, rubric: DataFrame, min_agreement: int) -> DataF
         )
         .where(F.col("_n") >= min_agreement)
         .groupBy("question", "fact")
-        .agg((F.lit(1_000_000) + F.min("cluster_id")).cast("long").alias("pos"))
+        .agg((F.lit(3 * _TIER) + F.min("cluster_id")).cast("long").alias("pos"))
     )
     old = of(rubric, agreed).groupBy("question", "fact").agg(
-        F.min(rubrics.tier_priority(F.col("tier")) * 100_000 + F.col("pos")).cast("long").alias("pos")
+        F.min(rubrics.tier_priority(F.col("tier")).cast("long") * F.lit(_TIER) + F.col("pos")).alias("pos")
     )
     return old.unionByName(agreed.select(old.columns))
 
