@@ -320,6 +320,48 @@ def _(t):
     )
 
 
+@query(
+    "rubrics_from_keyed_files",
+    """SELECT p_name || ' ' || p_partkey AS question, p_brand AS category, CAST(p_size AS DOUBLE) AS critical_weight,
+  p_size % 4 AS critical, p_type AS optional FROM part""",
+)
+def _(t):
+    """Rubrics written as objects of records, twenty to a line, and read back."""
+    size = F.col("p_size")
+    record = F.struct(
+        F.concat_ws(" ", "p_name", "p_partkey").alias("question"),
+        F.col("p_brand").alias("category"),
+        F.struct(size.cast("double").alias("critical")).alias("weights"),
+        F.struct(F.array_repeat(F.lit("fact"), size % 4).alias("critical"), F.array("p_type").alias("optional")).alias("rubric"),
+    )
+    keyed = t.part.groupBy(F.floor(F.col("p_partkey") / 20)).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), record))).alias("m")
+    )
+    path = shared_path(t.spark, "keyed-rubrics")
+    keyed.select(F.to_json("m").alias("value")).write.text(path)
+    return readers.keyed_rubrics(t.spark, path, multiline=False).select(
+        "question",
+        "category",
+        F.col("weights.critical").alias("critical_weight"),
+        F.size("rubric.critical").alias("critical"),
+        F.col("rubric.optional")[0].alias("optional"),
+    )
+
+
+@query(
+    "facts_from_files",
+    """SELECT o_orderpriority AS model, o_orderstatus AS question, count(DISTINCT year(o_orderdate)) AS facts FROM orders GROUP BY 1, 2""",
+)
+def _(t):
+    """Facts files, one record per model and question; every model must cover as many questions."""
+    rows = t.orders.groupBy(F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("question")).agg(
+        F.collect_set(F.year("o_orderdate").cast("string")).alias("facts")
+    )
+    path = shared_path(t.spark, "facts")
+    writers.json_lines(rows, path)
+    return readers.facts(t.spark, path, multiline=False).select("model", "question", F.size("facts").cast("long").alias("facts"))
+
+
 @query("taxonomy_from_csv", "SELECT p_name || ', \"' || p_brand || '\"' AS question, p_type AS proposed_domain, p_brand AS proposed_workflow FROM part")
 def _(t):
     """Questions with commas and quotes survive a CSV round trip."""

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rubricon import schemas
 from rubricon.functions.text import trim_space
@@ -46,6 +47,19 @@ def rubrics(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
     return _json(spark, path, schemas.RUBRICS, multiline)
 
 
+def keyed_rubrics(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
+    """Rubric records kept as one JSON object per file (or line), by a key that is dropped. A text that
+    is no such object is an error."""
+    texts = spark.read.text(path, wholetext=multiline).where(trim_space(F.col("value")) != "")
+    records = F.from_json("value", f"map<string, struct<{_fields(schemas.RUBRICS)}>>", {"mode": "FAILFAST"})
+    return texts.select(F.explode(F.map_values(records)).alias("_r")).select("_r.*")
+
+
+def _fields(columns: str) -> str:
+    """Column definitions as the fields of a struct."""
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(columns))
+
+
 def grades(spark: SparkSession, path, labels: dict[str, str] | None = None, multiline: bool = True) -> DataFrame:
     """One row per graded question. ``labels`` maps file stems to display names."""
     raw = _json(spark, path, schemas.GRADES, multiline).withColumn("stem", file_stem())

@@ -220,3 +220,17 @@ def test_labels_inside_the_row_equal_the_block_table(spark):
         want[r["page_id"]] += ("\n\n" if want[r["page_id"]] else "") + label
     got = {r["page_id"]: r["text"] for r in index.labelled_text(parsed).select("page_id", "text").collect()}
     assert got == want
+
+
+def test_keyed_rubrics(spark, tmp_path):
+    dump(tmp_path / "r.json", {"a": {"question": "q1", "rubric": {"critical": ["x"]}}, "b": {"question": "q2"}})
+    rows = {r["question"]: r for r in readers.keyed_rubrics(spark, str(tmp_path / "r.json")).collect()}
+    assert set(rows) == {"q1", "q2"} and rows["q1"]["rubric"]["critical"] == ["x"] and rows["q2"]["rubric"] is None
+    (tmp_path / "bad.json").write_text("not json")
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        readers.keyed_rubrics(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_question_lists_drop_all_white_space(spark, tmp_path):
+    (tmp_path / "q.txt").write_text("\tone \n \t\n\ntwo\n")
+    assert [r["question"] for r in readers.questions(spark, str(tmp_path / "q.txt")).collect()] == ["one", "two"]
