@@ -1,28 +1,18 @@
-"""Published group means and the ranks, advantages and specialists that follow from them."""
+"""Ranks, advantages and specialists of small hand-made group means."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from rubricon.operators import reports
 
-# Mean score per group (1-6) and model (a-e), with the question count of the group.
+# Mean score per group and model (a-e), with the question count of the group.
 MEANS = {
-    1: (13, [0.6992999999999999, 0.7040692307692307, 0.7796615384615385, 0.48140000000000005, 0.0]),
-    2: (10, [0.7571, 0.64677, 0.75902, 0.41586999999999996, 0.15588]),
-    3: (5, [0.78474, 0.59896, 0.75778, 0.43701999999999996, 0.0]),
-    4: (15, [0.7869066666666666, 0.6703600000000001, 0.75818, 0.46789333333333333, 0.06349333333333333]),
-    5: (4, [0.796575, 0.64305, 0.76675, 0.50605, 0.238475]),
-    6: (8, [0.7959875, 0.7534125, 0.7827375, 0.590275, 0.0]),
-}
-# Best model of the group, group average and the winner's advantage.
-BEST = {
-    1: ("c", 0.5328861538461538, 0.24677538461538473),
-    2: ("c", 0.546928, 0.21209200000000006),
-    3: ("a", 0.5157, 0.26903999999999995),
-    4: ("a", 0.5493666666666667, 0.23753999999999997),
-    5: ("a", 0.5901799999999999, 0.2063950000000001),
-    6: ("a", 0.5844825, 0.21150499999999994),
+    1: (2, [0.50, 0.75, 1.00, 0.25, 0.00]),
+    2: (4, [0.80, 0.70, 0.60, 0.50, 0.40]),
+    3: (4, [0.10, 0.30, 0.20, 0.10, 0.05]),
 }
+# Best model of the group, the group's average and the winner's advantage, worked out by hand.
+BEST = {1: ("c", 0.5, 0.5), 2: ("a", 0.6, 0.2), 3: ("b", 0.15, 0.15)}
 MODELS = list("abcde")
 
 
@@ -45,9 +35,10 @@ def test_rankings_matrix_and_heatmap(summary):
     order = [r["model"] for r in ranked.where("workflow = '1'").orderBy("rank").collect()]
     assert order == ["c", "b", "a", "d", "e"]
     matrix = {r["workflow"]: [r[m] for m in MODELS] for r in reports.rank_matrix(ranked, "workflow", MODELS).collect()}
-    assert matrix["2"] == [2, 3, 1, 4, 5]
+    assert matrix["2"] == [1, 2, 3, 4, 5]
+    assert matrix["3"] == [3, 1, 2, 4, 5]
     heat = {r["workflow"]: [r[m] for m in MODELS] for r in reports.heatmap(summary, "workflow", MODELS).collect()}
-    assert heat["6"] == MEANS[6][1]
+    assert heat["3"] == MEANS[3][1]
     with pytest.raises(Exception, match="duplicate group and model"):
         reports.rank_matrix(ranked.unionByName(ranked), "workflow", MODELS).collect()
 
@@ -73,5 +64,7 @@ def test_specialists_take_the_first_value_per_column(spark):
 def test_leaderboard_means_from_group_means(spark):
     rows = [(m, v) for _, (n, vs) in MEANS.items() for m, v in zip(MODELS, vs) for _ in range(n)]
     got = reports.leaderboard(spark.createDataFrame(rows, "model string, score double")).select("model", "rank", F.round("mean_score", 4), "n").collect()
-    best = min(got, key=lambda r: r["rank"])
-    assert (best["model"], best[2], best["n"]) == ("c", 0.7676, 55)
+    # b: (2 * 0.75 + 4 * 0.7 + 4 * 0.3) / 10, and so on.
+    assert [(r["model"], r[2], r["n"]) for r in sorted(got, key=lambda r: r["rank"])] == [
+        ("b", 0.55, 10), ("c", 0.52, 10), ("a", 0.46, 10), ("d", 0.29, 10), ("e", 0.18, 10),
+    ]
