@@ -63,7 +63,7 @@ def develop(
         todo = quality.where(rubrics.needs_repair())
         if todo.isEmpty():
             break
-        result, candidates = repaired(steps, of(rubric, todo), todo, attempts, threshold)
+        result, candidates, checked = repaired(steps, of(rubric, todo), todo, attempts, threshold)
         result = durable(result.withColumn("round", F.lit(n)))
         log = result if log is None else log.unionByName(result)
         won = result.where("repaired").select("question", F.col("best_attempt").alias("attempt"))
@@ -71,7 +71,9 @@ def develop(
             break
         renewed = durable(candidates.join(won, ["question", "attempt"], "left_semi").select(RUBRIC))
         rubric = durable(without(rubric, won).unionByName(renewed))
-        quality = durable(without(quality, won).unionByName(assessed(steps, renewed)))
+        # The winner was assessed as a candidate; a model is not asked again.
+        kept = checked.join(won, ["question", "attempt"], "left_semi").drop("attempt")
+        quality = durable(without(quality, won).unionByName(kept))
     return {"rubric": rubric, "quality": quality, "stats": rubrics.flat_stats(rubric), "repairs": log}
 
 
@@ -108,11 +110,11 @@ def enriched_facts(steps: Steps, rubric: DataFrame, min_agreement: int) -> DataF
 
 def repaired(
     steps: Steps, original: DataFrame, quality: DataFrame, attempts: int, threshold: float
-) -> tuple[DataFrame, DataFrame]:
-    """Outcome per question and the candidate rubrics by attempt. Every attempt refines the last
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Outcome per question, and the candidate rubrics and their quality by attempt. Every attempt refines the last
     good one; figures are always compared with the original; questions that reach the
     threshold ask no more."""
-    current, tried, candidates = original, None, None
+    current, tried, candidates, checked = original, None, None, None
     open_questions = quality.select("question")
     for n in range(1, attempts + 1):
         asked = of(current, open_questions)
@@ -126,7 +128,8 @@ def repaired(
         )
         invented = rubrics.invented_figures(original, new).select("question").distinct()
         clean = without(new, invented)
-        scores = steps.check(clean).select("question", F.col("overall").alias("score"))
+        quality_rows = durable(assessed(steps, clean))
+        scores = quality_rows.select("question", F.col("overall").alias("score"))
         status = (
             F.when(F.col("_new").isNull(), "failed")
             .when(F.col("_bad").isNotNull(), "invented")
@@ -144,6 +147,8 @@ def repaired(
         kept = of(clean, good).withColumn("attempt", F.lit(n))
         tried = outcome if tried is None else tried.unionByName(outcome)
         candidates = kept if candidates is None else candidates.unionByName(kept)
+        quality_rows = quality_rows.withColumn("attempt", F.lit(n))
+        checked = quality_rows if checked is None else checked.unionByName(quality_rows)
         current = durable(without(asked, good).unionByName(of(clean, good)))
         open_questions = outcome.where(
             (F.col("status") != "failed") & (F.coalesce("score", F.lit(-1.0)) < threshold)
@@ -151,4 +156,4 @@ def repaired(
         if open_questions.isEmpty():
             break
     originals = quality.select("question", F.col("overall").alias("original_score"))
-    return rubrics.best_attempt(originals, tried, threshold), candidates
+    return rubrics.best_attempt(originals, tried, threshold), candidates, checked
