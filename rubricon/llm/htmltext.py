@@ -168,6 +168,9 @@ _SENTENCE = re.compile(r"[.!?…。]['\"”’)]*(?:\s|$)")
 _LEGAL = re.compile(r"©|\(c\)|copyright|all rights reserved|privacy|cookie|terms of", re.I)
 
 
+_PARTS = "comment cookie footer header sidebar advert promo newsletter nav menu article content banner related".split()
+
+
 @lru_cache(maxsize=50_000)
 def _path_features(path: tuple[str, ...]) -> tuple[str, ...]:
     found: dict[str, None] = {}
@@ -177,7 +180,7 @@ def _path_features(path: tuple[str, ...]) -> tuple[str, ...]:
         for w in words:
             found["named:" + w] = None
             # Compound names that carry a telling part.
-            for part in ("comment", "cookie", "footer", "header", "sidebar", "advert", "promo", "newsletter", "nav", "menu", "article", "content", "banner", "related"):
+            for part in _PARTS:
                 if part in w and part != w:
                     found["part:" + part] = None
     for element in reversed(path):  # the innermost element that tells what it is for
@@ -291,6 +294,15 @@ def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 400, rate: floa
     return Field({f: float(theta[i]) for f, i in names.items()}, theta[k : k + 2], theta[k + 2 :].reshape(2, 2))
 
 
+# How menus of each tag are named in the labelled pages.
+_MENUS = {
+    "nav": ("", ' class="navbar"', ' id="menu"', ' role="navigation"', ""),
+    "ul": (' class="menu"', ' id="nav"', ' class="breadcrumb"'),
+    "div": (' class="nav"', ' id="menu"', ' class="breadcrumbs"', ' class="topbar"', ' class="navigation"'),
+    "header": ("", ' class="masthead"'),
+}
+
+
 @dataclass
 class _Page:
     """A page under construction; ``main`` marks text that belongs to the article."""
@@ -315,52 +327,86 @@ class _Page:
 
     def menu(self) -> str:
         n, tag = self.random.randint(2, 9), self.one("nav", "div", "ul", "div", "header")
-        names = {"nav": ("", ' class="navbar"', ' id="menu"', ' role="navigation"', ""), "ul": (' class="menu"', ' id="nav"', ' class="breadcrumb"'), "div": (' class="nav"', ' id="menu"', ' class="breadcrumbs"', ' class="topbar"', ' class="navigation"'), "header": ("", ' class="masthead"')}
         link = lambda: f'<a href="/{self.random.randint(1, 99)}">{self.words(1, 3, "")}</a>'
         if tag == "ul" or self.random.random() < 0.6:
             items = "".join(f"<li>{link()}</li>" for _ in range(n))
             items = items if tag == "ul" else f"<ul>{items}</ul>"
         else:
             items = self.one(" | ", " ", "\n").join(link() for _ in range(n))
-        return f"<{tag}{self.one(*names[tag])}>{items}</{tag}>"
+        return f"<{tag}{self.one(*_MENUS[tag])}>{items}</{tag}>"
 
-    def boxed(self, tags: tuple[str, ...], names: tuple[str, ...], inner: str) -> str:
-        tag, name = self.one(*tags), self.one(*names)
-        key = self.one("class", "class", "id")
+    def boxed(self, tags: str, names: str, inner: str) -> str:
+        tag, name, key = self.one(*tags.split()), self.one(*names.split()), self.one("class", "class", "id")
         return f'<{tag} {key}="{name}">{inner}</{tag}>'
 
+    def sentence(self) -> str:
+        return self.one("<p>{}</p>", "{}", "<div>{}</div>", "<span>{}</span>").format(self.words(3, 30))
+
+    def several(self) -> str:
+        return "".join(self.sentence() for _ in range(self.random.randint(1, 3)))
+
+    def links(self) -> str:
+        link = lambda i: f'<li><a href="/{i}">{self.words(2, 8, "")}</a></li>'
+        return "<ul>" + "".join(link(i) for i in range(self.random.randint(2, 6))) + "</ul>"
+
+    def heading(self) -> str:
+        return self.one(f"<h3>{self.words(1, 3, '')}</h3>", "")
+
+    def form(self) -> str:
+        fields = f"<label>{self.words(1, 4, '')}</label><input><button>{self.words(1, 2, '')}</button>"
+        bare = f"<form>{self.one('', self.sentence())}{fields}</form>"
+        named = "newsletter subscribe signup login search"
+        return self.one(bare, self.boxed("div section", named, f"<form>{self.sentence()}{fields}</form>"))
+
+    def comments(self) -> str:
+        author = lambda: self.one("", f"<b>{self.words(1, 2, '')}</b> ")
+        entry = lambda: self.boxed("div li article p", "comment comment-body reply", author() + self.several())
+        inner = self.heading() + "".join(entry() for _ in range(self.random.randint(1, 4)))
+        return self.boxed("div section ol", "comments comment-list disqus responses discussion comments-area", inner)
+
     def aside(self) -> str:
         """One block of any kind that is not the article."""
-        sentence = lambda: self.one("<p>{}</p>", "{}", "<div>{}</div>", "<span>{}</span>").format(self.words(3, 30))
-        several = lambda: "".join(sentence() for _ in range(self.random.randint(1, 3)))
-        links = lambda: "<ul>" + "".join(f'<li><a href="/{i}">{self.words(2, 8, "")}</a></li>' for i in range(self.random.randint(2, 6))) + "</ul>"
         kind = self.random.randrange(8)
         if kind == 0:
-            return self.boxed(("div", "aside", "section", "p"), ("ad", "ads", "advert", "advertisement", "sponsored", "ad-banner", "promo", "banner"), several())
+            names = "ad ads advert advertisement sponsored ad-banner promo banner"
+            return self.boxed("div aside section p", names, self.several())
         if kind == 1:
-            return self.boxed(("div", "aside", "aside", "section"), ("sidebar", "side", "widget", "related", "related-posts", "rail", "recommended", "more"), self.one(f"<h3>{self.words(1, 3, '')}</h3>", "") + self.one(links(), several()))
+            names = "sidebar side widget related related-posts rail recommended more"
+            return self.boxed("div aside aside section", names, self.heading() + self.one(self.links(), self.several()))
         if kind == 2:
-            return self.boxed(("div", "section", "dialog"), ("cookie-notice", "cookie", "notice", "consent", "gdpr", "cookie-banner", "alert", "popup", "message"), several() + self.one("<button>Ok</button>", ""))
+            names = "cookie-notice cookie notice consent gdpr cookie-banner alert popup message"
+            return self.boxed("div section dialog", names, self.several() + self.one("<button>Ok</button>", ""))
         if kind == 3:
-            inner = f"<label>{self.words(1, 4, '')}</label><input><button>{self.words(1, 2, '')}</button>"
-            return self.one(f"<form>{self.one('', sentence())}{inner}</form>", self.boxed(("div", "section"), ("newsletter", "subscribe", "signup", "login", "search"), f"<form>{sentence()}{inner}</form>"))
+            return self.form()
         if kind == 4:
-            entry = lambda: self.boxed(("div", "li", "article", "p"), ("comment", "comment-body", "reply"), self.one("", f"<b>{self.words(1, 2, '')}</b> ") + several())
-            return self.boxed(("div", "section", "ol"), ("comments", "comment-list", "disqus", "responses", "discussion", "comments-area"), self.one(f"<h3>{self.words(1, 3, '')}</h3>", "") + "".join(entry() for _ in range(self.random.randint(1, 4))))
+            return self.comments()
         if kind == 5:
-            return f"<aside>{self.one(several(), links())}</aside>"
+            return f"<aside>{self.one(self.several(), self.links())}</aside>"
         if kind == 6:
-            return self.boxed(("div", "ul", "p"), ("share", "social", "tags", "meta", "byline", "author-box", "pagination", "toolbar"), self.one(links(), self.words(1, 6, "")))
+            names = "share social tags meta byline author-box pagination toolbar"
+            return self.boxed("div ul p", names, self.one(self.links(), self.words(1, 6, "")))
         return self.menu()
 
     def footer(self) -> str:
-        text = self.one(f"&copy; {self.words(1, 4, '')} &middot; {self.words(2, 14)}", f"Copyright {self.words(2, 8)}", self.words(3, 25), f'<a href="/p">{self.words(1, 3, "")}</a> {self.words(2, 6)}')
+        text = self.one(
+            f"&copy; {self.words(1, 4, '')} &middot; {self.words(2, 14)}",
+            f"Copyright {self.words(2, 8)}",
+            self.words(3, 25),
+            f'<a href="/p">{self.words(1, 3, "")}</a> {self.words(2, 6)}',
+        )
         text = self.one(text, f"<p>{text}</p>", f"<div>{text}</div>")
-        return self.one(f"<footer>{text}</footer>", f"<footer>{text}</footer>", f'<div class="footer">{text}</div>', f'<div id="footer">{self.menu()}{text}</div>', f'<div class="site-footer legal">{text}</div>')
+        return self.one(
+            f"<footer>{text}</footer>",
+            f"<footer>{text}</footer>",
+            f'<div class="footer">{text}</div>',
+            f'<div id="footer">{self.menu()}{text}</div>',
+            f'<div class="site-footer legal">{text}</div>',
+        )
 
     def article(self) -> str:
         title = self.words(2, 12, self.one("", ".", ""))
-        body = [self.one("<h1>{}</h1>", "<h1>{}</h1>", "<h2>{}</h2>", "<h1 class=\"title\">{}</h1>").format(self.main(title))]
+        heading = self.one("<h1>{}</h1>", "<h1>{}</h1>", "<h2>{}</h2>", '<h1 class="title">{}</h1>')
+        body = [heading.format(self.main(title))]
         if self.random.random() < 0.3:
             body.append(f"<p><b>{self.main(title)}<br>")
         for _ in range(self.random.randint(1, 12)):
@@ -374,13 +420,15 @@ class _Page:
             elif kind < 0.76:
                 body.append(f"<h2>{self.main(self.words(1, 7, ''))}</h2>")
             elif kind < 0.83:
-                items = "".join(f"<li>{self.main(self.words(1, 25, self.one('', '.')))}</li>" for _ in range(self.random.randint(1, 5)))
+                item = lambda: f"<li>{self.main(self.words(1, 25, self.one('', '.')))}</li>"
+                items = "".join(item() for _ in range(self.random.randint(1, 5)))
                 body.append(self.one("<ul>{}</ul>", "<ol>{}</ol>").format(items))
             elif kind < 0.88:
                 body.append(self.one("<blockquote>{}</blockquote>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>").format(text))
             elif kind < 0.9:
                 cell = lambda: f"<td>{self.main(self.words(1, 4, ''))}</td>"
-                body.append("<table>" + "".join(f"<tr>{cell()}{cell()}</tr>" for _ in range(self.random.randint(1, 4))) + "</table>")
+                rows = "".join(f"<tr>{cell()}{cell()}</tr>" for _ in range(self.random.randint(1, 4)))
+                body.append(f"<table>{rows}</table>")
             elif kind < 0.91:
                 body.append(f"<figure><img><figcaption>{self.main(self.words(3, 20))}</figcaption></figure>")
             else:
@@ -394,17 +442,24 @@ class _Page:
         if kind < 0.6:
             return f'<main id="main"><article class="post">{inner}</article></main>'
         if kind < 0.9:
-            return self.boxed(("div", "div", "section"), ("content", "article", "post", "entry-content", "main", "article-body", "story", "post-content", "text", "body"), inner)
+            names = "content article post entry-content main article-body story post-content text body"
+            return self.boxed("div div section", names, inner)
         return inner
 
     def build(self) -> str:
         few = lambda low, high: "".join(self.aside() for _ in range(self.random.randint(low, high)))
         head = f"<html><head><title>{self.words(2, 8, '')}</title><style>p{{}}</style><script>var a=1;</script></head><body>"
-        header = self.one("", "", f"<header><h1>{self.words(1, 3, '')}</h1>{self.menu()}</header>", f"<header>{self.words(1, 6, '')}</header>", f'<div class="header">{self.words(1, 5, "")}</div>')
+        header = self.one(
+            "",
+            "",
+            f"<header><h1>{self.words(1, 3, '')}</h1>{self.menu()}</header>",
+            f"<header>{self.words(1, 6, '')}</header>",
+            f'<div class="header">{self.words(1, 5, "")}</div>',
+        )
         top = header + self.one("", self.menu(), self.menu())
         middle = few(0, 2) + self.article() + few(0, 3)
         if self.random.random() < 0.3:
-            middle = self.boxed(("div",), ("wrapper", "container", "page", "wrap", "site", "layout"), middle)
+            middle = self.boxed("div", "wrapper container page wrap site layout", middle)
         return head + top + middle + self.one(self.footer(), self.footer(), self.footer(), "") + "</body></html>"
 
 
