@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rubricon.catalog.base import CATEGORY, CRITERIA, VERDICTS, WEIGHTS, query, with_
-from rubricon.functions.jsontext import hallucination, verdict
+from rubricon.functions.jsontext import category_reply, hallucination, quality_reply, verdict
 from rubricon.operators import grading
 from rubricon.operators.grouping import spread
 from rubricon.plans.grade import grade_answers
@@ -295,3 +295,39 @@ def _(t):
         F.lit(None).cast("string").alias("failure"),
     )
     return grade_answers(criteria, answers, replies, ["model", "part"])["gated_summary"]
+
+
+_NUMBERS = "SELECT p_partkey, p_name, p_size, p_size % 51 + p_partkey % 49 AS a, p_partkey % 90 + 10 AS b FROM part"
+
+
+@query(
+    "quality_replies",
+    f"""SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN a / 100.0::DOUBLE END AS specificity, CASE WHEN p_partkey % 7 > 0 THEN b / 100.0::DOUBLE END AS coverage,
+  CASE WHEN p_partkey % 7 > 0 AND p_size % 2 = 0 THEN 0.5::DOUBLE END AS overall, CASE WHEN p_partkey % 7 > 0 THEN CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END END AS issues,
+  CASE WHEN p_partkey % 7 > 0 AND p_size % 2 = 0 THEN p_name END AS first_issue FROM ({_NUMBERS})""",
+)
+def _(t):
+    """Replies of a quality check: bare, fenced, without a list or without JSON."""
+    a, b = F.col("p_size") % 51 + F.col("p_partkey") % 49, F.col("p_partkey") % 90 + 10
+    number = lambda n: F.concat(F.lit("0."), F.lpad(n.cast("string"), 2, "0"))
+    tail = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(', "overall": 0.5, "issues": ["'), "p_name", F.lit('"]}'))).otherwise("}")
+    body = F.concat(F.lit('{"scores": {"specificity": '), number(a), F.lit(', "coverage": '), number(b), F.lit("}"), tail)
+    n = F.col("p_partkey")
+    reply = F.when(n % 7 == 0, "nothing to say").when(n % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    read = t.part.select("p_partkey", quality_reply(reply).alias("q"))
+    return read.select(
+        "p_partkey", "q.specificity", "q.coverage", "q.overall", F.when(F.col("q").isNotNull(), F.size("q.issues")).alias("issues"), F.get("q.issues", F.lit(0)).alias("first_issue")
+    )
+
+
+@query(
+    "category_replies",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN ['quantitative', 'forensic'][CAST(o_orderkey % 2 + 1 AS INT)] END AS category,
+  CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'no category' ELSE 'unknown category other' END END AS error FROM orders""",
+)
+def _(t):
+    """Replies of a classifier: known names, an unknown one, and text without JSON."""
+    n = F.col("o_orderkey")
+    name = F.when(n % 3 == 0, "other").when(n % 2 == 0, "quantitative").otherwise("forensic")
+    reply = F.when(n % 6 == 0, "I cannot say").otherwise(F.concat(F.lit('Sure: {"category": "'), name, F.lit('"}')))
+    return t.orders.select("o_orderkey", category_reply(reply, list(grading.CATEGORIES)).alias("c")).select("o_orderkey", "c.*")

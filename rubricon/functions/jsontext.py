@@ -68,6 +68,28 @@ def hallucination(reply: Column) -> Column:
     return F.coalesce(json_field(parsed, "$.hallucination", "boolean"), F.lit(False))
 
 
+QUALITY_SCORES = ("specificity", "atomicity", "tier_correctness", "coverage")
+
+
+def quality_reply(reply: Column) -> Column:
+    """Struct of the four scores, overall, issues and suggestions of a quality check; missing scores are
+    NULL and missing lists empty. NULL when the reply holds no JSON object."""
+    parsed = find_json(reply, arrays=False)
+    listed = lambda name: F.coalesce(json_field(parsed, f"$.{name}", "array<string>"), F.array().cast("array<string>"))
+    fields = [json_field(parsed, f"$.scores.{c}", "double").alias(c) for c in QUALITY_SCORES]
+    fields += [json_field(parsed, "$.overall", "double").alias("overall")]
+    fields += [listed(c).alias(c) for c in ("issues", "suggestions")]
+    return F.when(parsed.isNotNull(), F.struct(*fields))
+
+
+def category_reply(reply: Column, known: list[str]) -> Column:
+    """``struct<category, error>`` of a classification: a category that is not ``known`` is an error."""
+    name = json_field(find_json(reply), "$.category", "string")
+    valid = F.coalesce(name.isin(known), F.lit(False))
+    error = F.when(name.isNull(), "no category").when(~valid, F.concat(F.lit("unknown category "), name))
+    return F.struct(F.when(valid, name).alias("category"), error.alias("error"))
+
+
 def extracted_facts(reply: Column) -> Column:
     """Array under ``extracted_facts``; an unreadable reply gives an empty array."""
     found = json_field(find_json(reply), "$.extracted_facts", "array<string>")
