@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricon.llm import bpe, exact, fingerprints, htmltext, langid, packing, quality, sharding, simhash, substrings
+from rubricon.llm import bpe, exact, fingerprints, htmltext, langid, packing, periodic, quality, sharding, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,3 +132,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), path, size=2048).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@query()
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which is made to repeat itself, and digests of the
+    runs and of the text without the repetitions."""
+    found = periodic.detected(periodic.stuttering(table(spark, sf_dir, "documents")))
+    # Runs come by start, then period, so that the first of equal exponents wins.
+    higher = lambda best, run: run["length"] * best["period"] > best["length"] * run["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, run: F.when(higher(best, run), run).otherwise(best))
+    line = lambda run: F.concat_ws(",", run["start"], run["length"], run["period"])
+    listed = F.concat_ws("", F.transform("runs", lambda run: F.concat(line(run), F.lit("\n"))))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
