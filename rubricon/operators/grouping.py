@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +125,26 @@ def _ranked_values(counts: DataFrame, wanted: DataFrame, group: list[str], cells
             return done
 
 
+def ranked(df: DataFrame, order: Sequence[str | Column], out: str, within: Sequence[str | Column] = ()) -> DataFrame:
+    """Add the 0-based place of every row in the order of the whole table.
+
+    Rows are range partitioned and sorted once and written with their place in their partition; the
+    driver adds up the row counts of the partitions. Rows that ``order`` does not part share a
+    partition, so give it columns that do; long ones that only order such rows belong in ``within``,
+    since the driver samples ``order``. The result is a stored table in ranges of the order.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order, *within)
+    placed = stored(sorted_.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, starts = 0, []
+    for p in range(max(counts, default=0) + 1):
+        starts.append(before)
+        before += counts.get(p, 0)
+    start = F.element_at(F.lit(np.array(starts, np.int64)), part.cast("int") + 1)
+    return placed.withColumn(out, start + within).drop("_at")
+
+
 def numbered(
     df: DataFrame, group: Sequence[str], levels: Sequence[str], idx: str, out: str, width: int = 65_536
 ) -> DataFrame:
