@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricon.llm import bpe, exact, fingerprints, htmltext, langid, packing, periodic, quality, sharding, simhash, substrings
+from rubricon.llm import bpe, dialogs, dialogs_sql, exact, fingerprints, htmltext, langid, mixing, packing, periodic, quality, sharding, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,6 +134,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(dialogs_sql.SQL)
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and their cheapest repair."""
+    found = dialogs.repaired(dialogs.damaged(table(spark, sf_dir, "conversations")))
+    return found.withColumnRenamed("digest", "repaired_sha256")
+
+
+@query()
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources by 5, 2, 1 and so on takes from every document."""
+    held = mixing.mixed(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
+    return held.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query()
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, a tenth of which is made to repeat itself, and digests of the
