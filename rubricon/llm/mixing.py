@@ -16,6 +16,7 @@ share its copies evenly, the odd ones going by a hash of the id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -26,7 +27,7 @@ from rubricon.llm.common import SPACE, id_of, shown_id, text_of
 from rubricon.operators.grouping import ranked, salted_join
 from rubricon.session import stored
 
-EXACT = 1e-7
+EXACT = 1e-10
 ROUNDS = 60
 _SOURCE = ["unknown", "source"]
 
@@ -64,7 +65,7 @@ def targets(sources: DataFrame, weights: Sequence[float], most: float) -> DataFr
 
 def _rate(most: float) -> Column:
     tilt = F.col("tilt") * F.col("size") / F.col("typical")
-    return F.when(F.col("full"), most).otherwise(F.exp(F.least(tilt, F.log(F.lit(float(most))))))
+    return F.when(F.col("full") | (tilt >= math.log(most)), float(most)).otherwise(F.exp(tilt))
 
 
 def tilts(classes: DataFrame, aims: DataFrame, most: float) -> DataFrame:
@@ -95,34 +96,42 @@ def tilts(classes: DataFrame, aims: DataFrame, most: float) -> DataFrame:
 
 
 def _step(classes: DataFrame, state: DataFrame, most: float) -> DataFrame:
-    rate, exact = _rate(most), lambda c: F.sum(c.cast("decimal(38,6)")).cast("double")
+    rate, exact = _rate(most), lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
     words = F.col("size").cast("double") * F.col("n") * rate
     slope = F.when(rate < most, words * F.col("size") / F.col("typical")).otherwise(0.0)
     tilted = classes.where("size > 0").join(state.where("not done").select(*_SOURCE, "tilt", "typical", "full"), _SOURCE)
     sums = tilted.groupBy(*_SOURCE).agg(exact(words).alias("_words"), exact(slope).alias("_slope"))
     now, aim, tilt = F.col("_words"), F.col("target"), F.col("tilt")
-    near = F.abs(now - aim) <= F.greatest(aim * EXACT, F.lit(1e-6))
     low, high = F.when(now < aim, tilt).otherwise(F.col("low")), F.when(now > aim, tilt).otherwise(F.col("high"))
     newton = F.when((F.col("_slope") > 0) & (now > 0), tilt - F.log(now / aim) * now / F.col("_slope"))
-    inside = (F.coalesce(newton > F.col("_low"), F.lit(True)) & F.coalesce(newton < F.col("_high"), F.lit(True))) & newton.isNotNull()
+    inside = newton.isNotNull() & F.coalesce(newton >= F.col("_low"), F.lit(True)) & F.coalesce(newton <= F.col("_high"), F.lit(True))
+    still = F.abs(newton - tilt) <= (F.abs(tilt) + 1) * 1e-12
+    near = F.coalesce((F.abs(now - aim) <= aim * EXACT + 1e-6) | still, F.lit(False))
     # Without a bracket yet, the step to the open side doubles.
     open_ = F.when(F.col("_high").isNull(), tilt + F.abs(tilt) + 1).otherwise(tilt - F.abs(tilt) - 1)
     middle = F.coalesce((F.col("_low") + F.col("_high")) / 2, open_)
     moved = state.join(sums, _SOURCE, "left").withColumns({"_low": low, "_high": high})
-    settled = F.col("done") | F.coalesce(near, F.lit(False)) | F.coalesce(F.col("_high") - F.col("_low") <= 1e-12 * F.abs(tilt), F.lit(False))
+    settled = F.col("done") | near | F.coalesce(F.col("_high") - F.col("_low") <= 1e-12 * F.abs(tilt), F.lit(False))
     following = F.when(F.col("done") | near, tilt).when(inside, newton).otherwise(middle)
     return moved.select(*_SOURCE, "target", "typical", "full", following.alias("tilt"), F.col("_low").alias("low"), F.col("_high").alias("high"), settled.alias("done"))
 
 
-def copies(part: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies for the sizes of one source from their rates; what is left over goes on."""
+def copies(part: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Whole copies for the sizes of one source from their rates. What rounding leaves over goes on to
+    the next size; what is left in the end changes copies by one more where it still fits."""
     part = part.sort_values("size", ascending=False)
+    sizes, ns = part["size"].tolist(), part["n"].tolist()
     out, left = [], 0.0
-    for size, n, rate in zip(part["size"].tolist(), part["n"].tolist(), part["rate"].tolist()):
+    for size, n, rate in zip(sizes, ns, part["rate"].tolist()):
         want, least = n * rate, n * int(rate)
         held = min(max(round(want + left / size), least), least if rate == int(rate) else least + n)
         left += (want - held) * size
         out.append(held)
+    for i, (size, n) in enumerate(zip(sizes, ns)):
+        more = int(left / size) if i < len(sizes) - 1 else round(left / size)
+        more = min(max(more, -n, -out[i]), n, most * n - out[i])
+        out[i] += more
+        left -= more * size
     return part.assign(copies=out)[["unknown", "source", "size", "first", "n", "rate", "copies"]]
 
 
@@ -161,7 +170,11 @@ def mixed(
     solved = tilts(classes, aims, most)
     rated = classes.where("size > 0").join(solved, _SOURCE).withColumn("rate", _rate(most)).select(*key, "first", "n", "rate")
     schema = "unknown boolean, source string, size long, first long, n long, rate double, copies long"
-    whole = rated.groupBy(*_SOURCE).applyInPandas(copies, schema)
+
+    def rounded(part: pd.DataFrame) -> pd.DataFrame:
+        return copies(part, most)
+
+    whole = rated.groupBy(*_SOURCE).applyInPandas(rounded, schema)
     bare = classes.where("size = 0").select(*key, "first", "n", F.lit(1.0).alias("rate"), F.col("n").alias("copies"))
     held = stored(whole.unionByName(bare).join(aims, _SOURCE), "copies")
     out = salted_join(placed, held, key, ["place"])

@@ -53,11 +53,11 @@ def check(rows, got, loose=0.5):
         assert r.taken == r.copies * r.size and 0 <= r.copies <= 3
         if r.size:
             assert r.rate == pytest.approx(rates[s][r.size], rel=1e-4, abs=1e-4)
-            assert abs(r.copies - r.rate) < 1
+            assert abs(r.copies - r.rate) < 2
         taken[s] += r.taken
     for s in by:
         # Rounding hands on what is left to smaller texts; the last ones leave less than their size.
-        assert abs(taken[s] - target[s]) <= max(loose * min((z for z in by[s] if z), default=0) + 1, 0.01 * target[s])
+        assert abs(taken[s] - target[s]) <= max(loose * min((z for z in by[s] if z), default=0) + 1, 0.001 * target[s])
 
 
 def corpus(seed, n, sources):
