@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,11 +58,33 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Delete all intermediate tables that this application has stored. Call it when the results
     that were built on them have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_dir(spark))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``stored`` whose tables are deleted together at the end of the block.
+
+    What leaves the block must not read them: store it outside."""
+    folder = shared_path(spark, "scratch")
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    try:
+        yield put
+    finally:
+        _delete(spark, folder)
 
 
 def durable(df):
