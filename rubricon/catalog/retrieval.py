@@ -151,11 +151,12 @@ def _item_vectors(t):
 
 
 def _candidates(t):
+    tables = retrieval.lexical_tables(_docs(t), "scope")
     return retrieval.fuse(
         [
-            retrieval.lexical_channel(_docs(t), _items(t), "scope"),
+            retrieval.lexical_channel(_docs(t), _items(t), "scope", tables=tables),
             retrieval.dense_channel(_doc_vectors(t), _item_vectors(t)),
-            retrieval.verbatim_channel(_docs(t), _items(t), "scope"),
+            retrieval.verbatim_channel(_docs(t), _items(t), "scope", tables=tables),
         ]
     )
 

@@ -1,8 +1,8 @@
 """Grouping primitives that stay flat when one key holds much of the data.
 
 None of these gathers a group into one task: selections are aggregates with
-map-side combine, medians are found by narrowing brackets over counts, and row numbers are
-the sum of a small prefix table and a numbering inside bounded buckets.
+map-side combine, medians are looked up in ranges of counts, and row numbers are
+the sum of a small prefix table and a numbering inside bounded buckets or ranges.
 """
 
 from __future__ import annotations
@@ -72,17 +72,20 @@ def salted_join(
     return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def score_summary(df: DataFrame, group: Sequence[str], value: str, cells: int = 1024) -> DataFrame:
-    """Mean, exact interpolated median, min, max and non-null count per group.
+def score_summary(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Mean, exact interpolated median, min, max and non-null count per group; NaN counts as null.
 
-    Rows are reduced once to a count per distinct value, which is stored; the median is found in
-    those counts, so neither rows nor distinct values of a group meet in one task. Values are finite.
+    Rows are reduced to a count per distinct value. These are dealt to ranges of (group, value) and
+    stored once; sums over the ranges tell which one holds the middle of a group, and only that one is
+    searched. Neither rows nor distinct values of a group meet in one task.
     """
     group = list(group)
-    rows = df.select(*group, F.col(value).cast("double").alias("_v"))
+    number = F.col(value).cast("double")
+    rows = df.select(*group, F.when(~F.isnan(number), number).alias("_v"))
     for g in group:
         rows = rows.where(F.col(g).isNotNull())
-    counts = stored(rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    counts = rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(*group, "_v")
+    counts = stored(counts.withColumn("_part", F.spark_partition_id()), "value-counts")
     filled = F.when(F.col("_v").isNotNull(), F.col("_n"))
     stats = counts.groupBy(*group).agg(
         (F.sum(F.col("_v") * F.col("_n")) / F.sum(filled)).alias("mean_score"),
@@ -91,38 +94,23 @@ def score_summary(df: DataFrame, group: Sequence[str], value: str, cells: int =
         F.coalesce(F.sum(filled), F.lit(0)).alias("n"),
     )
     middle = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
-    wanted = stats.where("n > 0").select(*group, F.explode(F.array_distinct(middle)).alias("_rank"), "min_score", "max_score")
-    found = _ranked_values(counts.where("_v is not null"), wanted, group, cells)
-    medians = found.groupBy(*group).agg(F.avg("_v").alias("median_score"))
+    wanted = stats.where("n > 0").select(*group, F.explode(F.array_distinct(middle)).alias("_rank"))
+    medians = _ranked_values(counts.where("_v is not null"), wanted, group).groupBy(*group).agg(F.avg("_v").alias("median_score"))
     return stats.join(medians, group, "left").select(
         *group, "mean_score", "median_score", "min_score", "max_score", "n"
     )
 
 
-def _ranked_values(counts: DataFrame, wanted: DataFrame, group: list[str], cells: int) -> DataFrame:
-    """The value at each wanted 0-based rank of a group: ``<group>, _rank, _v``.
-
-    Each round cuts the bracket of every rank into equal cells, counts the values in them, and goes on
-    with the cell that holds the rank, until that cell has one value. A running sum covers at most
-    ``cells`` rows.
-    """
-    key = [*group, "_rank"]
-    open_ = stored(wanted.select(*key, F.col("min_score").alias("_lo"), F.col("max_score").alias("_hi"), F.lit(0).cast("long").alias("_below")), "brackets")
-    done = None
-    while True:
-        inside = counts.join(open_, group).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-        cut = inside.groupBy(*key, "_below", F.least(F.floor(share * cells), F.lit(cells - 1)).alias("_cell")).agg(
-            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_c")
-        )
-        upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*key).orderBy("_cell"))
-        held = cut.withColumn("_upto", upto).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
-        open_ = stored(held.select(*key, "_lo", "_hi", (F.col("_upto") - F.col("_c")).alias("_below")), "brackets")
-        settled = open_.where("_lo = _hi").select(*key, F.col("_lo").alias("_v"))
-        done = settled if done is None else done.unionByName(settled)
-        open_ = open_.where("_lo < _hi")
-        if open_.isEmpty():
-            return done
+def _ranked_values(counts: DataFrame, wanted: DataFrame, group: list[str]) -> DataFrame:
+    """The value at each wanted 0-based rank of a group: ``<group>, _rank, _v``. ``counts`` has values
+    with their number and their range of (group, value)."""
+    parts = counts.groupBy(*group, "_part").agg(F.sum("_n").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_part"))
+    parts = parts.withColumn("_before", upto - F.col("_c"))
+    held = parts.join(wanted, group).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+    inside = counts.join(held.drop("_c"), [*group, "_part"])
+    above = F.col("_before") + F.sum("_n").over(Window.partitionBy(*group, "_rank").orderBy("_v"))
+    return inside.withColumn("_above", above).where("_rank < _above and _rank >= _above - _n").select(*group, "_rank", "_v")
 
 
 def ranked(df: DataFrame, order: Sequence[str | Column], out: str, within: Sequence[str | Column] = ()) -> DataFrame:

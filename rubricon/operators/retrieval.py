@@ -1,10 +1,9 @@
 """Hybrid retrieval for a table of queries.
 
 A query sees the chunks of its scope, usually one document, and chunk ids need be unique within
-a scope only. The lexical channel joins query terms with postings, all in the JVM, and adds chunks
-without any term from their ids alone. In the dense and verbatim-term channels the queries are sent
-to every task in bounded waves, chunks stream past them in Arrow batches, and each dense task keeps
-only its best rows per query.
+a scope only. The lexical channel joins query terms with postings and adds chunks without any term
+from their ids alone; the verbatim channel looks terms up among the tokens of the same postings. Both
+run in the JVM. The dense channel deals vectors and queries to a grid of blocks and multiplies them.
 
 Scores are rounded to 9 decimals before ranking, so copies of a chunk tie exactly; ties go
 to the larger chunk id in the scored channels and to the smaller one in the verbatim
@@ -13,18 +12,17 @@ channel.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubricon.functions.text import exact_terms, tokens
+from rubricon.functions.text import SPACE, exact_terms, tokens
+from rubricon.operators.containment import contained
 from rubricon.operators.grouping import exploded, numbered, top_k
 from rubricon.operators.index import corpus_stats, postings
-from rubricon.operators.waves import waves
 from rubricon.session import stored
 
 # Channel depth, fused and reranked depth, fusion constant, ranking weights.
@@ -35,45 +33,14 @@ JOIN_MARK = "\n[Contiguous Block Extension]\n"
 BREAK_MARK = "\n\n[... Structural Fragment Break ...]\n\n"
 
 HITS = "query_id long, chunk_id long, score double"
-
-
-class _Best:
-    """Best ``k`` (score, id) pairs seen so far, larger id first on equal scores."""
-
-    def __init__(self, k):
-        self.k, self.scores, self.ids = k, np.empty(0), np.empty(0, dtype=np.int64)
-
-    def offer(self, scores, ids):
-        scores = np.round(scores, 9)
-        if len(scores) > self.k:
-            cut = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-            keep = scores >= cut
-            scores, ids = scores[keep], ids[keep]
-        scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
-        order = np.lexsort((-ids, -scores))[: self.k]
-        self.scores, self.ids = scores[order], ids[order]
-
-
-def _emit(best):
-    frames = [
-        pd.DataFrame({"query_id": q, "chunk_id": b.ids, "score": b.scores}) for q, b in best.items() if len(b.ids)
-    ]
-    return pd.concat(frames) if frames else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+# Rows of a block of the dense channel's grid, and of one product inside it.
+BLOCK_VECTORS, BLOCK_QUERIES, PRODUCT_ROWS = 65_536, 512, 4_096
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     return top_k(found, ["query_id"], [F.desc("score"), F.desc("chunk_id")], k, "rank")
 
 
-def _union(parts: list[DataFrame], spark, schema: str) -> DataFrame:
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def query_weights(queries: DataFrame, scope: str, terms: DataFrame, corpus: DataFrame) -> DataFrame:
     """Weight of every query term that occurs in the query's corpus.
 
@@ -149,49 +116,100 @@ def _unmatched(chunks: DataFrame, queries: DataFrame, scope: str, matched: DataF
     return free.select("query_id", "chunk_id", F.lit(0.0).alias("score"))
 
 
-def dense_channel(
-    vectors: DataFrame, queries: DataFrame, k: int = CHANNEL_K, wave_rows: int = 5_000, scope: str | None = None
-) -> DataFrame:
+def dense_channel(vectors: DataFrame, queries: DataFrame, k: int = CHANNEL_K, scope: str | None = None) -> DataFrame:
     """Best ``k`` chunks per query by plain dot product.
 
     ``vectors([<scope>,] chunk_id, vector)``, ``queries([<scope>,] query_id, vector)``; with ``scope``
-    a query sees the vectors of its scope only. Products are formed in double precision, one matrix
-    product per batch and scope.
+    a query sees the vectors of its scope only. The vectors of a scope are dealt to row blocks and its
+    queries to column blocks, as many as keep a block within ``BLOCK_VECTORS`` and ``BLOCK_QUERIES``;
+    a task forms the products of one pair of blocks and keeps the best of each query.
     """
-    spark = vectors.sparkSession
     of_scope = (F.col(scope) if scope else F.lit("")).alias("scope")
-    parts = []
-    for part in waves(queries.select(of_scope, "query_id", "vector"), ["query_id"], wave_rows):
-        frame = part.to_pandas()
-        blocks = {
-            key: (rows["query_id"].to_numpy(), np.stack(rows["vector"].to_list()).astype(np.float64))
-            for key, rows in frame.groupby("scope")
-        }
-        shared = spark.sparkContext.broadcast(blocks)
-        parts.append(vectors.select(of_scope, "chunk_id", "vector").mapInArrow(_score_dense(shared, k), HITS))
-    return _ranked(_union(parts, spark, HITS), k)
-
-
-def _score_dense(shared, k):
-    def run(batches):
-        best = {q: _Best(k) for ids, _ in shared.value.values() for q in ids}
-        for batch in batches:
-            scopes = np.array(batch.column("scope").to_pylist(), dtype=object)
-            for key in set(scopes) & shared.value.keys():
-                mine = batch.filter(pa.array(scopes == key))
-                ids, matrix = shared.value[key]
-                flat = mine.column("vector").flatten().to_numpy(zero_copy_only=False)
-                rows = flat.reshape(mine.num_rows, -1).astype(np.float64)
-                chunk_ids = mine.column("chunk_id").to_numpy()
-                # A block of queries at a time bounds the score matrix.
-                for start in range(0, len(ids), 256):
-                    scores = rows @ matrix[start : start + 256].T
-                    for c, q in enumerate(ids[start : start + 256]):
-                        best[q].offer(scores[:, c], chunk_ids)
-        frame = _emit(best).astype({"query_id": "int64", "chunk_id": "int64", "score": "float64"})
-        yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-
-    return run
+    v = vectors.select(of_scope, "chunk_id", "vector")
+    q = queries.select(of_scope, "query_id", "vector")
+    blocks = lambda df, size: df.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
+    grid = blocks(v, BLOCK_VECTORS).withColumnRenamed("n", "rows").join(blocks(q, BLOCK_QUERIES).withColumnRenamed("n", "columns"), "scope")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    none = F.lit(None).cast("long")
+    mine = v.join(grid, "scope").withColumn("row", dealt("chunk_id", "rows")).withColumn("column", every("columns"))
+    asked = q.join(grid, "scope").withColumn("column", dealt("query_id", "columns")).withColumn("row", every("rows"))
+    narrow = all(df.schema["vector"].dataType.simpleString() == "array<float>" for df in (vectors, queries))
+    vector = F.col("vector").cast("array<float>" if narrow else "array<double>").alias("vector")
+    sides = asked.select("scope", "row", "column", "query_id", none.alias("chunk_id"), vector).unionByName(
+        mine.select("scope", "row", "column", none.alias("query_id"), "chunk_id", vector)
+    )
+    cells = sides.repartition("scope", "row", "column").sortWithinPartitions("scope", "row", "column", F.col("query_id").isNull(), F.desc("chunk_id"))
+    return _ranked(cells.mapInArrow(partial(_products, k=k), HITS), k)
+
+
+def _products(batches, k):
+    """Best rows of each query over cells whose queries come before their vectors, larger ids first."""
+    cell, queries, held = None, [], None
+    for batch in batches:
+        scopes, rows, columns = (batch.column(i) for i in range(3))
+        keys = list(zip(scopes.to_pylist(), rows.to_pylist(), columns.to_pylist()))
+        edges = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
+        for first, last in zip(edges, edges[1:]):
+            part = batch.slice(first, last - first)
+            if keys[first] != cell:
+                if held is not None:
+                    yield held.hits()
+                cell, queries, held = keys[first], [], None
+            n = part.num_rows - part.column(3).null_count
+            if n:
+                queries.append(part.slice(0, n))
+            if n < part.num_rows and queries:
+                held = held or _Block(queries, k)
+                held.offer(part.slice(n))
+    if held is not None:
+        yield held.hits()
+
+
+class _Block:
+    """The best ``k`` vectors of each query of a block, larger id first on equal scores."""
+
+    def __init__(self, queries, k):
+        self.ids = np.concatenate([b.column(3).to_numpy() for b in queries])
+        self.matrix = np.concatenate([_rows(b) for b in queries])
+        self.norms = np.linalg.norm(self.matrix, axis=1)
+        self.k = k
+        self.place, self.score, self.found = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.floor = np.full(len(self.ids), -np.inf)
+
+    def offer(self, batch):
+        ids, rows = batch.column(4).to_numpy(), _rows(batch)
+        for at in range(0, len(ids), PRODUCT_ROWS):
+            mine = rows[at : at + PRODUCT_ROWS]
+            # No product is larger than the product of the norms.
+            reach = self.norms * np.linalg.norm(mine, axis=1).max(initial=0.0) * (1 + 1e-9) + 1e-9
+            open_ = np.flatnonzero(reach >= self.floor)
+            if len(open_):
+                self._keep(open_, np.round(mine @ self.matrix[open_].T, 9), ids[at : at + PRODUCT_ROWS])
+
+    def _keep(self, queries, scores, ids):
+        floor = self.floor[queries]
+        if len(ids) > self.k:
+            cut = len(ids) - self.k
+            floor = np.maximum(floor, np.partition(scores, cut, axis=0)[cut])
+        row, column = np.nonzero(scores >= floor)
+        place = np.concatenate([self.place, queries[column]])
+        score = np.concatenate([self.score, scores[row, column]])
+        found = np.concatenate([self.found, ids[row]])
+        order = np.lexsort((-found, -score, place))
+        place, score, found = place[order], score[order], found[order]
+        kept = np.arange(len(place)) - np.searchsorted(place, place) < self.k
+        self.place, self.score, self.found = place[kept], score[kept], found[kept]
+        full = np.flatnonzero(np.bincount(self.place, minlength=len(self.ids)) == self.k)
+        self.floor[full] = self.score[np.searchsorted(self.place, full, "right") - 1]
+
+    def hits(self):
+        columns = [pa.array(self.ids[self.place]), pa.array(self.found), pa.array(self.score)]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
+
+
+def _rows(batch):
+    return batch.column(5).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
 
 
 def dense_scores(vectors: DataFrame, query: str = "query_vector") -> DataFrame:
@@ -204,59 +222,44 @@ def dense_scores(vectors: DataFrame, query: str = "query_vector") -> DataFrame:
     return vectors.withColumn("score", product)
 
 
-def verbatim_hits(chunks: DataFrame, queries: DataFrame, scope: str, wave_rows: int = 200_000) -> DataFrame:
+def verbatim_hits(chunks: DataFrame, queries: DataFrame, scope: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """How many of a query's exact terms each chunk of its scope holds, as substrings.
 
-    All terms of a wave are found in one pass over the text; only chunks with a hit are
-    emitted.
+    A term without white space lies inside one token of the text, so it is looked up among the distinct
+    tokens, by gram, and these in the postings; texts are not read. A phrase is looked up by its longest
+    word, and only the chunks that hold this are searched for it. A term that is nothing but white space
+    is looked up among the white space of the texts. ``tables`` are those of an index.
     """
-    terms = exploded(queries, [scope, "query_id"], exact_terms(F.col("text")), "_i", "term").drop("_i")
-    spark = chunks.sparkSession
-    parts = []
-    source = chunks.select(F.col(scope).alias("scope"), "chunk_id", F.lower("text").alias("text"))
-    for part in waves(terms, ["query_id"], wave_rows):
-        table = defaultdict(lambda: defaultdict(list))
-        for key, query, term in zip(*(part[c].to_pylist() for c in (scope, "query_id", "term"))):
-            table[key][term].append(query)
-        shared = spark.sparkContext.broadcast({s: dict(t) for s, t in table.items()})
-        parts.append(source.mapInPandas(_count_hits(shared), "query_id long, chunk_id long, hits long"))
-    return _union(parts, spark, "query_id long, chunk_id long, hits long")
-
-
-def _count_hits(shared):
-    def finder(terms):
-        try:
-            import ahocorasick
-        except ImportError:
-            return lambda text: [t for t in terms if t in text]
-        trie = ahocorasick.Automaton()
-        for t in terms:
-            trie.add_word(t, t)
-        trie.make_automaton()
-        return lambda text: {t for _, t in trie.iter(text)}
-
-    def run(batches):
-        finders = {s: finder(t) for s, t in shared.value.items()}
-        for batch in batches:
-            queries, ids, hits = [], [], []
-            for scope, chunk, text in zip(batch["scope"], batch["chunk_id"], batch["text"]):
-                if scope not in finders:
-                    continue
-                owners = shared.value[scope]
-                # A term listed twice by a query (case variants) counts twice.
-                count = Counter(q for t in finders[scope](text) for q in owners[t])
-                queries += count.keys()
-                hits += count.values()
-                ids += [chunk] * len(count)
-            yield pd.DataFrame({"query_id": queries, "chunk_id": ids, "hits": hits}, dtype="int64")
-
-    return run
-
-
-def verbatim_channel(chunks: DataFrame, queries: DataFrame, scope: str) -> DataFrame:
+    asked = exploded(queries, [scope, "query_id"], exact_terms(F.col("text")), "_i", "term")
+    # A term listed twice by a query (case variants) counts twice.
+    asked = asked.groupBy(scope, "query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    pieces = F.filter(F.split("term", SPACE + "+"), lambda w: w != "")
+    longest = F.aggregate(pieces, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    asked = stored(asked.withColumns({"needle": longest, "single": ~F.col("term").rlike(SPACE)}), "exact-terms")
+    scopes = asked.select(scope).distinct()
+    rows = (tables or {}).get("postings")
+    rows = stored(postings(chunks, [scope, "chunk_id"]), "postings") if rows is None else rows
+    rows = rows.join(scopes, scope, "left_semi").select(scope, "chunk_id", F.col("term").alias("haystack"))
+    spaced = asked.where("needle = ''")
+    gaps = chunks.join(spaced.select(scope).distinct(), scope, "left_semi")
+    gaps = exploded(gaps, [scope, "chunk_id"], F.regexp_extract_all(F.lower("text"), F.lit(f"{SPACE}+"), F.lit(0)), "_i", "haystack").drop("_i")
+    within = lambda needles, held: contained(needles.select("needle").distinct(), held.select("haystack").distinct()).join(held, "haystack")
+    words = asked.where("needle <> ''")
+    holding = within(words, rows).select(scope, "needle", "chunk_id").distinct()
+    found = words.join(holding, [scope, "needle"])
+    sure = found.where("single").select("query_id", "chunk_id", "term", "times")
+    phrases = found.where("not single").join(chunks.select(scope, "chunk_id", F.lower("text").alias("text")), [scope, "chunk_id"])
+    phrases = phrases.where(F.contains("text", "term")).select("query_id", "chunk_id", "term", "times")
+    blank = spaced.withColumn("needle", F.col("term"))
+    blank = blank.join(within(blank, gaps).select(scope, "needle", "chunk_id").distinct(), [scope, "needle"]).select("query_id", "chunk_id", "term", "times")
+    hits = sure.unionByName(phrases).unionByName(blank)
+    return hits.groupBy("query_id", "chunk_id").agg(F.sum("times").alias("hits"))
+
+
+def verbatim_channel(chunks: DataFrame, queries: DataFrame, scope: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """All hits with their 0-based rank: more terms first, then document order. Hits are stored
-    because ranking reads them twice and finding them reads every text."""
-    hits = stored(verbatim_hits(chunks, queries, scope), "verbatim-hits")
+    because ranking reads them twice."""
+    hits = stored(verbatim_hits(chunks, queries, scope, tables), "verbatim-hits")
     return numbered(hits, ["query_id"], ["hits"], "chunk_id", "rank")
 
 

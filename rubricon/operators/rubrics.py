@@ -12,16 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.functions.text import fold_space, signals
+from rubricon.operators.containment import contained
 from rubricon.operators.grading import CATEGORIES, TIERS
 from rubricon.operators.grouping import exploded, first_by, last_by, salted_join
+from rubricon.session import stored
 
 # Thresholds of the quality gate, of routing and of the shape warning.
 QUALITY_THRESHOLD = 0.70
 COVERAGE_LEAST, STRUCTURE_LEAST, STOP_OVERALL, OPEN_ISSUE_OVERALL = 0.90, 0.80, 0.95, 0.85
 CRITICAL_SHARE = 0.8
 DIMENSIONS = ["specificity", "atomicity", "tier_correctness", "coverage"]
-# Gram sizes that anchor a containment test, ascending.
-ANCHOR_SIZES = [1, 2, 3, 8]
 ACTIONS = ["stop", "enrich", "repair"]
 
 
@@ -188,71 +188,20 @@ def invented_figures(original: DataFrame, repaired: DataFrame) -> DataFrame:
 def untraceable(original: DataFrame, repaired: DataFrame) -> DataFrame:
     """Repaired facts that neither equal, contain nor are contained in an original fact.
 
-    Containment is found by equi-join instead of comparing all pairs of a question: the
-    shorter text is anchored at the one of its grams that the other side holds least
-    often, and only texts that hold that gram are compared.
+    Containment is found by equi-join on grams instead of comparing all pairs of a question.
     """
     o = original.select("question", F.lower("fact").alias("text")).distinct()
     r = repaired.select("question", "fact", F.lower("fact").alias("text")).distinct()
-    open_r = r.join(o, ["question", "text"], "left_anti")
+    open_r = stored(r.join(o, ["question", "text"], "left_anti"), "untraced")
     texts = open_r.select("question", "text").distinct()
     o = o.join(texts.select("question").distinct(), "question", "left_semi")
-    inside = _contained(needles=texts, haystacks=o).select("question", F.col("needle").alias("text"))
-    around = _contained(needles=o, haystacks=texts).select("question", F.col("haystack").alias("text"))
+    as_ = lambda df, name: df.withColumnRenamed("text", name)
+    inside = contained(as_(texts, "needle"), as_(o, "haystack"), ["question"]).select("question", F.col("needle").alias("text"))
+    around = contained(as_(o, "needle"), as_(texts, "haystack"), ["question"]).select("question", F.col("haystack").alias("text"))
     traced = inside.unionByName(around).distinct()
     return open_r.join(traced, ["question", "text"], "left_anti").select("question", "fact")
 
 
-def _contained(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
-    """(question, needle, haystack) with the needle inside the haystack. A needle uses the longest
-    anchor size it has room for: long grams are rare even in a question with very many
-    facts. Gram rows carry hashes of gram and text only, so everything up to the candidates
-    aggregates by hash; the texts come back for the final comparison, which also settles
-    collisions."""
-    fitting = F.lit(0)
-    for size in ANCHOR_SIZES:
-        fitting = F.when(F.length("text") >= size, size).otherwise(fitting)
-    needles = needles.withColumn("nid", F.xxhash64("text"))
-    haystacks = haystacks.withColumn("hid", F.xxhash64("text"))
-
-    # Holders above the gram hash in one long, so that the least one is a plain minimum. There is
-    # room for a billion of them in one question.
-    bits, most = 33, (1 << 30) - 1
-    mask = (1 << bits) - 1
-
-    def grams(size: int) -> Column:
-        at = F.sequence(F.lit(1), F.length("text") - (size - 1))
-        return F.array_distinct(
-            F.transform(at, lambda i: F.xxhash64(F.substring("text", i, F.lit(size))).bitwiseAND(F.lit(mask)))
-        )
-
-    sizes = needles.select(fitting.alias("n")).distinct().collect()
-    found = None
-    for size in sorted(r["n"] for r in sizes if r["n"]):
-        need = exploded(needles.where(fitting == size), ["question", "nid"], grams(size), "_i", "g").drop("_i")
-        hay = exploded(haystacks.where(F.length("text") >= size), ["question", "hid"], grams(size), "_i", "g").drop("_i")
-        df = hay.groupBy("question", "g").agg(F.count(F.lit(1)).alias("df"))
-        # A needle with a gram that no haystack holds cannot be contained anywhere.
-        held = F.least(F.coalesce("df", F.lit(0)), F.lit(most)).cast("long")
-        anchors = (
-            need.join(df, ["question", "g"], "left")
-            .groupBy("question", "nid")
-            .agg(F.min(F.shiftleft(held, bits).bitwiseOR(F.col("g"))).alias("_least"))
-            .where(F.col("_least") > mask)
-            .select("question", "nid", F.col("_least").bitwiseAND(F.lit(mask)).alias("g"))
-        )
-        part = anchors.join(hay, ["question", "g"]).select("question", "nid", "hid")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return needles.select("question", F.col("text").alias("needle"), F.col("text").alias("haystack")).limit(0)
-    return (
-        found.join(needles.withColumnRenamed("text", "needle"), ["question", "nid"])
-        .join(haystacks.withColumnRenamed("text", "haystack"), ["question", "hid"])
-        .where(F.contains("haystack", "needle"))
-        .select("question", "needle", "haystack")
-    )
-
-
 def tier_moves(original: DataFrame, repaired: DataFrame) -> DataFrame:
     """Facts whose tier differs between two versions. A fact listed twice in the original
     counts with its later tier."""

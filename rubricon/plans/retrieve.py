@@ -31,11 +31,12 @@ def retrieve(
     ``tables`` are the postings, terms and corpus tables of an index.
     """
     scopes = queries.select(scope, "query_id")
+    tables = tables or retrieval.lexical_tables(chunks, scope)
     fused = retrieval.fuse(
         [
             retrieval.lexical_channel(chunks, queries, scope, tables=tables),
             retrieval.dense_channel(vectors, query_vectors.join(scopes, "query_id"), scope=scope),
-            retrieval.verbatim_channel(chunks, queries, scope),
+            retrieval.verbatim_channel(chunks, queries, scope, tables=tables),
         ]
     )
     candidates = stored(fused.join(scopes, "query_id"), "candidates")

@@ -16,9 +16,10 @@ def skewed(n, seed):
 def test_median_is_exact_under_skew(spark):
     rows = skewed(5000, 1)
     df = spark.createDataFrame(rows, "g string, v double, i long")
-    # Few cells make several rounds.
-    for cells in (2, 1024):
-        got = {r["g"]: r for r in grouping.score_summary(df, ["g"], "v", cells).collect()}
+    # Without merging them, the hot group is spread over most of the ranges.
+    for merged in ("false", "true"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+        got = {r["g"]: r for r in grouping.score_summary(df, ["g"], "v").collect()}
         for g in {r[0] for r in rows}:
             v = [r[1] for r in rows if r[0] == g]
             assert got[g]["median_score"] == statistics.median(v)
@@ -31,6 +32,23 @@ def test_summary_drops_null_groups_and_keeps_null_values_out(spark):
     assert got == {"a": (1.0, 1.0, 1), "b": (None, None, 0)}
 
 
+def test_nan_counts_as_null(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([("a", 1.0), ("a", nan), ("a", 2.0), ("b", nan), ("c", inf), ("c", 3.0), ("c", 4.0)], "g string, v double")
+    got = {r["g"]: tuple(r)[1:] for r in grouping.score_summary(df, ["g"], "v").collect()}
+    assert got == {"a": (1.5, 1.5, 1.0, 2.0, 2), "b": (None, None, None, None, 0), "c": (inf, 4.0, 3.0, inf, 3)}
+
+
+def test_ranked_equals_sorting(spark):
+    rows = skewed(3000, 4)
+    df = spark.createDataFrame(rows, "g string, v double, i long")
+    for merged in ("false", "true"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+        got = {(r["g"], r["i"]): r["at"] for r in grouping.ranked(df, ["g", "v"], "at", within=["i"]).collect()}
+        assert got == {(g, i): at for at, (g, v, i) in enumerate(sorted(rows))}
+    assert grouping.ranked(df.limit(0), ["g"], "at").collect() == []
+
+
 def test_medians_of_far_apart_values(spark):
     values = {"a": [1e-300, 1e300, -1e300, 5.0], "b": [0.1 + 1e-16 * i for i in range(9)], "c": [2.0] * 5 + [3.0] * 5}
     df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs], "g string, v double")

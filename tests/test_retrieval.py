@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rubricon.operators import retrieval
@@ -76,15 +77,17 @@ def test_dense_channel_keeps_to_the_scope(spark):
     assert got == {(7, 0, 0, 1.0), (8, 0, 1, 1.0), (8, 1, 0, 0.0)}
 
 
-def test_dense_channel_equals_brute_force(spark):
+def test_dense_channel_equals_brute_force(spark, monkeypatch):
     rnd = np.random.default_rng(6)
     v = rnd.normal(size=(200, 8)).astype(np.float32)
     v[50] = v[10]
     q = rnd.normal(size=(9, 8))
     vec = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, vector array<float>").repartition(5)
     qs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, vector array<double>")
-    for wave_rows in (5000, 2):
-        got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.dense_channel(vec, qs, 15, wave_rows).collect()}
+    for sizes in ((65_536, 512, 4_096), (64, 2, 5)):
+        for name, size in zip(("BLOCK_VECTORS", "BLOCK_QUERIES", "PRODUCT_ROWS"), sizes):
+            monkeypatch.setattr(retrieval, name, size)
+        got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.dense_channel(vec, qs, 15).collect()}
         want = {}
         for i, x in enumerate(q):
             s = np.round(v.astype(np.float64) @ x, 9)
@@ -93,6 +96,59 @@ def test_dense_channel_equals_brute_force(spark):
         assert got == want
 
 
+def test_dense_channel_is_dealt_to_blocks(spark, monkeypatch):
+    """One scope holds nearly all vectors and queries; no task gets all of either."""
+    monkeypatch.setattr(retrieval, "BLOCK_VECTORS", 50)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 10)
+    vec = spark.range(1000).selectExpr("'hot' AS s", "id AS chunk_id", "array(cast(id AS float), 1.0f) AS vector")
+    qs = spark.range(40).selectExpr("'hot' AS s", "id AS query_id", "array(cast(id % 3 - 1 AS double), 1.0D) AS vector")
+    offered = []
+    monkeypatch.setattr(retrieval, "_ranked", lambda found, k: offered.append(found) or found)
+    retrieval.dense_channel(vec, qs, 5, "s")
+    cells = offered[0].groupBy("query_id").count().collect()
+    # Each of 20 row blocks answers each query with its five best.
+    assert len(cells) == 40 and all(60 <= r["count"] <= 100 for r in cells)
+
+
+def test_small_norms_are_skipped_and_nothing_is_lost(spark):
+    rnd = np.random.default_rng(3)
+    v = rnd.normal(size=(900, 4)) * np.geomspace(1, 1e-6, 900)[:, None]
+    block = retrieval._Block([pa.record_batch([pa.nulls(2)] * 3 + [pa.array([0, 1]), pa.nulls(2), pa.array([[1.0, 0, 0, 0], [0, 1.0, 1, 0]])], list("abcdef"))], 7)
+    products = []
+    keep = block._keep
+    block._keep = lambda q, s, i: products.append(len(q)) or keep(q, s, i)
+    for at in range(0, 900, 100):
+        ids = pa.array(np.arange(at, at + 100))
+        block.offer(pa.record_batch([pa.nulls(100)] * 4 + [ids, pa.array(v[at : at + 100].tolist())], list("abcdef")))
+    assert sum(products) < 18
+    want = np.round(v @ np.array([[1.0, 0, 0, 0], [0, 1.0, 1, 0]]).T, 9)
+    for q in range(2):
+        best = sorted(range(900), key=lambda i: (-want[i, q], -i))[:7]
+        assert block.found[block.place == q].tolist() == best
+
+
+def test_verbatim_hits_equal_brute_force(spark):
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choice("abAB-1é") for _ in range(rnd.randrange(1, 9)))
+    text = lambda n: "".join(word() + rnd.choice([" ", " ", "  ", "\n", "\t", "\u2003"]) for _ in range(n))
+    docs = [(rnd.choice("xyz"), i, text(rnd.randrange(25))) for i in range(150)]
+    queries = [(rnd.choice("xyw"), q, text(5) + '"' + rnd.choice([docs[q][2][3:15], "  ", "   ", " a ", "\n\t "]) + '" ' + docs[q][2][:30]) for q in range(60)]
+    c = spark.createDataFrame(docs, "scope string, chunk_id long, text string")
+    q = spark.createDataFrame(queries, "scope string, query_id long, text string")
+    terms = {r[0]: r[1] for r in q.select("query_id", retrieval.exact_terms(F.col("text"))).collect()}
+    want = {}
+    for scope, query, _ in queries:
+        for s, chunk, t in docs:
+            n = sum(term in t.lower() for term in terms[query]) if s == scope else 0
+            if n:
+                want[query, chunk] = n
+    hits = retrieval.verbatim_hits(c, q, "scope")
+    assert {(r["query_id"], r["chunk_id"]): r["hits"] for r in hits.collect()} == want
+    assert any(" " in t or not t.strip() for ts in terms.values() for t in ts)
+    plan = hits._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "Arrow" not in plan
+
+
 def test_verbatim_hits_count_case_variants_twice(spark):
     c = spark.createDataFrame([("d", 0, "the Q3-2024 note on EBITDA"), ("d", 1, "ebitda only"), ("x", 2, "EBITDA")], "scope string, chunk_id long, text string")
     q = spark.createDataFrame([("d", 7, 'EBITDA Ebitda Q3-2024 "note on"')], "scope string, query_id long, text string")
