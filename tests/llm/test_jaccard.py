@@ -1,8 +1,11 @@
+import os
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from rubricon import session
 from rubricon.llm import jaccard
 
 
@@ -50,6 +53,37 @@ def test_groups(documents, bases, most):
     assert got(jaccard.near_groups(documents(rows))) == true_groups(rows)
 
 
+def test_group_of_many_near_copies(documents):
+    """Copies so far from each other that a hub alone does not link all of them."""
+    rows = edited(4, 400, 1, 14)
+    assert got(jaccard.near_groups(documents(rows))) == true_groups(rows)
+
+
+def test_repeated_ids(documents):
+    rows = edited(6, 60, 3, 6)
+    rows += [(rows[0][0], rows[5][1]), rows[7], rows[7], (None, rows[2][1]), (None, "other")]
+    assert got(jaccard.near_groups(documents(rows))) == true_groups(rows)
+
+
+def test_cells_bound_the_difference():
+    rng = random.Random(2)
+    for _ in range(50):
+        pool = np.unique(np.array([rng.getrandbits(64) for _ in range(900)], np.uint64))
+        a, b = (np.sort(np.array(rng.sample(pool.tolist(), rng.randrange(1, 800)), np.uint64)) for _ in range(2))
+        differ = len(np.setxor1d(a, b))
+        assert jaccard.cells_differ(jaccard.cells(a), jaccard.cells(b)) <= differ
+        assert jaccard.cells_differ(jaccard.cells(a), jaccard.cells(a)) == 0
+
+
+def test_nothing_stays_in_scratch(spark, documents):
+    """All but small tables of the answer are gone when it is there."""
+    folder = session.shared_path(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    count = lambda: sum("scratch" in d for d in os.listdir(folder)) if os.path.isdir(folder) else 0
+    before = count()
+    jaccard.near_groups(documents(edited(1, 20, 2, 3)))
+    assert count() == before
+
+
 def test_odd_rows(documents, odd_rows):
     assert got(jaccard.near_groups(documents(odd_rows))) == true_groups(odd_rows)
 
