@@ -33,9 +33,21 @@ def fold(name: str, folds: int = 4) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+HASHES = 1 << 30
+
+
+def hash_share(rows: Column, wanted: int) -> Column:
+    """The hashes below which some half more than ``wanted`` of so many rows are expected."""
+    share = (F.lit(1.5 * wanted) + 100) / F.greatest(rows, F.lit(1))
+    return (F.least(share, F.lit(1.0)) * HASHES).cast("long")
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows, chosen by the order of the key's hash: the same ones at every run."""
-    return df.orderBy(F.xxhash64(key), F.col(key)).limit(rows)
+    """At most ``rows`` rows, chosen by the order of the key's hash: the same ones at every run. A key
+    that many rows share may displace others, never exceed the bound."""
+    limit = hash_share(F.lit(df.count()), rows)
+    near = df.where(F.pmod(F.xxhash64(key), F.lit(HASHES)) < limit)
+    return near.orderBy(F.pmod(F.xxhash64(key), F.lit(HASHES)), F.col(key)).limit(rows)
 
 
 def slices(texts: list[str], limit: int = 1 << 20):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubricon.llm.common import fold, id_of, shown_id, text_of
+from rubricon.llm.common import HASHES, fold, hash_share, id_of, shown_id, text_of
 
 UNKNOWN = "und"
 FEATURES = 1 << 14
@@ -152,7 +152,8 @@ def train(
     """Fit on the folds that are not held out, or None if no text there has a language.
 
     Document frequencies cover every text of those folds. The weights see at most
-    ``rows_per_language`` texts of each language, chosen by a hash of the id.
+    ``rows_per_language`` texts of each language, chosen by a hash of id and text; rows that repeat
+    both are one of them.
     """
     learnt = docs.where(fold(id_col) != held_out_fold).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
@@ -161,10 +162,14 @@ def train(
     counted = learnt.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     frequency = {r["feature"]: r["n"] for r in counted.collect()}  # at most FEATURES + 1 rows
     texts = frequency.pop(-1, 0)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = learnt.where("lang is not null").select("id", "lang").withColumn("n", F.row_number().over(order))
-    ids = ids.where(F.col("n") <= rows_per_language).select("id", "lang")
-    sample = learnt.select("id", "text").join(F.broadcast(ids), "id").select("lang", "text")
+    # Equal texts of an id are one row, found by their hash before any text moves.
+    key = F.pmod(F.xxhash64("id", "text"), F.lit(HASHES))
+    named = learnt.where("lang is not null").select("lang", key.alias("key"), "text")
+    sizes = named.select("lang", "key").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    bounds = sizes.select("lang", hash_share(F.col("n"), rows_per_language).alias("bound"))
+    near = named.join(bounds, "lang").where("key < bound").dropDuplicates(["lang", "key"])
+    order = Window.partitionBy("lang").orderBy("key")
+    sample = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language).select("lang", "text")
     rows = sample.mapInArrow(_vectors, "lang string, at array<int>, count array<long>").toArrow()
     if not rows.num_rows:
         return None
