@@ -3,7 +3,7 @@
 A query sees the chunks of its scope, usually one document, and chunk ids need be unique within
 a scope only. The lexical channel joins query terms with postings and adds chunks without any term
 from their ids alone; the verbatim channel looks terms up among the tokens of the same postings. Both
-run in the JVM. The dense channel deals vectors and queries to a grid of blocks and multiplies them.
+run in the JVM. Postings are kept in blocks with the most that a block can add to a score. The dense channel deals vectors and queries to a grid of blocks and multiplies them.
 
 Scores are rounded to 9 decimals before ranking, so copies of a chunk tie exactly; ties go
 to the larger chunk id in the scored channels and to the smaller one in the verbatim
@@ -33,6 +33,9 @@ JOIN_MARK = "\n[Contiguous Block Extension]\n"
 BREAK_MARK = "\n\n[... Structural Fragment Break ...]\n\n"
 
 HITS = "query_id long, chunk_id long, score double"
+# Chunk ids of a posting block; up to how many chunks a term is read whole for the first threshold, and
+# how many of its best blocks beyond; what rounding of sums may take away from a bound.
+BLOCK_IDS, RARE_CHUNKS, HEAD_BLOCKS, SLACK = 128, 2_048, 8, 1e-6
 # Rows of a block of the dense channel's grid, and of one product inside it.
 BLOCK_VECTORS, BLOCK_QUERIES, PRODUCT_ROWS = 65_536, 512, 4_096
 
@@ -44,14 +47,15 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def query_weights(queries: DataFrame, scope: str, terms: DataFrame, corpus: DataFrame) -> DataFrame:
     """Weight of every query term that occurs in the query's corpus.
 
-    ``terms(<scope>, term, df)`` and ``corpus(<scope>, n_chunks, avg_len)`` are tables of an index.
-    The weight is the term's inverse document frequency times its repetitions in the query; a
-    negative frequency weight is replaced by a quarter of the corpus mean.
+    ``terms(<scope>, term, df, ...)`` and ``corpus(<scope>, n_chunks, avg_len)`` are tables of an index;
+    further columns of the terms are kept. The weight is the term's inverse document frequency times
+    its repetitions in the query; a negative frequency weight is replaced by a quarter of the corpus mean.
     """
     idf = (
         terms.join(queries.select(scope).distinct(), scope, "left_semi")
-        .join(corpus.select(scope, "n_chunks", "avg_len"), scope)
+        .join(corpus.select(scope, "n_chunks"), scope)
         .withColumn("idf", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        .drop("n_chunks")
     )
     mean = idf.groupBy(scope).agg(F.avg("idf").alias("mean_idf"))
     asked = (
@@ -60,25 +64,40 @@ def query_weights(queries: DataFrame, scope: str, terms: DataFrame, corpus: Data
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
     floor = F.lit(BM25_FLOOR) * F.col("mean_idf")
-    return (
-        asked.join(idf.select(scope, "term", "idf", "avg_len"), [scope, "term"])
-        .join(mean, scope)
-        .select(
-            scope, "query_id", "term", "avg_len",
-            (F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")) * F.col("qtf")).alias("weight"),
-        )
-    )
+    weight = F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")) * F.col("qtf")
+    return asked.join(idf, [scope, "term"]).join(mean, scope).withColumn("weight", weight).drop("qtf", "idf", "mean_idf")
+
+
+def posting_blocks(rows: DataFrame, corpus: DataFrame, scope: str) -> DataFrame:
+    """Postings in blocks of ``BLOCK_IDS`` neighbouring chunk ids: ``<scope>, term, block, best, entries``.
 
+    An entry is a chunk with its impact, what the term adds to its score per unit of weight; ``best`` is
+    the largest impact of the block, which bounds what reading it can add.
+    """
+    tf, length = F.col("tf"), F.col("len") / F.col("avg_len")
+    impact = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length))
+    entries = rows.join(corpus.select(scope, "avg_len"), scope).withColumn("impact", impact)
+    return entries.groupBy(scope, "term", _block(F.col("chunk_id")).alias("block")).agg(
+        F.max("impact").alias("best"), F.collect_list(F.struct("chunk_id", "impact")).alias("entries")
+    )
 
-def lexical_tables(chunks: DataFrame, scope: str) -> dict[str, DataFrame]:
-    """``postings``, ``terms`` and ``corpus`` of chunks, as an index keeps them. The postings are
-    stored; the term counts are counts of them."""
-    rows = stored(postings(chunks, [scope, "chunk_id"]), "postings")
-    return {
-        "postings": rows,
-        "terms": rows.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df")),
-        "corpus": corpus_stats(chunks, [scope]),
-    }
+
+def _block(chunk_id):
+    return F.floor(chunk_id / BLOCK_IDS).cast("long")
+
+
+def lexical_tables(chunks: DataFrame, scope: str, rows: DataFrame | None = None, corpus: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``blocks``, ``terms`` and ``corpus`` of chunks, as an index keeps them; the blocks are stored.
+    ``rows`` and ``corpus`` are the postings and statistics, where they are there already."""
+    corpus = corpus_stats(chunks, [scope]) if corpus is None else corpus
+    rows = postings(chunks, [scope, "chunk_id"]) if rows is None else rows
+    blocks = stored(posting_blocks(rows, corpus, scope), "blocks")
+    return {"blocks": blocks, "terms": block_terms(blocks, scope), "corpus": corpus}
+
+
+def block_terms(blocks: DataFrame, scope: str) -> DataFrame:
+    """Per term the chunks that have it and its largest impact."""
+    return blocks.groupBy(scope, "term").agg(F.sum(F.size("entries")).cast("long").alias("df"), F.max("best").alias("reach"))
 
 
 def lexical_channel(
@@ -87,20 +106,71 @@ def lexical_channel(
     """Best ``k`` chunks per query by BM25, chunks without any query term included.
 
     ``chunks(<scope>, chunk_id, text)``, ``queries(<scope>, query_id, text)``; a query sees the chunks
-    of its scope only. ``tables`` are the postings, terms and corpus tables of an index; with them the
+    of its scope only. ``tables`` are the blocks, terms and corpus tables of an index; with them the
     texts are not read. A query without any known term still ranks its corpus, with zero scores.
+
+    Common words are read only where they can matter. A first pass over rare terms and the best blocks
+    of common ones gives every query a threshold, the k-th best score so far. Terms that cannot reach it
+    together are left for last: they are looked up for those chunks only that the others bring near it.
+    Blocks of the others are skipped where all other terms at their best would not lift them to it.
+    A query with fewer than ``k`` chunks so far, or with a negative weight, has no threshold and reads all.
     """
     tables = tables or lexical_tables(chunks, scope)
-    weights = query_weights(queries, scope, tables["terms"], tables["corpus"])
-    tf, length = F.col("tf"), F.col("len") / F.col("avg_len")
-    part = F.col("weight") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length))
-    matched = stored(
-        tables["postings"].join(weights, [scope, "term"]).groupBy(scope, "query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score")),
-        "matches",
-    )
+    blocks = tables["blocks"]
+    weights = stored(query_weights(queries, scope, tables["terms"], tables["corpus"]).withColumn("most", F.col("weight") * F.col("reach")), "weights")
+    cut = _thresholds(blocks, weights, scope, k)
+    plan = stored(_last_terms(weights, cut, scope), "terms")
+    least = F.col("cut") - SLACK
+    first = plan.where("not last")
+    partial_ = stored(
+        _parts(blocks, first, scope, F.col("weight") * F.col("best") + F.col("total") - F.col("most") >= least)
+        .groupBy(scope, "query_id", "chunk_id").agg(F.sum("part").alias("part")),
+        "partial",
+    )
+    limits = plan.groupBy("query_id").agg(F.max("cut").alias("cut"), F.coalesce(F.sum(F.when(F.col("last"), F.col("most"))), F.lit(0.0)).alias("rest"))
+    near = partial_.join(limits, "query_id").where(F.col("part") + F.col("rest") >= least).drop("cut", "rest")
+    wanted = near.select(scope, "query_id", "chunk_id").join(plan.where("last").select("query_id", "term", "weight"), "query_id")
+    wanted = wanted.withColumn("block", _block(F.col("chunk_id")))
+    hit = F.filter("entries", lambda e: e["chunk_id"] == F.col("chunk_id"))
+    added = blocks.join(wanted, [scope, "term", "block"]).withColumn("hit", F.get(F.transform(hit, lambda e: e["impact"]), F.lit(0)))
+    added = added.where("hit is not null").select(scope, "query_id", "chunk_id", (F.col("weight") * F.col("hit")).alias("part"))
+    matched = near.select(scope, "query_id", "chunk_id", "part").unionByName(added)
+    matched = stored(matched.groupBy(scope, "query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score")), "matches")
     return _ranked(matched.select("query_id", "chunk_id", "score").unionByName(_unmatched(chunks, queries, scope, matched, k)), k)
 
 
+def _parts(blocks: DataFrame, terms: DataFrame, scope: str, open_=None) -> DataFrame:
+    """What each term adds to each chunk of its blocks, those that are ``open_`` only."""
+    on = [scope, "term", "block"] if "block" in terms.columns else [scope, "term"]
+    joined = blocks.join(terms, on)
+    joined = joined if open_ is None else joined.where(open_)
+    entry = joined.select(scope, "query_id", "weight", F.explode("entries").alias("e"))
+    return entry.select(scope, "query_id", F.col("e.chunk_id").alias("chunk_id"), (F.col("weight") * F.col("e.impact")).alias("part"))
+
+
+def _thresholds(blocks: DataFrame, weights: DataFrame, scope: str, k: int) -> DataFrame:
+    """query_id, cut: a score that ``k`` chunks of the query reach."""
+    sure = weights.groupBy("query_id").agg(F.min("weight").alias("_w")).where("_w >= 0").select("query_id")
+    weights = weights.join(sure, "query_id", "left_semi").select(scope, "query_id", "term", "weight", "df")
+    rare, common = weights.where(F.col("df") <= RARE_CHUNKS), weights.where(F.col("df") > RARE_CHUNKS)
+    heads = blocks.select(scope, "term", "block", "best").join(common.select(scope, "term").distinct(), [scope, "term"], "left_semi")
+    heads = top_k(heads, [scope, "term"], [F.desc("best"), F.asc("block")], HEAD_BLOCKS, "_i").select(scope, "term", "block")
+    seen = _parts(blocks, rare, scope).unionByName(_parts(blocks, common.join(heads, [scope, "term"]), scope))
+    sums = seen.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    best = top_k(sums, ["query_id"], [F.desc("score")], k, "_i")
+    return best.groupBy("query_id").agg(F.min("score").alias("cut"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k).drop("_n")
+
+
+def _last_terms(weights: DataFrame, cut: DataFrame, scope: str) -> DataFrame:
+    """Terms with the query's ``cut`` (below all scores where there is none), the ``total`` of what its
+    terms can add, and whether a term is among the ``last``, which cannot reach the cut together."""
+    w = weights.join(cut, "query_id", "left").withColumn("cut", F.coalesce("cut", F.lit(float("-inf"))))
+    of_query = Window.partitionBy("query_id")
+    upto = F.sum("most").over(of_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
+    w = w.withColumns({"total": F.sum("most").over(of_query), "last": upto < F.col("cut") - SLACK})
+    return w.select(scope, "query_id", "term", "weight", "most", "cut", "total", "last")
+
+
 def _unmatched(chunks: DataFrame, queries: DataFrame, scope: str, matched: DataFrame, k: int) -> DataFrame:
     """Chunks without a term, the largest ids first, for queries with fewer than ``k`` positive scores.
 
@@ -237,21 +307,23 @@ def verbatim_hits(chunks: DataFrame, queries: DataFrame, scope: str, tables: dic
     longest = F.aggregate(pieces, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
     asked = stored(asked.withColumns({"needle": longest, "single": ~F.col("term").rlike(SPACE)}), "exact-terms")
     scopes = asked.select(scope).distinct()
-    rows = (tables or {}).get("postings")
-    rows = stored(postings(chunks, [scope, "chunk_id"]), "postings") if rows is None else rows
-    rows = rows.join(scopes, scope, "left_semi").select(scope, "chunk_id", F.col("term").alias("haystack"))
+    tables = tables or lexical_tables(chunks, scope)
+    rows = tables["blocks"].join(scopes, scope, "left_semi").select(scope, F.col("entries.chunk_id").alias("ids"), F.col("term").alias("haystack"))
     spaced = asked.where("needle = ''")
     gaps = chunks.join(spaced.select(scope).distinct(), scope, "left_semi")
-    gaps = exploded(gaps, [scope, "chunk_id"], F.regexp_extract_all(F.lower("text"), F.lit(f"{SPACE}+"), F.lit(0)), "_i", "haystack").drop("_i")
-    within = lambda needles, held: contained(needles.select("needle").distinct(), held.select("haystack").distinct()).join(held, "haystack")
+    gaps = exploded(gaps, [scope, F.array("chunk_id").alias("ids")], F.regexp_extract_all(F.lower("text"), F.lit(f"{SPACE}+"), F.lit(0)), "_i", "haystack").drop("_i")
+
+    def within(needles: DataFrame, held: DataFrame) -> DataFrame:
+        inside = contained(needles.select("needle").distinct(), held.select("haystack").distinct())
+        return inside.join(held, "haystack").select(scope, "needle", F.explode("ids").alias("chunk_id")).distinct()
+
     words = asked.where("needle <> ''")
-    holding = within(words, rows).select(scope, "needle", "chunk_id").distinct()
-    found = words.join(holding, [scope, "needle"])
+    found = words.join(within(words, rows), [scope, "needle"])
     sure = found.where("single").select("query_id", "chunk_id", "term", "times")
     phrases = found.where("not single").join(chunks.select(scope, "chunk_id", F.lower("text").alias("text")), [scope, "chunk_id"])
     phrases = phrases.where(F.contains("text", "term")).select("query_id", "chunk_id", "term", "times")
     blank = spaced.withColumn("needle", F.col("term"))
-    blank = blank.join(within(blank, gaps).select(scope, "needle", "chunk_id").distinct(), [scope, "needle"]).select("query_id", "chunk_id", "term", "times")
+    blank = blank.join(within(blank, gaps), [scope, "needle"]).select("query_id", "chunk_id", "term", "times")
     hits = sure.unionByName(phrases).unionByName(blank)
     return hits.groupBy("query_id", "chunk_id").agg(F.sum("times").alias("hits"))
 

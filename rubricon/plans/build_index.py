@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rubricon.functions.text import document_sample
 from rubricon.operators import index
+from rubricon.operators.retrieval import posting_blocks
 from rubricon.session import stored
 
 KEY = "url_key"
@@ -39,12 +40,14 @@ def build_index(
         else chunks.select(KEY, "chunk_idx", F.lit("").alias("prefix"))
     )
     enriched = index.with_prefixes(chunks, prefixes, KEY)
+    rows, corpus = index.postings(enriched, [KEY, "chunk_idx"]), index.corpus_stats(enriched, [KEY])
     return {
         "texts": texts,
         "metadata": meta,
         "chunks": enriched.join(meta.select(KEY, "filing_type", "period"), KEY),
         "publish": index.publishable(enriched, KEY),
-        "postings": index.postings(enriched, [KEY, "chunk_idx"]),
+        "postings": rows,
+        "blocks": posting_blocks(rows.withColumnRenamed("chunk_idx", "chunk_id"), corpus, KEY),
         "terms": index.term_stats(enriched, [KEY]),
-        "corpus": index.corpus_stats(enriched, [KEY]),
+        "corpus": corpus,
     }

@@ -41,7 +41,7 @@ def write_batch(
     kept = tables["publish"].where("publish" if contexts else "true").select(KEY)
     if contexts:
         put(tables["chunks"].join(kept, KEY, "left_anti"), "quarantine")
-    for name in ("metadata", "chunks", "postings", "terms", "corpus", "texts"):
+    for name in ("metadata", "chunks", "postings", "blocks", "terms", "corpus", "texts"):
         # The key list of texts comes last: a batch without it counts as not done.
         put(tables[name].join(kept, KEY, "left_semi"), name)
 

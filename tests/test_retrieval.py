@@ -52,17 +52,53 @@ def test_lexical_channel_equals_brute_force(spark):
 
 
 def test_tables_of_an_index_give_the_same_ranks(spark):
-    from rubricon.operators.index import corpus_stats, postings, term_stats
-
     rnd = random.Random(12)
     c = spark.createDataFrame(corpus(rnd, 60, ["a", "b"]), "scope string, chunk_id long, text string")
     q = spark.createDataFrame([("a", 1, "alpha beta beta"), ("b", 2, "iota")], "scope string, query_id long, text string")
-    tables = {"postings": postings(c, ["scope", "chunk_id"]), "terms": term_stats(c, ["scope"]), "corpus": corpus_stats(c, ["scope"])}
+    tables = retrieval.lexical_tables(c, "scope")
     rows = lambda c, **k: sorted(map(tuple, retrieval.lexical_channel(c, q, "scope", 9, **k).collect()))
     # With tables, only the ids of the chunks are read.
     assert rows(c.withColumn("text", F.lit("")), tables=tables) == rows(c)
 
 
+def common_corpus(rnd, n):
+    """One scope in which a third of the chunks has a stop word, and some chunks rare words."""
+    rare = [f"rare{i}" for i in range(n // 20)]
+    return [("hot", i, " ".join(rnd.choices(WORDS, k=rnd.randrange(1, 12)) + ["the"] * (i % 3 == 0) + rnd.choices(rare, k=2))) for i in range(n)]
+
+
+def test_bounds_leave_the_ranks_as_they_are(spark, monkeypatch):
+    """With small blocks and few rare terms, every way of skipping is taken."""
+    monkeypatch.setattr(retrieval, "BLOCK_IDS", 4)
+    monkeypatch.setattr(retrieval, "RARE_CHUNKS", 60)
+    rnd = random.Random(15)
+    docs = common_corpus(rnd, 900)
+    queries = [("hot", q, " ".join(rnd.choices(WORDS + ["the"], k=rnd.randrange(1, 4)) + [f"rare{rnd.randrange(50)}" for _ in range(rnd.randrange(4))])) for q in range(25)]
+    c = spark.createDataFrame(docs, "scope string, chunk_id long, text string")
+    q = spark.createDataFrame(queries, "scope string, query_id long, text string")
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in retrieval.lexical_channel(c, q, "scope", 12).collect()}
+    split = [d[2].split() for d in docs]
+    for _, qid, text in queries:
+        top = sorted(((round(s, 9), i) for i, s in enumerate(bm25(split, text.split()))), reverse=True)[:12]
+        assert [got[qid, r][0] for r in range(12)] == [i for _, i in top]
+        assert all(abs(got[qid, r][1] - s) < 1e-8 for r, (s, _) in enumerate(top))
+
+
+def test_a_stop_word_is_not_read_whole(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "RARE_CHUNKS", 200)
+    rnd = random.Random(16)
+    c = spark.createDataFrame(common_corpus(rnd, 6000), "scope string, chunk_id long, text string")
+    q = spark.createDataFrame([("hot", 1, "the rare7 rare8")], "scope string, query_id long, text string")
+    tables = retrieval.lexical_tables(c, "scope")
+    assert tables["terms"].where("term = 'the'").first()["df"] == 2000
+    read, parts = [], retrieval._parts
+    monkeypatch.setattr(retrieval, "_parts", lambda *a: read.append(parts(*a)) or read[-1])
+    retrieval.lexical_channel(c, q, "scope", 10, tables).collect()
+    rare = tables["terms"].where("term in ('rare7', 'rare8')").groupBy().sum("df").first()[0]
+    # Twice the rare terms, and at most the head blocks of the stop word.
+    assert sum(r.count() for r in read) <= 2 * rare + retrieval.HEAD_BLOCKS * retrieval.BLOCK_IDS // 2
+
+
 def test_lexical_channel_runs_in_the_jvm(spark):
     c = spark.createDataFrame([("a", 1, "alpha beta")], "scope string, chunk_id long, text string")
     q = spark.createDataFrame([("a", 1, "alpha")], "scope string, query_id long, text string")
