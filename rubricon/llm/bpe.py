@@ -1,13 +1,15 @@
-"""Byte-pair encoding and decoding of whole texts, long unsplit text by tree concatenation.
-
-Short texts are encoded where they are read. A long text is first cut where white space follows
-other text: no token and no part of the vocabulary's splitting pattern reaches across, so the
-stretches are independent. A stretch without such a place is split by the pattern, and a part that
-is still long is halved again and again into leaves. Leaves are dealt over the cluster and encoded
-in parallel. Two neighbours are joined by encoding a window around the seam anew: if its first id is
-the one the left side has there and its last id the one of the right side, every adjacent pair of
-ids has been made by the merges, and the joined ids are those of the whole; otherwise the window
-doubles. Joins run pairwise up the tree.
+"""Byte-pair encoding and decoding of whole texts by tree concatenation.
+
+A text is cut into leaves, which are encoded in parallel and joined pairwise up a tree. Leaves end
+where white space follows other text, about every ``LEAF_CHARS`` characters: no token and no part of
+the vocabulary's splitting pattern reaches across such a seam. A run without a seam is split by the
+pattern, and a part that is still long is halved again and again. A text of one leaf is encoded where
+it is read; the leaves of longer ones are dealt over the cluster.
+
+Two neighbours are joined by encoding a window around their seam anew, which doubles until both sides
+agree. Inside an unsplit part they agree when the window's first id is the one the left side has there
+and its last id the one of the right side: then every adjacent pair of ids has been made by the
+merges, and the joined ids are those of the whole. At a seam all ids of the window must be the same.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from rubricon.llm.common import id_of, shown_id, text_of
 from rubricon.llm.vocabulary import PARTS, ByteLevel
 
-LONG_CHARS = 32_768
+LEAF_CHARS = 8_192
 LEAF_BYTES = 4_096
 _SEAM = regex.compile(r"[^\s](?=[ \n])")
 # A run without seams, with the white space that its first part takes along.
@@ -32,7 +34,7 @@ _RUN = regex.compile(rf"(?:\A|(?<=[^\s])(?=[ \n]))\s*[^ \n]{{{2 * LEAF_BYTES},}}
 _PART = regex.compile(PARTS)
 
 
-def stretches(text: str, length: int = LONG_CHARS) -> Iterator[str]:
+def stretches(text: str, length: int = LEAF_CHARS) -> Iterator[str]:
     """Cut a text at places where white space follows other text, about every ``length`` characters."""
     at = 0
     while len(text) - at > length:
@@ -46,7 +48,8 @@ def stretches(text: str, length: int = LONG_CHARS) -> Iterator[str]:
 
 def leaves(text: str, special: regex.Pattern | None) -> Iterator[tuple[int, bool, bytes]]:
     """(group, single, bytes): the leaves of a long text in order. Leaves of a group with ``single``
-    are the halves of one unsplit part; any other leaf is text that is encoded on its own."""
+    are the halves of one unsplit part; any other leaf is text that is encoded on its own. A group with
+    a negative number goes on from the one before it; all others start at a seam."""
     group = 0
 
     def runs() -> Iterator[tuple[bool, str]]:
@@ -62,24 +65,24 @@ def leaves(text: str, special: regex.Pattern | None) -> Iterator[tuple[int, bool
 
     for unsplit, run in runs():
         if not unsplit:
-            yield group, False, run.encode()
             group += 1
+            yield group, False, run.encode()
             continue
-        at = 0
+        at, sign = 0, 1
         marks = [*(special.finditer(run) if special else ()), None]
         for mark in marks:
             for part in _PART.findall(run[at : mark.start() if mark else len(run)]):
-                raw = part.encode()
+                raw, group = part.encode(), group + 1
                 if len(raw) <= 2 * LEAF_BYTES:
-                    yield group, False, raw
+                    yield sign * group, False, raw
                 else:
                     for leaf in halves(raw):
-                        yield group, True, leaf
-                group += 1
+                        yield sign * group, True, leaf
+                sign = -1
             if mark:
-                yield group, False, mark.group().encode()
                 group += 1
-                at = mark.end()
+                yield sign * group, False, mark.group().encode()
+                at, sign = mark.end(), -1
 
 
 def halves(raw: bytes) -> list[bytes]:
@@ -102,23 +105,39 @@ def joined(left: list[int], right: list[int], codec: ByteLevel) -> list[int]:
         width *= 2
 
 
-def concatenated(parts: list[list[int]], codec: ByteLevel) -> list[int]:
+def seamed(left: list[int], right: list[int], codec: ByteLevel) -> list[int]:
+    """Ids of two encoded neighbours that meet at a seam."""
+    if not left or not right:
+        return left or right
+    width = 4
+    while True:
+        a, b = left[-width:], right[:width]
+        raw = codec.bytes_of(a) + codec.bytes_of(b)
+        whole = len(a) == len(left) and len(b) == len(right)
+        text = raw.decode("utf-8", "strict" if whole else "replace")
+        window = codec.encode(text)
+        if whole or window == a + b:
+            return left[: len(left) - len(a)] + window + right[len(b) :]
+        width *= 2
+
+
+def concatenated(parts: list[list[int]], codec: ByteLevel, join=joined) -> list[int]:
     """Join neighbours pairwise until one list is left."""
     while len(parts) > 1:
-        pairs = [joined(a, b, codec) for a, b in zip(parts[::2], parts[1::2])]
+        pairs = [join(a, b, codec) for a, b in zip(parts[::2], parts[1::2])]
         parts = pairs + parts[2 * len(pairs) :]
     return parts[0]
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long_chars: int = LONG_CHARS) -> DataFrame:
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit, binary) of every text.
 
     Null text is empty and has no ids. Rows that repeat an id stay rows of their own. An empty table
     gives an empty one. Other columns of ``docs`` are not read.
     """
     rows = docs.select(id_of(id_col).alias("id"), text_of(text_col).alias("text"))
-    short = rows.where(F.length("text") <= long_chars).mapInArrow(_encoder(path), "id long, ids binary")
-    long = rows.where(F.length("text") > long_chars)
+    short = rows.where(F.length("text") <= leaf_chars).mapInArrow(_encoder(path), "id long, ids binary")
+    long = rows.where(F.length("text") > leaf_chars)
     cut = long.mapInArrow(_cutter(path), "id long, mark long, leaf int, grp int, single boolean, raw binary")
     dealt = cut.repartition(F.xxhash64("id", "mark", "leaf"))
     done = dealt.mapInArrow(_leaf_encoder(path), "id long, mark long, leaf int, grp int, single boolean, ids binary")
@@ -175,10 +194,15 @@ def _tree(path: str):
         codec = ByteLevel.of(path)
         copies = int((part["leaf"] == 0).sum())  # rows that repeat id and text
         part = part.sort_values("leaf").drop_duplicates("leaf")
-        ids = array("I")
-        for _, group in part.groupby("grp", sort=True):
+        between: list[list[int]] = []  # the ids from seam to seam
+        for grp, group in part.groupby("grp", sort=False):
             lists = [list(memoryview(x).cast("I")) for x in group["ids"]]
-            ids.extend(concatenated(lists, codec) if group["single"].iloc[0] else lists[0])
+            found = concatenated(lists, codec) if group["single"].iloc[0] else lists[0]
+            if grp < 0:
+                between[-1] += found
+            else:
+                between.append(found)
+        ids = array("I", concatenated(between, codec, seamed))
         return pd.DataFrame({"id": [part["id"].iloc[0]] * copies, "ids": [ids.tobytes()] * copies})
 
     return run
