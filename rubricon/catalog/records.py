@@ -1,5 +1,8 @@
 """Queries over filings, prices, turn logs, edited answers, requests and files."""
 
+import os
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from rubricon.catalog.base import FILINGS, SCORES, VERDICTS, query, with_
@@ -178,6 +181,33 @@ def _(t):
     return telemetry.tool_totals(_turns(t), []).withColumn("tool_seconds", F.round("tool_seconds", 2))
 
 
+@query(
+    "turn_log_totals",
+    """SELECT role || ':free' AS model, 'run ' || conv_id % 3 AS run, count(*) AS turns, round(sum(length(text) / 8), 3) AS duration_seconds,
+  CAST(sum(length(text)) AS BIGINT) AS in_tokens, CAST(sum(turn) AS BIGINT) AS out_tokens FROM conversations GROUP BY ALL""",
+)
+def _(t):
+    """Every conversation turn logged as a file of its own, in folders whose names hold colons and spaces,
+    and the whole tree read back."""
+    folder = shared_path(t.spark, "logs").removeprefix("file://").removeprefix("file:")
+    size = F.length("text")
+    log = F.struct(
+        (size / 8).alias("duration_seconds"),
+        F.struct(F.struct(size.alias("in_tokens"), F.col("turn").alias("out_tokens")).alias("metadata")).alias("query_result"),
+    )
+    place = F.format_string("%s:free/run %d/q%d/turns/turn_%d", "role", F.col("conv_id") % 3, "conv_id", "turn")
+    t.conversations.select(place, F.to_json(log)).foreachPartition(partial(_write_logs, folder))
+    totals = telemetry.turn_totals(telemetry.flat_turns(readers.turn_log_tree(t.spark, folder)), ["model", "run"])
+    return totals.select("model", "run", "turns", F.round("duration_seconds", 3).alias("duration_seconds"), "in_tokens", "out_tokens")
+
+
+def _write_logs(folder, rows):
+    for place, log in rows:
+        os.makedirs(f"{folder}/{place}", exist_ok=True)
+        with open(f"{folder}/{place}/result.json", "w", encoding="utf-8") as file:
+            file.write(log)
+
+
 _EDITED = r"""edited AS (SELECT conv_id, turn, len(string_split_regex(trim(text), '\s+')) AS wb, len(list_filter(string_split_regex(trim(split_part(text, '.', 1)), '\s+'), lambda w: w <> '')) AS wa FROM conversations)"""
 
 

@@ -448,6 +448,44 @@ _ENRICH = """records AS (SELECT c_custkey AS question, CASE c_mktsegment WHEN 'A
 )
 def _(t):
     """Customers are records, their orders the newly extracted facts."""
+    records, cand, rubric = _enriched(t)
+    return rubrics.enrichment(records, cand.select("question", "model"), cand, rubric)
+
+
+_ENRICH_ROWS = """, ties AS (SELECT c_custkey AS question, y AS cluster_a, y + 1 AS cluster_b FROM customer, range(1990, 2000) r(y) WHERE (c_custkey + y) % 3 = 0),
+  firsts AS (SELECT question, cluster_id, min_by(fact, pos) AS first FROM fresh GROUP BY 1, 2),
+  cl2 AS (SELECT cl.*, first, list_sort(list(DISTINCT model)) AS agreed_by FROM cl JOIN firsts USING (question, cluster_id) JOIN fresh f USING (question, cluster_id) GROUP BY ALL),
+  met AS (SELECT t.*, a.n AS na, b.n AS nb, a.first AS fa, b.first AS fb FROM ties t JOIN cl2 a ON a.question = t.question AND a.cluster_id = cluster_a
+    JOIN cl2 b ON b.question = t.question AND b.cluster_id = cluster_b),
+  lost AS (SELECT question, cluster_a AS cluster_id FROM met WHERE na <= nb UNION SELECT question, cluster_b FROM met WHERE nb <= na),
+  kept AS (SELECT * FROM cl2 WHERE NOT EXISTS (SELECT 1 FROM lost l WHERE l.question = cl2.question AND l.cluster_id = cl2.cluster_id)),
+  plus AS (SELECT question, fact, n, agreed_by, cluster_id FROM kept WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY question, fact ORDER BY cluster_id) = 1),
+  counts AS (SELECT question, count(*) FILTER (n >= 2) AS plus, count(*) FILTER (n < 2) AS minus FROM kept GROUP BY 1),
+  state AS (SELECT st.question, CASE WHEN st.status IN ('skipped', 'skipped_no_answers', 'no_new_facts') THEN st.status WHEN st.new_models = 1 THEN 'single'
+    WHEN coalesce(plus, 0) = 0 AND coalesce(minus, 0) > 0 THEN 'gap' WHEN coalesce(plus, 0) = 0 THEN 'below_agreement' ELSE 'enriched' END AS s FROM st LEFT JOIN counts USING (question)),
+  items AS (SELECT question, 'added' AS kind, row_number() OVER (PARTITION BY question ORDER BY cluster_id) AS place, fact AS text, array_to_string(agreed_by, ',') AS more, n::VARCHAR AS counts FROM plus JOIN state USING (question) WHERE s = 'enriched'
+    UNION ALL SELECT question, 'contradiction_equal_agreement', row_number() OVER (PARTITION BY question ORDER BY cluster_a), fa || '|' || fb, NULL, na || ',' || nb FROM met JOIN state USING (question) WHERE na = nb AND s IN ('gap', 'below_agreement', 'enriched')
+    UNION ALL SELECT question, 'gap_unresolved_single_model', 1, string_agg(fact, '|' ORDER BY pos), NULL, string_agg('1', ',') FROM fresh JOIN state USING (question) WHERE s = 'single' GROUP BY 1
+    UNION ALL SELECT question, 'gap_unresolved_below_agreement', 1 + (SELECT count(*) FROM met m WHERE m.question = kept.question AND na = nb), string_agg(first, '|' ORDER BY cluster_id), NULL, string_agg(n, ',' ORDER BY cluster_id) FROM kept JOIN state USING (question) WHERE s = 'gap' AND n < 2 GROUP BY 1)
+SELECT question, CASE WHEN s IN ('single', 'gap') THEN 'manual_review_required' ELSE s END AS status, kind, place::BIGINT AS place, text, more, counts FROM state LEFT JOIN items USING (question)"""
+
+
+@query("enrichment_rows", with_(_ENRICH) + _ENRICH_ROWS)
+def _(t):
+    """Added facts and flags of every customer, one row each; clusters of following years contradict
+    each other for some."""
+    records, cand, rubric = _enriched(t)
+    years = t.customer.select(F.col("c_custkey").alias("question"), F.explode(F.sequence(F.lit(1990), F.lit(1999))).alias("cluster_a"))
+    ties = years.where((F.col("question") + F.col("cluster_a")) % 3 == 0).withColumn("cluster_b", F.col("cluster_a") + 1)
+    rows = rubrics.enrichment_rows(records, cand.select("question", "model"), cand, rubric, ties)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    added = F.transform("added", lambda a, i: F.struct(F.lit("added").alias("kind"), (i + 1).cast("long").alias("place"), a["fact"].alias("text"), F.array_join(a["agreed_by"], ",").alias("more"), a["agreement_count"].cast("string").alias("counts")))
+    none = F.lit(None).cast("string")
+    flags = F.transform("flags", lambda f, i: F.struct(f["reason"].alias("kind"), (i + 1).cast("long").alias("place"), F.array_join(f["facts"], "|").alias("text"), none.alias("more"), joined(f["counts"]).alias("counts")))
+    return rows.select("question", "status", F.inline_outer(F.concat(added, flags)))
+
+
+def _enriched(t):
     seg = F.col("c_mktsegment")
     records = t.customer.select(
         F.col("c_custkey").alias("question"),
@@ -464,7 +502,7 @@ def _(t):
         fact.alias("fact"),
     )
     rubric = t.orders.where(F.col("o_totalprice") < 100000).select(F.col("o_custkey").alias("question"), fact.alias("fact"))
-    return rubrics.enrichment(records, cand.select("question", "model"), cand, rubric)
+    return records, cand, rubric
 
 
 @query(

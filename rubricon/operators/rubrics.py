@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubricon.functions.text import fold_space, signals
@@ -385,50 +385,85 @@ def bullet_block(items: Column) -> Column:
 # --- enrichment ----------------------------------------------------------------------
 
 
-def enrichment(
-    records: DataFrame, answers: DataFrame, candidates: DataFrame, rubric: DataFrame, min_agreement: int = 2
+def enrichment_rows(
+    records: DataFrame, answers: DataFrame, candidates: DataFrame, rubric: DataFrame, contradictions: DataFrame | None = None, min_agreement: int = 2
 ) -> DataFrame:
-    """Status of an enrichment round per record.
+    """Outcome of an enrichment round per record: ``question, status, added, flags``.
 
     ``records(question, recommendation, issue_count, overall)``, ``answers(question, model)``,
-    ``candidates(question, model, cluster_id, pos, fact)`` and ``rubric(question, tier, pos, fact)``.
+    ``candidates(question, model, cluster_id, pos, fact)``, ``rubric(question, tier, pos, fact)`` and
+    ``contradictions(question, cluster_a, cluster_b)``. ``added`` lists (fact, agreed_by, agreement_count)
+    in order of cluster; ``flags`` lists (reason, facts, counts) for a person to decide: contradicting
+    clusters of equal support first, then what left a gap open. The less supported of two contradicting
+    clusters goes without a flag.
     """
     fresh = new_facts(candidates, rubric)
     models = fresh.groupBy("question").agg(F.count_distinct("model").alias("new_models"))
-    per_cluster = fresh.groupBy("question", "cluster_id").agg(
-        F.count_distinct("model").alias("agreement_count"),
+    clusters = fresh.groupBy("question", "cluster_id").agg(
+        F.array_sort(F.collect_set("model")).alias("agreed_by"),
+        F.min_by("fact", F.struct("pos", "model")).alias("first"),
         F.max_by("fact", F.struct(F.length("fact"), -F.col("pos"))).alias("fact"),
-    )
-    kept = F.col("agreement_count") >= min_agreement
-    support = per_cluster.groupBy("question").agg(
-        F.count_distinct(F.when(kept, F.col("fact"))).alias("added_facts"),
-        F.count_if(kept).alias("_kept"),
-        F.count_if(~kept).alias("below_agreement_facts"),
-    )
+    ).withColumn("agreement_count", F.size("agreed_by").cast("long"))
+    count = F.col("agreement_count")
+    if contradictions is None:
+        open_, ties = clusters, None
+    else:
+        judged = resolve_contradictions(clusters.select("question", "cluster_id", "agreement_count"), contradictions)
+        open_ = clusters.join(judged.where("outcome = 'kept'").select("question", "cluster_id"), ["question", "cluster_id"])
+        side = lambda s: clusters.select("question", F.col("cluster_id").alias(f"cluster_{s}"), F.struct(F.col("first").alias("fact"), count.alias("n")).alias(s))
+        pairs = contradictions.join(side("a"), ["question", "cluster_a"]).join(side("b"), ["question", "cluster_b"]).where("a.n = b.n")
+        tie = F.struct("cluster_a", "cluster_b", F.array("a.fact", "b.fact").alias("facts"), F.array("a.n", "b.n").alias("counts"))
+        ties = pairs.groupBy("question").agg(F.array_sort(F.collect_list(tie)).alias("_ties"))
+    enough = count >= min_agreement
+    # A wording that two clusters share is added once, with the first of them.
+    nth = F.row_number().over(Window.partitionBy("question", "fact", enough).orderBy("cluster_id"))
+    listed = open_.withColumn("_new", enough & (nth == 1)).groupBy("question").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_new"), F.struct("cluster_id", "fact", "agreed_by", "agreement_count")))).alias("_added"),
+        F.array_sort(F.collect_list(F.when(~enough, F.struct("cluster_id", "first", "agreement_count")))).alias("_below"),
+    )
+    lone = fresh.join(models.where("new_models = 1").select("question"), "question", "left_semi").groupBy("question")
+    lone = lone.agg(F.array_sort(F.collect_list(F.struct("pos", "fact"))).alias("_lone"))
     read = answers.select("question").distinct().withColumn("_answers", F.lit(True))
-    joined = (
-        records.join(read, "question", "left").join(models, "question", "left").join(support, "question", "left")
-    )
+    joined = records.join(read, "question", "left").join(models, "question", "left").join(listed, "question", "left").join(lone, "question", "left")
+    joined = joined.join(ties, "question", "left") if ties is not None else joined.withColumn("_ties", F.lit(None).cast("array<struct<facts:array<string>,counts:array<bigint>>>"))
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
     single = (F.col("new_models") == 1) & F.lit(min_agreement > 1)
+    gap = none("_added") & ~none("_below")
     status = (
         F.when(~needs_enrichment(), "skipped")
         .when(F.col("_answers").isNull(), "skipped_no_answers")
         .when(F.col("new_models").isNull(), "no_new_facts")
-        .when(single, "manual_review_required")
-        .when((F.col("_kept") == 0) & (F.col("below_agreement_facts") > 0), "manual_review_required")
-        .when(F.col("_kept") == 0, "below_agreement")
+        .when(single | gap, "manual_review_required")
+        .when(none("_added"), "below_agreement")
         .otherwise("enriched")
     )
     out = joined.withColumn("status", status)
+    flag = lambda reason, facts, counts: F.struct(F.lit(reason).alias("reason"), facts.alias("facts"), counts.alias("counts"))
+    of = lambda c, field: F.transform(c, lambda x: x[field])
+    ones = F.transform("_lone", lambda x: F.lit(1).cast("long"))
+    flags_type = "array<struct<reason:string,facts:array<string>,counts:array<bigint>>>"
+    empty = F.array().cast(flags_type)
+    equal = F.coalesce(F.transform("_ties", lambda x: flag("contradiction_equal_agreement", x["facts"], x["counts"])), empty)
+    below = F.when(F.col("status") == "manual_review_required", F.array(flag("gap_unresolved_below_agreement", of("_below", "first"), of("_below", "agreement_count"))))
+    flags = (
+        F.when(F.col("status").isin("skipped", "skipped_no_answers", "no_new_facts"), empty)
+        .when(single, F.array(flag("gap_unresolved_single_model", of("_lone", "fact"), ones)))
+        .otherwise(F.concat(equal, F.coalesce(below, empty)))
+    )
+    added = F.transform("_added", lambda x: F.struct(x["fact"].alias("fact"), x["agreed_by"].alias("agreed_by"), x["agreement_count"].alias("agreement_count")))
+    added = F.when(F.col("status") == "enriched", added).otherwise(F.array().cast("array<struct<fact:string,agreed_by:array<string>,agreement_count:bigint>>"))
+    return out.select("question", "status", added.alias("added"), flags.cast(flags_type).alias("flags"))
+
+
+def enrichment(
+    records: DataFrame, answers: DataFrame, candidates: DataFrame, rubric: DataFrame, min_agreement: int = 2
+) -> DataFrame:
+    """Status of an enrichment round per record, with the number of added facts and the reason why a
+    person has to look at it. Takes what ``enrichment_rows`` does."""
+    rows = enrichment_rows(records, answers, candidates, rubric, min_agreement=min_agreement)
     review = F.col("status") == "manual_review_required"
-    return out.select(
-        "question",
-        "status",
-        F.when(F.col("status") == "enriched", F.col("added_facts")).otherwise(0).alias("added_facts"),
-        F.when(review & single, "gap_unresolved_single_model")
-        .when(review, "gap_unresolved_below_agreement")
-        .alias("flag_reason"),
-    )
+    reason = F.when(review, F.element_at("flags", -1)["reason"])
+    return rows.select("question", "status", F.size("added").cast("long").alias("added_facts"), reason.alias("flag_reason"))
 
 
 def patch_one(df: DataFrame, match: Column, column: str, value: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from rubricon import schemas
 from rubricon.functions.text import trim_space
+from rubricon.sources.trees import FolderTree
 
 
 def _json(spark: SparkSession, path, schema: str, multiline: bool) -> DataFrame:
@@ -108,8 +109,19 @@ def any_answers(spark: SparkSession, source: str, question: str, is_path: bool =
 def turn_logs(spark: SparkSession, paths: str | Sequence[str], multiline: bool = True) -> DataFrame:
     """Agent turns; model, run, question and turn come from
     ``.../<model>/<run>/<question>/turns/<turn>/<file>``. Folder names with a colon must be
-    listed one by one, since globs over them fail."""
-    part = lambda n: F.element_at(F.split(F.col("_metadata.file_path"), "/"), -n)
-    return _json(spark, paths, schemas.TURNS, multiline).select(
-        "*", part(6).alias("model"), part(5).alias("run"), part(4).alias("question"), part(2).alias("turn")
-    )
+    listed one by one, since globs over them fail; ``turn_log_tree`` reads a whole tree."""
+    logs = _json(spark, paths, schemas.TURNS, multiline)
+    return _placed(logs.select("*", F.col("_metadata.file_path").alias("_path")))
+
+
+def turn_log_tree(spark: SparkSession, folder: str, name: str = "result.json") -> DataFrame:
+    """Agent turns of a whole tree of logs, with any folder names: one row per file ``name`` under
+    ``<model>/<run>/<question>/turns/<turn>/``. An unreadable file gives a row of nulls."""
+    spark.dataSource.register(FolderTree)
+    files = spark.read.format("folder_tree").option("name", name).load(folder)
+    return _placed(files.select(F.from_json("value", schemas.TURNS).alias("_log"), F.col("path").alias("_path")).select("_log.*", "_path"))
+
+
+def _placed(logs: DataFrame) -> DataFrame:
+    part = lambda n: F.element_at(F.split(F.col("_path"), "/"), -n)
+    return logs.withColumns({"model": part(6), "run": part(5), "question": part(4), "turn": part(2)}).drop("_path")

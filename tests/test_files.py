@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rubricon.operators import index, prices, search, telemetry
 from rubricon.plans.build_index import build_index
 from rubricon.sources import readers, writers
-from rubricon.streaming.ingest import ingest
+from rubricon.streaming.ingest import ingest, waiting_pages
 
 
 def dump(path, value):
@@ -66,6 +66,25 @@ def test_turn_logs(spark, tmp_path):
     assert (t["name"], t["calls"], t["failures"], t["tool_seconds"]) == ("search", 2, 0, 2.0)
 
 
+def test_turn_log_tree_with_colons(spark, tmp_path):
+    turn = {"duration_seconds": 1.5, "query_result": {"metadata": {"in_tokens": 7}}}
+    for model in ("a:free", "b", "ü: x"):
+        for q in ("q001", "q:2"):
+            dump(tmp_path / "logs" / model / "2026-06-09_15-40-04" / q / "turns" / "turn_001" / "result.json", turn)
+    (tmp_path / "logs" / "b" / "2026-06-09_15-40-04" / "q001" / "turns" / "turn_001" / "other.json").write_text("[]")
+    bad = tmp_path / "logs" / "b" / "r" / "q" / "turns" / "t"
+    bad.mkdir(parents=True)
+    (bad / "result.json").write_text("{not json")
+    logs = readers.turn_log_tree(spark, str(tmp_path / "logs"))
+    rows = {(r["model"], r["run"], r["question"], r["turn"], r["duration_seconds"]) for r in logs.collect()}
+    good = {(m, "2026-06-09_15-40-04", q, "turn_001", 1.5) for m in ("a:free", "b", "ü: x") for q in ("q001", "q:2")}
+    assert rows == good | {("b", "r", "q", "t", None)}
+    files = spark.read.format("folder_tree").option("files", 2).load(str(tmp_path / "logs"))
+    assert files.rdd.getNumPartitions() == 4 and files.count() == 8
+    with pytest.raises(Exception, match="no folder"):
+        readers.turn_log_tree(spark, str(tmp_path / "none")).count()
+
+
 def test_dead_letters(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "bad")], "id int, error string")
     writers.with_dead_letters(df, str(tmp_path / "ok"), str(tmp_path / "bad"))
@@ -163,14 +182,41 @@ def test_incremental_ingest(spark, tmp_path):
     ingest(spark, landing, strict, str(tmp_path / "ckpt2"), none).awaitTermination()
     assert spark.read.parquet(strict + "/quarantine").count() > 0
     assert spark.read.parquet(strict + "/texts").count() == 0
-    # A page that was held back is taken up when it lands again.
+    # Pages that were held back are taken up again, whether they land again or not.
     put([(5, "http://a", page(2))])
     every = lambda c: c.select("url_key", "chunk_idx", F.lit("about it").alias("prefix"))
     ingest(spark, landing, strict, str(tmp_path / "ckpt2"), every).awaitTermination()
-    assert [r["url"] for r in spark.read.parquet(strict + "/texts").collect()] == ["http://a"]
+    assert sorted(r["url"] for r in spark.read.parquet(strict + "/texts").collect()) == ["http://a", "http://b", "http://c"]
     assert spark.read.parquet(strict + "/postings").count() > 0
 
 
+def test_waiting_pages_are_published_without_landing_again(spark, tmp_path):
+    landing, out, ckpt = (str(tmp_path / d) for d in ("in", "out", "ckpt"))
+    put = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(landing)
+    texts = lambda: sorted((r["url"], r["batch"]) for r in spark.read.parquet(out + "/texts").collect())
+    none = lambda c: c.select("url_key", "chunk_idx", F.lit("").alias("prefix"))
+    only = lambda *urls: lambda c: c.join(spark.createDataFrame([(u,) for u in urls], "u string").select(index.url_key(F.col("u")).alias("url_key")), "url_key", "left_semi").select(
+        "url_key", "chunk_idx", F.lit("about it").alias("prefix")
+    )
+    put([(1, "http://a", page(2)), (2, "http://b", page(2))])
+    ingest(spark, landing, out, ckpt, none).awaitTermination()
+    assert texts() == [] and waiting_pages(spark, out).count() == 2
+    # A run without new files publishes the page whose prefixes suffice now.
+    ingest(spark, landing, out, ckpt, only("http://a")).awaitTermination()
+    assert texts() == [("http://a", -1)]
+    # A waiting page that lands again counts as it landed last, and once.
+    put([(3, "http://b", page(5)), (4, "http://c", page(2))])
+    ingest(spark, landing, out, ckpt, only("http://c")).awaitTermination()
+    assert texts() == [("http://a", -1), ("http://c", 1)]
+    assert [r["page_id"] for r in waiting_pages(spark, out).collect()] == [3]
+    ingest(spark, landing, out, ckpt, only("http://b", "http://c")).awaitTermination()
+    assert texts() == [("http://a", -1), ("http://b", -2), ("http://c", 1)]
+    assert waiting_pages(spark, out).count() == 0
+    ingest(spark, landing, out, ckpt, only("http://b")).awaitTermination()
+    assert len(texts()) == 3
+    assert spark.read.parquet(out + "/chunks").select("url_key").distinct().count() == 3
+
+
 def test_the_context_step_is_asked_once(spark):
     pages = spark.createDataFrame([(1, "http://a", page(400))], "page_id long, url string, html string")
     wavering = lambda c: c.select("url_key", "chunk_idx", F.when(F.rand() < 0.5, "about it").alias("prefix"))
