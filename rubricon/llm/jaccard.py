@@ -12,6 +12,8 @@ is verified on the sets and no pair is missed. Pairs to verify come from three s
    counted first, without their texts, and the repeated ones held as a Bloom filter of bounded size,
    which may let others through. Every text of a bucket is compared with two of it, the hubs.
 3. The links so far give components. Texts of a bucket that are still in different ones are compared.
+   Two texts that have the same shingle before this one in their order meet in its bucket too, and are
+   left to it: of a run of shared shingles only the first brings them together.
 
 Before sets are read, a pair must pass what bounds its similarity from above: its sizes, the places of
 the shared shingle, and counts of both sets over cells of the hash range, whose differences add up to
@@ -132,7 +134,8 @@ def _proposed(rows: DataFrame, max_bits: int, put: Callable) -> DataFrame:
 
 
 def _buckets(rows: DataFrame, put: Callable) -> DataFrame:
-    """shingle, leaf, n, pos: the places of prefix shingles that several rows have, and of some others."""
+    """shingle, leaf, n, pos, before: the places of prefix shingles that several rows have, and of some
+    others, with the shingle before in the order (zero before the first)."""
     listed = rows.select(F.explode("prefix").alias("m")).select(F.col("m").bitwiseAND(F.lit(COUNTED)).alias("m"))
     counts = listed.groupBy("m").agg(F.count(F.lit(1)).alias("n"))
     repeated = put(counts.where("n > 1").select("m"), "repeated")
@@ -148,9 +151,11 @@ def _buckets(rows: DataFrame, put: Callable) -> DataFrame:
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             kept = np.flatnonzero(_passes(flat.view(np.uint64) & np.uint64(COUNTED), *shared.value))
             leaf, n = (batch.column(i).to_numpy()[owner[kept]] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), pa.array(leaf), pa.array(n), pa.array(pos[kept])], names=["shingle", "leaf", "n", "pos"])
+            before = np.where(pos[kept] > 0, flat[kept - 1], 0) if len(kept) else kept
+            columns = [flat[kept], leaf, n, pos[kept], before]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shingle", "leaf", "n", "pos", "before"])
 
-    return rows.select("leaf", "n", "prefix").mapInArrow(run, "shingle long, leaf long, n long, pos long")
+    return rows.select("leaf", "n", "prefix").mapInArrow(run, "shingle long, leaf long, n long, pos long, before long")
 
 
 def _may_reach(na: Column, nb: Column, rest: Column, num: int, den: int) -> Column:
@@ -217,7 +222,7 @@ def links(docs: DataFrame, rows: DataFrame, words: int, num: int, den: int, max_
     edges = verified(pairs)
 
     roots = components(edges).select(F.col("u").alias("leaf"), F.col("v").alias("root"))
-    at = held.join(roots, "leaf", "left").select("shingle", "leaf", "n", "pos", F.coalesce("root", "leaf").alias("root"))
+    at = held.join(roots, "leaf", "left").select("shingle", "leaf", "n", "pos", "before", F.coalesce("root", "leaf").alias("root"))
     at = put(at, "rooted")
     # A bucket whose texts are all in one component has nothing left to find.
     open_ = at.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
@@ -230,6 +235,7 @@ def links(docs: DataFrame, rows: DataFrame, words: int, num: int, den: int, max_
         (F.col("a.shingle") == F.col("b.shingle"))
         & (F.col("a.leaf") > F.col("b.leaf"))
         & (F.col("a.root") != F.col("b.root"))
+        & ~((F.col("a.pos") > 0) & (F.col("b.pos") > 0) & (F.col("a.before") == F.col("b.before")))
         & _may_reach(na, nb, rest, num, den)
     )
     further = a.join(b, near).select(F.col("a.leaf").alias("u"), F.col("b.leaf").alias("v")).distinct()
