@@ -1,12 +1,12 @@
 """Which texts contain which: substring joins by equal grams, inside the JVM.
 
-A needle is looked up by one gram of its own, and only haystacks that hold that gram are compared.
+Where few haystacks share the keys, all of them are compared. Otherwise a needle is looked up by one
+gram of its own, and only haystacks that hold that gram are compared.
 
 * Long needles use winnowed grams: of every ``WINDOW`` neighbouring grams of ``GRAM`` characters the one
   with the least hash is kept. A window of the needle is a window of every text around it, so both
   sides keep the same gram of it, and a haystack keeps two in ten of its grams only.
-* Shorter needles of at least ``GRAM`` characters use all grams of that size.
-* The shortest ones are grams themselves, of their own size.
+* Shorter needles use all grams of the largest of ``SIZES`` that fits them.
 
 Of a needle's grams the one that the fewest haystacks hold is its anchor.
 """
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from rubricon.operators.grouping import exploded
 
 GRAM, WINDOW = 8, 9
+SIZES = (1, 2, 3, 8)
+FEW = 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -52,11 +54,24 @@ def contained(needles: DataFrame, haystacks: DataFrame, keys: Sequence[str] = ()
     for the comparison, which also settles collisions.
     """
     keys = list(keys)
+    if not keys:
+        return _by_grams(needles, haystacks, keys)
+    groups = haystacks.groupBy(*keys).agg((F.count(F.lit(1)) <= FEW).alias("_few"))
+    marked = haystacks.join(groups, keys)
+    few = needles.join(marked.where("_few"), keys).where(F.contains("haystack", "needle") & (F.col("needle") != ""))
+    many = marked.where("not _few").drop("_few")
+    asked = needles.join(groups.where("not _few").select(*keys), keys, "left_semi")
+    return few.select(*keys, "needle", "haystack").unionByName(_by_grams(asked, many, keys))
+
+
+def _by_grams(needles: DataFrame, haystacks: DataFrame, keys: list[str]) -> DataFrame:
     needles = needles.withColumn("_nid", F.xxhash64("needle"))
     haystacks = haystacks.withColumn("_hid", F.xxhash64("haystack"))
     length = F.length("needle")
-    # 0 stands for long needles, 1 to GRAM for the size of gram.
-    kind = F.when(length >= GRAM + WINDOW - 1, 0).otherwise(F.least(length, F.lit(GRAM)))
+    kind = F.lit(None).cast("int")  # the size of gram, 0 for winnowed ones
+    for size in SIZES:
+        kind = F.when(length >= size, size).otherwise(kind)
+    kind = F.when(length >= GRAM + WINDOW - 1, 0).otherwise(kind)
     kinds = sorted(r["k"] for r in needles.where(length > 0).select(kind.alias("k")).distinct().collect())
     found = None
     for k in kinds:
@@ -65,9 +80,7 @@ def contained(needles: DataFrame, haystacks: DataFrame, keys: Sequence[str] = ()
         need = exploded(needles.where(kind == k), [*keys, "_nid"], gram("needle"), "_i", "_g").drop("_i")
         hay = haystacks.where(F.length("haystack") >= size + window - 1)
         hay = exploded(hay, [*keys, "_hid"], gram("haystack"), "_i", "_g").drop("_i")
-        if k == 0 or k == GRAM:
-            need = _rarest(need, hay, keys)
-        part = need.join(hay, [*keys, "_g"]).select(*keys, "_nid", "_hid")
+        part = _rarest(need, hay, keys).join(hay, [*keys, "_g"]).select(*keys, "_nid", "_hid")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return needles.withColumn("haystack", F.col("needle")).select(*keys, "needle", "haystack").limit(0)

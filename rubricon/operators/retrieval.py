@@ -3,7 +3,7 @@
 A query sees the chunks of its scope, usually one document, and chunk ids need be unique within
 a scope only. The lexical channel joins query terms with postings and adds chunks without any term
 from their ids alone; the verbatim channel looks terms up among the tokens of the same postings. Both
-run in the JVM. Postings are kept in blocks with the most that a block can add to a score. The dense channel deals vectors and queries to a grid of blocks and multiplies them.
+run in the JVM. Of blocks of postings the most that they can add to a score is known. The dense channel deals vectors and queries to a grid of blocks and multiplies them.
 
 Scores are rounded to 9 decimals before ranking, so copies of a chunk tie exactly; ties go
 to the larger chunk id in the scored channels and to the smaller one in the verbatim
@@ -35,7 +35,7 @@ BREAK_MARK = "\n\n[... Structural Fragment Break ...]\n\n"
 HITS = "query_id long, chunk_id long, score double"
 # Chunk ids of a posting block; up to how many chunks a term is read whole for the first threshold, and
 # how many of its best blocks beyond; what rounding of sums may take away from a bound.
-BLOCK_IDS, RARE_CHUNKS, HEAD_BLOCKS, SLACK = 128, 2_048, 8, 1e-6
+BLOCK_IDS, RARE_CHUNKS, HEAD_BLOCKS, SLACK = 1_024, 16_384, 4, 1e-6
 # Rows of a block of the dense channel's grid, and of one product inside it.
 BLOCK_VECTORS, BLOCK_QUERIES, PRODUCT_ROWS = 65_536, 512, 4_096
 
@@ -68,36 +68,28 @@ def query_weights(queries: DataFrame, scope: str, terms: DataFrame, corpus: Data
     return asked.join(idf, [scope, "term"]).join(mean, scope).withColumn("weight", weight).drop("qtf", "idf", "mean_idf")
 
 
-def posting_blocks(rows: DataFrame, corpus: DataFrame, scope: str) -> DataFrame:
-    """Postings in blocks of ``BLOCK_IDS`` neighbouring chunk ids: ``<scope>, term, block, best, entries``.
-
-    An entry is a chunk with its impact, what the term adds to its score per unit of weight; ``best`` is
-    the largest impact of the block, which bounds what reading it can add.
-    """
+def impacts(rows: DataFrame, corpus: DataFrame, scope: str) -> DataFrame:
+    """Postings ``<scope>, term, chunk_id, block, impact``: what a term adds to a chunk's score per unit of
+    weight, and the block of ``BLOCK_IDS`` neighbouring ids that the chunk belongs to."""
     tf, length = F.col("tf"), F.col("len") / F.col("avg_len")
     impact = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length))
-    entries = rows.join(corpus.select(scope, "avg_len"), scope).withColumn("impact", impact)
-    return entries.groupBy(scope, "term", _block(F.col("chunk_id")).alias("block")).agg(
-        F.max("impact").alias("best"), F.collect_list(F.struct("chunk_id", "impact")).alias("entries")
-    )
-
-
-def _block(chunk_id):
-    return F.floor(chunk_id / BLOCK_IDS).cast("long")
+    block = F.floor(F.col("chunk_id") / BLOCK_IDS).cast("long")
+    return rows.join(corpus.select(scope, "avg_len"), scope).select(scope, "term", "chunk_id", block.alias("block"), impact.alias("impact"))
 
 
 def lexical_tables(chunks: DataFrame, scope: str, rows: DataFrame | None = None, corpus: DataFrame | None = None) -> dict[str, DataFrame]:
-    """``blocks``, ``terms`` and ``corpus`` of chunks, as an index keeps them; the blocks are stored.
-    ``rows`` and ``corpus`` are the postings and statistics, where they are there already."""
+    """``postings`` with impacts, stored, the best impact per term and block, ``terms`` and ``corpus``.
+    ``rows`` and ``corpus`` are the counts of an index, where they are there already."""
     corpus = corpus_stats(chunks, [scope]) if corpus is None else corpus
     rows = postings(chunks, [scope, "chunk_id"]) if rows is None else rows
-    blocks = stored(posting_blocks(rows, corpus, scope), "blocks")
-    return {"blocks": blocks, "terms": block_terms(blocks, scope), "corpus": corpus}
-
-
-def block_terms(blocks: DataFrame, scope: str) -> DataFrame:
-    """Per term the chunks that have it and its largest impact."""
-    return blocks.groupBy(scope, "term").agg(F.sum(F.size("entries")).cast("long").alias("df"), F.max("best").alias("reach"))
+    held = stored(impacts(rows, corpus, scope), "postings")
+    best = F.max("impact")
+    return {
+        "postings": held,
+        "blocks": held.groupBy(scope, "term", "block").agg(best.alias("best")),
+        "terms": held.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"), best.alias("reach")),
+        "corpus": corpus,
+    }
 
 
 def lexical_channel(
@@ -106,7 +98,7 @@ def lexical_channel(
     """Best ``k`` chunks per query by BM25, chunks without any query term included.
 
     ``chunks(<scope>, chunk_id, text)``, ``queries(<scope>, query_id, text)``; a query sees the chunks
-    of its scope only. ``tables`` are the blocks, terms and corpus tables of an index; with them the
+    of its scope only. ``tables`` are those of ``lexical_tables``; with them the
     texts are not read. A query without any known term still ranks its corpus, with zero scores.
 
     Common words are read only where they can matter. A first pass over rare terms and the best blocks
@@ -116,59 +108,68 @@ def lexical_channel(
     A query with fewer than ``k`` chunks so far, or with a negative weight, has no threshold and reads all.
     """
     tables = tables or lexical_tables(chunks, scope)
-    blocks = tables["blocks"]
+    held = tables["postings"]
     weights = stored(query_weights(queries, scope, tables["terms"], tables["corpus"]).withColumn("most", F.col("weight") * F.col("reach")), "weights")
-    cut = _thresholds(blocks, weights, scope, k)
+    # Blocks matter for common terms only.
+    common = weights.where(F.col("df") > RARE_CHUNKS).select(scope, "term").distinct()
+    blocks = stored(tables["blocks"].join(common, [scope, "term"], "left_semi"), "blocks")
+    cut = _thresholds(held, blocks, weights, scope, k)
     plan = stored(_last_terms(weights, cut, scope), "terms")
     least = F.col("cut") - SLACK
-    first = plan.where("not last")
-    partial_ = stored(
-        _parts(blocks, first, scope, F.col("weight") * F.col("best") + F.col("total") - F.col("most") >= least)
-        .groupBy(scope, "query_id", "chunk_id").agg(F.sum("part").alias("part")),
-        "partial",
-    )
-    limits = plan.groupBy("query_id").agg(F.max("cut").alias("cut"), F.coalesce(F.sum(F.when(F.col("last"), F.col("most"))), F.lit(0.0)).alias("rest"))
-    near = partial_.join(limits, "query_id").where(F.col("part") + F.col("rest") >= least).drop("cut", "rest")
-    wanted = near.select(scope, "query_id", "chunk_id").join(plan.where("last").select("query_id", "term", "weight"), "query_id")
-    wanted = wanted.withColumn("block", _block(F.col("chunk_id")))
-    hit = F.filter("entries", lambda e: e["chunk_id"] == F.col("chunk_id"))
-    added = blocks.join(wanted, [scope, "term", "block"]).withColumn("hit", F.get(F.transform(hit, lambda e: e["impact"]), F.lit(0)))
-    added = added.where("hit is not null").select(scope, "query_id", "chunk_id", (F.col("weight") * F.col("hit")).alias("part"))
-    matched = near.select(scope, "query_id", "chunk_id", "part").unionByName(added)
+    rare = F.col("df") <= RARE_CHUNKS
+    open_ = F.col("weight") * F.col("best") + F.col("total") - F.col("most") >= least
+    seen = blocks.join(plan.where(~rare & ~F.col("last")), [scope, "term"]).where(open_)
+    parts = _parts(held, plan.where(rare), scope).unionByName(_parts(held, seen, scope))
+    partial_ = stored(parts.groupBy(scope, "query_id", "chunk_id").agg(F.sum("part").alias("part")), "partial")
+    # What is known by now of chunks is a better threshold.
+    last = plan.where("last").select(scope, "query_id", "term", "weight", "most")
+    limits = last.groupBy("query_id").agg(F.sum("most").alias("rest"))
+    reached = _kth_best(partial_.join(limits.select("query_id"), "query_id", "left_semi").withColumnRenamed("part", "score"), k)
+    close = F.col("cut").isNull() | (F.col("part") + F.col("rest") >= least)
+    near = partial_.join(limits.join(reached, "query_id", "left"), "query_id", "left").where(close).drop("cut", "rest")
+    wanted = near.select(scope, "query_id", "chunk_id").join(last.drop("most"), [scope, "query_id"])
+    block = F.floor(F.col("chunk_id") / BLOCK_IDS).cast("long").alias("block")
+    touched = near.select(scope, "query_id", block).distinct().join(last, [scope, "query_id"]).select(scope, "term", "block").distinct()
+    added = held.join(touched, [scope, "term", "block"], "left_semi").join(wanted, [scope, "term", "chunk_id"])
+    matched = near.unionByName(added.select(scope, "query_id", "chunk_id", (F.col("weight") * F.col("impact")).alias("part")))
     matched = stored(matched.groupBy(scope, "query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score")), "matches")
     return _ranked(matched.select("query_id", "chunk_id", "score").unionByName(_unmatched(chunks, queries, scope, matched, k)), k)
 
 
-def _parts(blocks: DataFrame, terms: DataFrame, scope: str, open_=None) -> DataFrame:
-    """What each term adds to each chunk of its blocks, those that are ``open_`` only."""
+def _parts(held: DataFrame, terms: DataFrame, scope: str) -> DataFrame:
+    """What each term adds to each chunk, in its blocks only where they are given."""
     on = [scope, "term", "block"] if "block" in terms.columns else [scope, "term"]
-    joined = blocks.join(terms, on)
-    joined = joined if open_ is None else joined.where(open_)
-    entry = joined.select(scope, "query_id", "weight", F.explode("entries").alias("e"))
-    return entry.select(scope, "query_id", F.col("e.chunk_id").alias("chunk_id"), (F.col("weight") * F.col("e.impact")).alias("part"))
+    joined = held.join(terms.select(*on, "query_id", "weight"), on)
+    return joined.select(scope, "query_id", "chunk_id", (F.col("weight") * F.col("impact")).alias("part"))
 
 
-def _thresholds(blocks: DataFrame, weights: DataFrame, scope: str, k: int) -> DataFrame:
-    """query_id, cut: a score that ``k`` chunks of the query reach."""
-    sure = weights.groupBy("query_id").agg(F.min("weight").alias("_w")).where("_w >= 0").select("query_id")
+def _thresholds(held: DataFrame, blocks: DataFrame, weights: DataFrame, scope: str, k: int) -> DataFrame:
+    """query_id, cut: a score that ``k`` chunks of the query reach, for queries with common terms."""
+    sure = weights.groupBy("query_id").agg(F.min("weight").alias("_w"), F.max("df").alias("_df"))
+    sure = sure.where((F.col("_w") >= 0) & (F.col("_df") > RARE_CHUNKS)).select("query_id")
     weights = weights.join(sure, "query_id", "left_semi").select(scope, "query_id", "term", "weight", "df")
     rare, common = weights.where(F.col("df") <= RARE_CHUNKS), weights.where(F.col("df") > RARE_CHUNKS)
-    heads = blocks.select(scope, "term", "block", "best").join(common.select(scope, "term").distinct(), [scope, "term"], "left_semi")
-    heads = top_k(heads, [scope, "term"], [F.desc("best"), F.asc("block")], HEAD_BLOCKS, "_i").select(scope, "term", "block")
-    seen = _parts(blocks, rare, scope).unionByName(_parts(blocks, common.join(heads, [scope, "term"]), scope))
-    sums = seen.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-    best = top_k(sums, ["query_id"], [F.desc("score")], k, "_i")
+    heads = top_k(blocks, [scope, "term"], [F.desc("best"), F.asc("block")], HEAD_BLOCKS, "_i").select(scope, "term", "block")
+    seen = _parts(held, rare, scope).unionByName(_parts(held, common.join(heads, [scope, "term"]), scope))
+    return _kth_best(seen.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")), k)
+
+
+def _kth_best(sums: DataFrame, k: int) -> DataFrame:
+    """query_id, cut: the k-th best score of the queries that have so many."""
+    best = top_k(sums.select("query_id", "score"), ["query_id"], [F.desc("score")], k, "_i")
     return best.groupBy("query_id").agg(F.min("score").alias("cut"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k).drop("_n")
 
 
 def _last_terms(weights: DataFrame, cut: DataFrame, scope: str) -> DataFrame:
     """Terms with the query's ``cut`` (below all scores where there is none), the ``total`` of what its
-    terms can add, and whether a term is among the ``last``, which cannot reach the cut together."""
+    terms can add, and whether a term is among the ``last``, common ones which cannot reach the cut
+    together. Rare terms are read whole, which costs less than looking them up."""
     w = weights.join(cut, "query_id", "left").withColumn("cut", F.coalesce("cut", F.lit(float("-inf"))))
     of_query = Window.partitionBy("query_id")
-    upto = F.sum("most").over(of_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
-    w = w.withColumns({"total": F.sum("most").over(of_query), "last": upto < F.col("cut") - SLACK})
-    return w.select(scope, "query_id", "term", "weight", "most", "cut", "total", "last")
+    common = F.col("df") > RARE_CHUNKS
+    upto = F.sum("most").over(of_query.orderBy(~common, "most", "term").rowsBetween(Window.unboundedPreceding, 0))
+    w = w.withColumns({"total": F.sum("most").over(of_query), "last": common & (upto < F.col("cut") - SLACK)})
+    return w.select(scope, "query_id", "term", "weight", "df", "most", "cut", "total", "last")
 
 
 def _unmatched(chunks: DataFrame, queries: DataFrame, scope: str, matched: DataFrame, k: int) -> DataFrame:
@@ -298,7 +299,7 @@ def verbatim_hits(chunks: DataFrame, queries: DataFrame, scope: str, tables: dic
     A term without white space lies inside one token of the text, so it is looked up among the distinct
     tokens, by gram, and these in the postings; texts are not read. A phrase is looked up by its longest
     word, and only the chunks that hold this are searched for it. A term that is nothing but white space
-    is looked up among the white space of the texts. ``tables`` are those of an index.
+    is looked up among the white space of the texts. ``tables`` are those of ``lexical_tables``.
     """
     asked = exploded(queries, [scope, "query_id"], exact_terms(F.col("text")), "_i", "term")
     # A term listed twice by a query (case variants) counts twice.
@@ -308,22 +309,22 @@ def verbatim_hits(chunks: DataFrame, queries: DataFrame, scope: str, tables: dic
     asked = stored(asked.withColumns({"needle": longest, "single": ~F.col("term").rlike(SPACE)}), "exact-terms")
     scopes = asked.select(scope).distinct()
     tables = tables or lexical_tables(chunks, scope)
-    rows = tables["blocks"].join(scopes, scope, "left_semi").select(scope, F.col("entries.chunk_id").alias("ids"), F.col("term").alias("haystack"))
+    tokens_ = tables["terms"].join(scopes, scope, "left_semi").select(scope, F.col("term").alias("haystack"))
     spaced = asked.where("needle = ''")
     gaps = chunks.join(spaced.select(scope).distinct(), scope, "left_semi")
-    gaps = exploded(gaps, [scope, F.array("chunk_id").alias("ids")], F.regexp_extract_all(F.lower("text"), F.lit(f"{SPACE}+"), F.lit(0)), "_i", "haystack").drop("_i")
+    gaps = exploded(gaps, [scope, "chunk_id"], F.regexp_extract_all(F.lower("text"), F.lit(f"{SPACE}+"), F.lit(0)), "_i", "term").drop("_i")
 
-    def within(needles: DataFrame, held: DataFrame) -> DataFrame:
-        inside = contained(needles.select("needle").distinct(), held.select("haystack").distinct())
-        return inside.join(held, "haystack").select(scope, "needle", F.explode("ids").alias("chunk_id")).distinct()
+    def within(needles: DataFrame, texts: DataFrame, holders: DataFrame) -> DataFrame:
+        inside = contained(needles.select("needle").distinct(), texts.select("haystack").distinct()).withColumnRenamed("haystack", "term")
+        return holders.select(scope, "term", "chunk_id").join(inside, "term").select(scope, "needle", "chunk_id").distinct()
 
     words = asked.where("needle <> ''")
-    found = words.join(within(words, rows), [scope, "needle"])
+    found = words.join(within(words, tokens_, tables["postings"]), [scope, "needle"])
     sure = found.where("single").select("query_id", "chunk_id", "term", "times")
     phrases = found.where("not single").join(chunks.select(scope, "chunk_id", F.lower("text").alias("text")), [scope, "chunk_id"])
     phrases = phrases.where(F.contains("text", "term")).select("query_id", "chunk_id", "term", "times")
     blank = spaced.withColumn("needle", F.col("term"))
-    blank = blank.join(within(blank, gaps), [scope, "needle"]).select("query_id", "chunk_id", "term", "times")
+    blank = blank.join(within(blank, gaps.withColumnRenamed("term", "haystack"), gaps), [scope, "needle"]).select("query_id", "chunk_id", "term", "times")
     hits = sure.unionByName(phrases).unionByName(blank)
     return hits.groupBy("query_id", "chunk_id").agg(F.sum("times").alias("hits"))
 

@@ -28,7 +28,7 @@ def retrieve(
     ``vectors(<scope>, chunk_id, vector)``, ``query_vectors(query_id, vector)``. ``rerank_scores``
     turns candidates ``(<scope>, query_id, chunk_id, ...)`` into ``(query_id, chunk_id,
     rerank_score)``. Candidates are stored before they are scored, so that a model is asked once.
-    ``tables`` are the blocks, terms and corpus tables of an index.
+    ``tables`` are those of ``lexical_tables``.
     """
     scopes = queries.select(scope, "query_id")
     tables = tables or retrieval.lexical_tables(chunks, scope)
@@ -59,6 +59,6 @@ def retrieve_from_index(
     ``queries(url_key, query_id, text)`` name their document; ``vectors(url_key, chunk_idx, vector)``.
     """
     named = lambda df: df.withColumn("chunk_id", F.col("chunk_idx").cast("long")).drop("chunk_idx")
-    tables = {"blocks": index["blocks"], "terms": retrieval.block_terms(index["blocks"], KEY), "corpus": index["corpus"]}
     chunks = named(index["chunks"].select(KEY, "chunk_idx", "text"))
+    tables = retrieval.lexical_tables(chunks, KEY, named(index["postings"]), index["corpus"])
     return retrieve(chunks, queries, KEY, named(vectors), query_vectors, rerank_scores, document_order, tables)

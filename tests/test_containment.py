@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from rubricon.operators import containment
 from rubricon.operators.containment import contained
 
 
@@ -16,12 +19,14 @@ def check(spark, needles, haystacks):
     return got
 
 
-def test_equals_comparing_all(spark):
+@pytest.mark.parametrize("few", [0, 16])
+def test_equals_comparing_all(spark, monkeypatch, few):
     """Needles of every size class, few letters, so that grams repeat within texts and between them."""
+    monkeypatch.setattr(containment, "FEW", few)
     rnd = random.Random(3)
     text = lambda n, letters="abc": "".join(rnd.choice(letters) for _ in range(n))
     haystacks = {(rnd.choice("xy"), text(rnd.randrange(60))) for _ in range(150)}
-    haystacks |= {("x", text(30, "aé😀")) for _ in range(20)}
+    haystacks |= {("few", text(20)) for _ in range(9)} | {("x", text(30, "aé😀")) for _ in range(20)}
     needles = {(rnd.choice("xyz"), text(rnd.randrange(6))) for _ in range(60)}
     for k, h in rnd.sample(sorted(haystacks), 120):
         at = rnd.randrange(len(h) + 1)
@@ -38,6 +43,7 @@ def test_no_needles_and_no_haystacks(spark):
     assert [tuple(r) for r in contained(*some).collect()] == [("a", "abc")]
 
 
-def test_long_repetitive_text(spark):
+def test_long_repetitive_text(spark, monkeypatch):
+    monkeypatch.setattr(containment, "FEW", 0)
     h = "ab" * 30_000 + "the end of it all, at last" + "ba" * 30_000
     check(spark, {("k", "the end of it all, at"), ("k", "ab" * 20_000), ("k", "ab" * 20_000 + "c"), ("k", "l, a")}, {("k", h), ("k", "ab")})

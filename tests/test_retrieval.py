@@ -86,6 +86,7 @@ def test_bounds_leave_the_ranks_as_they_are(spark, monkeypatch):
 
 def test_a_stop_word_is_not_read_whole(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "RARE_CHUNKS", 200)
+    monkeypatch.setattr(retrieval, "BLOCK_IDS", 128)
     rnd = random.Random(16)
     c = spark.createDataFrame(common_corpus(rnd, 6000), "scope string, chunk_id long, text string")
     q = spark.createDataFrame([("hot", 1, "the rare7 rare8")], "scope string, query_id long, text string")
@@ -95,8 +96,9 @@ def test_a_stop_word_is_not_read_whole(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "_parts", lambda *a: read.append(parts(*a)) or read[-1])
     retrieval.lexical_channel(c, q, "scope", 10, tables).collect()
     rare = tables["terms"].where("term in ('rare7', 'rare8')").groupBy().sum("df").first()[0]
-    # Twice the rare terms, and at most the head blocks of the stop word.
-    assert sum(r.count() for r in read) <= 2 * rare + retrieval.HEAD_BLOCKS * retrieval.BLOCK_IDS // 2
+    # Twice the rare terms, and the head blocks of the stop word.
+    heads = retrieval.HEAD_BLOCKS * retrieval.BLOCK_IDS // 2
+    assert sum(r.count() for r in read) <= 2 * rare + heads < 1000
 
 
 def test_lexical_channel_runs_in_the_jvm(spark):
