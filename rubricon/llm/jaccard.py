@@ -16,8 +16,9 @@ is verified on the sets and no pair is missed. Pairs to verify come from three s
    left to it: of a run of shared shingles only the first brings them together.
 
 Before sets are read, a pair must pass what bounds its similarity from above: its sizes, the places of
-the shared shingle, and counts of both sets over cells of the hash range, whose differences add up to
-no more than the sets differ by. Intermediate tables are deleted when the components are known.
+the shared shingle, in the buckets of 3. the parities of both sets over cells of the hash range, which
+differ in no more cells than the sets differ in shingles, and then the counts over finer cells, whose
+differences add up to no more than that either. Intermediate tables are deleted when the components are known.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ from rubricon.session import scratch, stored
 SAMPLE_ROWS = 10_000
 COMMON = 1 << 16
 CELL_MEAN = 4
+PARITY_LONGS = 8
 #: The bits of a shingle that are counted; fewer than all travel in fewer bytes.
 COUNTED = (1 << 40) - 1
 
@@ -68,6 +70,12 @@ def cells(s: np.ndarray) -> np.ndarray:
     return np.bincount((s & np.uint64(count - 1)).astype(np.int64), minlength=count).astype(np.uint16)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each of some cells is odd, as the bits of longs."""
+    counts = np.bincount((s % np.uint64(PARITY_LONGS * 64)).astype(np.int64), minlength=PARITY_LONGS * 64)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def cells_differ(a: np.ndarray, b: np.ndarray) -> int:
     """By how many shingles two sets differ at least."""
     if len(a) < len(b):
@@ -96,7 +104,7 @@ def _common(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.
 
 
 def _shingled(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """id, leaf (hash of the set), n (its size), fp (SimHash fingerprint), prefix and cells."""
+    """id, leaf (hash of the set), n (its size), fp (SimHash fingerprint), prefix, cells and parities."""
     common, count = _common(docs, words, text_col)
 
     def one(text: str):
@@ -107,17 +115,17 @@ def _shingled(docs: DataFrame, words: int, num: int, den: int, id_col: str, text
             at = np.minimum(np.searchsorted(common, s), len(common) - 1)
             rank = np.where(common[at] == s, count[at], 0)
         prefix = s[np.lexsort((s, rank))][: n - -(-n * num // den) + 1]
-        return _leaf(s), n, int(simhash.fingerprint(text, words).view(np.int64)[0]), prefix.view(np.int64), cells(s).tobytes()
+        return _leaf(s), n, int(simhash.fingerprint(text, words).view(np.int64)[0]), prefix.view(np.int64), cells(s).tobytes(), parities(s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
         for batch in batches:
-            found = zip(*[one(t.as_py()) for t in batch.column(1)]) if batch.num_rows else ((),) * 5
+            found = zip(*[one(t.as_py()) for t in batch.column(1)]) if batch.num_rows else ((),) * 6
             columns = [batch.column(0), *map(pa.array, found, types)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "leaf", "n", "fp", "prefix", "cells"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "leaf", "n", "fp", "prefix", "cells", "odd"])
 
     out = docs.select(id_of(id_col), text_of(text_col))
-    return out.mapInArrow(run, "id long, leaf long, n long, fp long, prefix array<long>, cells binary")
+    return out.mapInArrow(run, "id long, leaf long, n long, fp long, prefix array<long>, cells binary, odd array<long>")
 
 
 def _proposed(rows: DataFrame, max_bits: int, put: Callable) -> DataFrame:
@@ -227,16 +235,20 @@ def links(docs: DataFrame, rows: DataFrame, words: int, num: int, den: int, max_
     # A bucket whose texts are all in one component has nothing left to find.
     open_ = at.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     at = put(at.join(open_, "shingle", "left_semi"), "open")
+    odd = rows.join(at.select("leaf").distinct(), "leaf", "left_semi").groupBy("leaf").agg(F.first("odd").alias("odd"))
+    at = put(at.join(odd, "leaf"), "open")
     a, b = at.alias("a"), at.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
     # The first shingle that both have, in their order, bounds what they share by what follows it.
     rest = F.least(na - F.col("a.pos"), nb - F.col("b.pos"))
+    differ = sum(F.bit_count(F.col("a.odd")[i].bitwiseXOR(F.col("b.odd")[i])) for i in range(PARITY_LONGS))
     near = (
         (F.col("a.shingle") == F.col("b.shingle"))
         & (F.col("a.leaf") > F.col("b.leaf"))
         & (F.col("a.root") != F.col("b.root"))
         & ~((F.col("a.pos") > 0) & (F.col("b.pos") > 0) & (F.col("a.before") == F.col("b.before")))
         & _may_reach(na, nb, rest, num, den)
+        & ((na + nb - differ) * (num + den) >= 2 * num * (na + nb))
     )
     further = a.join(b, near).select(F.col("a.leaf").alias("u"), F.col("b.leaf").alias("v")).distinct()
     further = put(further.join(pairs, ["u", "v"], "left_anti"), "further")

@@ -73,6 +73,7 @@ def test_cells_bound_the_difference():
         differ = len(np.setxor1d(a, b))
         assert jaccard.cells_differ(jaccard.cells(a), jaccard.cells(b)) <= differ
         assert jaccard.cells_differ(jaccard.cells(a), jaccard.cells(a)) == 0
+        assert np.bitwise_count(jaccard.parities(a) ^ jaccard.parities(b)).sum() <= differ
 
 
 def test_nothing_stays_in_scratch(spark, documents):
