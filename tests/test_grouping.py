@@ -4,7 +4,6 @@ import statistics
 from pyspark.sql import functions as F
 
 from rubricon.operators import grouping
-from rubricon.operators.waves import waves
 
 
 def skewed(n, seed):
@@ -82,16 +81,3 @@ def test_salted_join_equals_join(spark):
         plain = sorted(map(tuple, rows.join(lookup, ["g"], how).select("i").collect()))
         salted = grouping.salted_join(rows, lookup, ["g"], ["i"], how)
         assert sorted(map(tuple, salted.select("i").collect())) == plain
-
-
-def test_waves_cover_everything_once(spark):
-    df = spark.range(1000).withColumn("k", F.col("id") % 37)
-    parts = list(waves(df, ["k"], 100))
-    assert len(parts) > 1
-    seen = [i for p in parts for i in p["id"].to_pylist()]
-    assert sorted(seen) == list(range(1000))
-    owner = {}
-    for n, p in enumerate(parts):
-        for k in p["k"].to_pylist():
-            assert owner.setdefault(k, n) == n
-    assert list(waves(df.limit(0), ["k"], 100)) == []
