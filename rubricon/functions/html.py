@@ -1,15 +1,15 @@
 """HTML pages to text blocks, one page per row.
 
-Spark has no HTML reader; a page is parsed once with the standard library over Arrow
-batches, and everything after that (sections, repeats, filters) is DataFrame work.
+Spark has no HTML reader; a page is parsed once with the standard library, row by row,
+and everything after that (sections, repeats, filters) is DataFrame work.
 """
 
 from __future__ import annotations
 
 import re
+from functools import cache
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +43,7 @@ PAGE = T.StructType(
 )
 
 
+@cache
 def _page_reader():
     class Reader(HTMLParser):
         """Collects text per open element; element order is start-tag order."""
@@ -120,11 +121,11 @@ def _page_reader():
     return read
 
 
-@F.pandas_udf(PAGE)
-def parse_page(html: pd.Series) -> pd.DataFrame:
-    read = _page_reader()
-    pages = [read(h or "") for h in html]
-    return pd.DataFrame(pages, columns=["text", "blocks"])
+@F.udf(PAGE, useArrow=False)
+def parse_page(html):
+    """Row by row: a parsed page is many times its html, as a text is held by each element around it,
+    so an Arrow batch of pages would be held whole in every form."""
+    return _page_reader()(html or "")
 
 
 def table_markdown(cells: Column) -> Column:
