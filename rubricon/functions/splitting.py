@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +15,7 @@ WINDOW_WORDS, WINDOW_OVERLAP = 500, 75
 
 
 def make_splitter(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators=tuple(SEPARATORS)):
-    """Recursive character splitter over Arrow batches: cut at the coarsest separator
+    """Recursive character splitter: cut at the coarsest separator
     present, pack neighbouring pieces up to ``size`` characters, carry up to
     ``overlap`` characters into the next chunk. A piece that is too long is cut at the next finer
     separator, and what it gives is packed apart from its neighbours."""
@@ -61,8 +60,9 @@ def make_splitter(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separato
                 yield from split(part, level + 1)
         yield from pack(run)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def splitter(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [] if not t else list(split(t)))
+    @F.udf(T.ArrayType(T.StringType()), useArrow=False)
+    def splitter(text):
+        """Row by row: an Arrow batch of long texts would be held whole, with all its chunks."""
+        return list(split(text)) if text else []
 
     return splitter
