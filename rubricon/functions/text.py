@@ -97,17 +97,16 @@ def word_count(text: Column) -> Column:
     return F.size(words(F.coalesce(text, F.lit(""))))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(
-        lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s)
-    )
+@F.udf(T.StringType(), useArrow=False)
+def _nfkc(text):
+    """Row by row: an Arrow batch of long texts would be held whole, before and after."""
+    return text if text is None or text.isascii() else unicodedata.normalize("NFKC", text)
 
 
 def normalise_question(text: Column) -> Column:
     """Canonical text for question matching: NFKC, plain punctuation, single spaces.
 
-    Spark has no NFKC function, so that one step runs over Arrow batches.
+    Spark has no NFKC function, so that one step runs in Python.
     """
     plain = _nfkc(text)
     for variant, form in PLAIN_FORMS:

@@ -149,3 +149,11 @@ def test_splitter_packs_levels_apart(spark):
     got = lambda t: spark.createDataFrame([(t,)], "t string").select(split("t")).first()[0]
     assert got("aa\n\nbb cc dd ee ff\n\ngg") == ["aa", "bb cc dd", "dd ee ff", "gg"]
     assert got("abcdefghijkl m") == ["abcdefghij", "ijkl", "m"] or got("abcdefghijkl m")[-1] == "m"
+
+
+def test_long_texts_reach_python_row_by_row(spark):
+    """An Arrow batch of pages or documents would be held whole by a worker, with all that is made of it."""
+    df = spark.createDataFrame([("<p>a b</p>",)], "t string")
+    for made in (parse_page("t"), splitting.make_splitter(200, 30)("t"), text.normalise_question(F.col("t"))):
+        plan = df.select(made.alias("x"))._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
