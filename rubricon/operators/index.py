@@ -112,11 +112,25 @@ def without_repeats(blocks: DataFrame, key: str, longer_than: int = REPEAT_CHARS
 
 
 def without_adjacent_repeats(blocks: DataFrame, key: str) -> DataFrame:
-    """Drop a block equal to the one before it. Neighbours meet by position, through a
-    join on the document and the next index of consecutive positions."""
-    following = blocks.select(key, (F.col("block_idx") + 1).alias("block_idx"), F.md5("text").alias("_h"))
-    joined = blocks.join(following, [key, "block_idx"], "left")
-    return joined.where(F.col("_h").isNull() | (F.col("_h") != F.md5("text"))).drop("_h")
+    """Drop a block equal to the one before it, that is at the index before. Blocks meet in buckets of
+    positions, so they are moved once and a long document is never sorted in one task; the last block
+    of a bucket visits the next one too. Where positions repeat, a block stays once for each differing
+    block before it."""
+    width = 4096
+    at, bucket = F.col("block_idx").cast("long"), F.floor(F.col("block_idx") / width)
+    placed = F.col(key).isNotNull() & at.isNotNull()
+    # Blocks without a place have none before them; they are dealt by their text.
+    last = placed & (F.pmod(at, F.lit(width)) == width - 1)
+    buckets = F.when(last, F.array(bucket, bucket + 1)).when(placed, F.array(bucket)).otherwise(F.array(F.xxhash64("text")))
+    rows = blocks.withColumn("_bkt", F.explode(buckets))
+    before = Window.partitionBy(key, "_bkt").orderBy("block_idx").rangeBetween(-1, -1)
+    rows = rows.withColumn("_before", F.collect_list(F.struct("text")).over(before))
+    own = ~placed | (F.floor(at / width) == F.col("_bkt"))
+    differs = lambda x: x["text"].isNull() | F.coalesce(x["text"] != F.col("text"), F.lit(False))
+    times = F.when(~placed | (F.size("_before") == 0), 1).otherwise(F.size(F.filter("_before", differs)))
+    rest = [c for c in blocks.columns if c not in (key, "block_idx")]
+    rows = rows.where(own).withColumn("_times", times).where("_times > 0")
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(key, "block_idx", *rest)
 
 
 def labelled_text(parsed: DataFrame) -> DataFrame:

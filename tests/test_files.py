@@ -280,3 +280,17 @@ def test_keyed_rubrics(spark, tmp_path):
 def test_question_lists_drop_all_white_space(spark, tmp_path):
     (tmp_path / "q.txt").write_text("\tone \n \t\n\ntwo\n")
     assert [r["question"] for r in readers.questions(spark, str(tmp_path / "q.txt")).collect()] == ["one", "two"]
+
+
+def test_adjacent_repeats_move_the_blocks_once(spark):
+    """Positions over a bucket's edge, missing and repeated ones, and documents without a key."""
+    rows = [(1, i, "ab"[i // 2 % 2]) for i in range(4090, 4102)] + [(2, 0, "x"), (2, 0, "y"), (2, 1, "x"), (2, 3, "x"), (None, 0, "x"), (None, 1, "x"), (3, 0, None), (3, 1, None), (3, 2, "x"), (3, 3, None)]
+    blocks = spark.createDataFrame(rows, "doc long, block_idx int, text string")
+    out = index.without_adjacent_repeats(blocks, "doc")
+    want = []
+    for d, i, t in rows:
+        before = [b for e, j, b in rows if d is not None and e == d and j == i - 1]
+        want += [(d, i, t)] * (sum(b is None or (t is not None and b != t) for b in before) if before else 1)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
