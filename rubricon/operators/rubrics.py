@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubricon.functions.text import fold_space, signals
-from rubricon.operators.containment import contained
+from rubricon.operators.containment import FEW, contained
 from rubricon.operators.grading import CATEGORIES, TIERS
 from rubricon.operators.grouping import exploded, first_by, last_by, salted_join
 from rubricon.session import stored
@@ -188,9 +188,27 @@ def invented_figures(original: DataFrame, repaired: DataFrame) -> DataFrame:
 def untraceable(original: DataFrame, repaired: DataFrame) -> DataFrame:
     """Repaired facts that neither equal, contain nor are contained in an original fact.
 
-    Containment is found by equi-join on grams instead of comparing all pairs of a question.
+    Where a question has up to ``FEW`` original facts these become one row, which its repaired facts
+    are compared with, so both sides are moved once. For the other questions containment is found by
+    equi-join on grams instead of comparing all pairs of a question.
     """
-    o = original.select("question", F.lower("fact").alias("text")).distinct()
+    o = original.select("question", F.lower("fact").alias("text")).where("question is not null")
+    r = repaired.select("question", "fact")
+    sizes = o.groupBy("question").agg(F.count(F.lit(1)).alias("_n"))
+    large = stored(sizes.where(F.col("_n") > FEW).select("question"), "large-questions")
+    # Dealt first: rows of a question seldom lie together, so a set of each part would save nothing.
+    sets = o.join(large, "question", "left_anti").repartition("question").groupBy("question").agg(F.collect_set("text").alias("_o"))
+    text = F.lower("fact")
+    same = lambda x: (x == text) | ((text != "") & F.contains(x, text)) | ((x != "") & F.contains(text, x))
+    traced = F.coalesce(F.exists("_o", same), F.lit(False))
+    small = r.join(large, "question", "left_anti").join(sets, "question", "left").where(~traced).select("question", "fact").distinct()
+    if large.isEmpty():
+        return small
+    of_large = lambda df: df.join(large, "question", "left_semi")
+    return small.unionByName(_untraceable_by_grams(of_large(o).distinct(), of_large(r)))
+
+
+def _untraceable_by_grams(o: DataFrame, repaired: DataFrame) -> DataFrame:
     r = repaired.select("question", "fact", F.lower("fact").alias("text")).distinct()
     open_r = stored(r.join(o, ["question", "text"], "left_anti"), "untraced")
     texts = open_r.select("question", "text").distinct()

@@ -26,6 +26,22 @@ def test_untraceable_equals_brute_force(spark):
     assert got == want and want
 
 
+def test_untraceable_compares_small_questions_in_one_join(spark):
+    facts = ["Part 1 shipped 2 units", "", None, "part"]
+    o = spark.createDataFrame([(1, "critical", 0, facts[0]), (2, "critical", 0, ""), (3, "critical", 0, None), (None, "critical", 0, "a")], FLAT)
+    big = [(4, "critical", i, f"fact {i}") for i in range(40)]
+    r = spark.createDataFrame([(q, "critical", 0, f) for q in (1, 2, 3, None) for f in [*facts, "a", "a"]], FLAT)
+    asked = [(4, "critical", 0, "Fact 7"), (4, "critical", 1, "fact 77"), (4, "critical", 2, "else")]
+    out = rubrics.untraceable(o, r)
+    got = sorted(map(tuple, out.collect()), key=str)
+    every = ["", "Part 1 shipped 2 units", "a", "part", None]
+    want = [(1, ""), (1, None), (2, "Part 1 shipped 2 units"), (2, "a"), (2, "part"), (2, None), *[(q, f) for q in (3, None) for f in every]]
+    assert got == sorted(want, key=str)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 3
+    both = rubrics.untraceable(o.unionByName(spark.createDataFrame(big, FLAT)), r.unionByName(spark.createDataFrame(asked, FLAT)))
+    assert sorted(map(tuple, both.collect()), key=str) == sorted([*got, (4, "else")], key=str)
+
+
 def test_repaired_assignment(spark):
     facts = spark.createDataFrame([(1, 0, "Alpha Fact"), (1, 1, "beta"), (1, 2, "gamma")], "question long, pos int, fact string")
     r = spark.createDataFrame(
