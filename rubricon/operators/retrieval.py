@@ -12,15 +12,16 @@ channel.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubricon.functions.text import SPACE, exact_terms, tokens
-from rubricon.operators.containment import contained
+from rubricon.operators.containment import contained, let
 from rubricon.operators.grouping import exploded, numbered, top_k
 from rubricon.operators.index import corpus_stats, postings
 from rubricon.session import stored
@@ -80,18 +81,39 @@ def impacts(rows: DataFrame, corpus: DataFrame, scope: str) -> DataFrame:
 def lexical_tables(chunks: DataFrame, scope: str, rows: DataFrame | None = None, corpus: DataFrame | None = None) -> dict[str, DataFrame]:
     """``postings`` with impacts, stored, the best impact per term and block, ``terms`` and ``corpus``.
     ``rows`` and ``corpus`` are the counts of an index, where they are there already."""
-    corpus = corpus_stats(chunks, [scope]) if corpus is None else corpus
-    rows = postings(chunks, [scope, "chunk_id"]) if rows is None else rows
+    # Small tables are stored, as Spark broadcasts only what it knows to be small.
+    corpus = stored(corpus_stats(chunks, [scope]) if corpus is None else corpus, "corpus")
+    rows = _counts(chunks, [scope, "chunk_id"]) if rows is None else rows
     held = stored(impacts(rows, corpus, scope), "postings")
     best = F.max("impact")
     return {
         "postings": held,
         "blocks": held.groupBy(scope, "term", "block").agg(best.alias("best")),
-        "terms": held.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"), best.alias("reach")),
+        "terms": stored(held.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"), best.alias("reach")), "vocabulary"),
         "corpus": corpus,
     }
 
 
+def _counts(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """``postings``, where the terms of a chunk are counted inside its row, so that they stay where the
+    text is read; only chunks that share their keys with others are brought together."""
+    again = chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    again = stored(again, "repeated-chunks")
+    held = chunks.select(*keys, "text")
+    same = lambda: reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    once = held if again.isEmpty() else held.join(again, same(), "left_anti")
+
+    def runs(words: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        count = lambda at, i: F.coalesce(F.get(at, i + 1), F.size(words)) - F.get(at, i)
+        return let(first, lambda at: F.transform(at, lambda s, i: F.struct(F.get(words, s).alias("term"), count(at, i).cast("long").alias("tf"), F.size(words).alias("len"))))
+
+    words = F.array_sort(tokens(F.col("text")))
+    counted = exploded(once, keys, let(words, lambda w: F.when(F.size(w) > 0, runs(w))), "_i", "_r")
+    rows = counted.select(*keys, "_r.term", "_r.tf", "_r.len")
+    return rows if once is held else rows.unionByName(postings(held.join(again, same(), "left_semi"), keys))
+
+
 def lexical_channel(
     chunks: DataFrame, queries: DataFrame, scope: str, k: int = CHANNEL_K, tables: dict[str, DataFrame] | None = None
 ) -> DataFrame:
@@ -113,13 +135,15 @@ def lexical_channel(
     # Blocks matter for common terms only.
     common = weights.where(F.col("df") > RARE_CHUNKS).select(scope, "term").distinct()
     blocks = stored(tables["blocks"].join(common, [scope, "term"], "left_semi"), "blocks")
-    cut = _thresholds(held, blocks, weights, scope, k)
+    # Of the postings those of common terms are all that is moved, not all that the joins below would meet.
+    often = held.join(common, [scope, "term"], "left_semi")
+    cut = _thresholds(held, often, blocks, weights, scope, k)
     plan = stored(_last_terms(weights, cut, scope), "terms")
     least = F.col("cut") - SLACK
     rare = F.col("df") <= RARE_CHUNKS
     open_ = F.col("weight") * F.col("best") + F.col("total") - F.col("most") >= least
     seen = blocks.join(plan.where(~rare & ~F.col("last")), [scope, "term"]).where(open_)
-    parts = _parts(held, plan.where(rare), scope).unionByName(_parts(held, seen, scope))
+    parts = _parts(held, plan.where(rare), scope).unionByName(_parts(often, seen, scope))
     partial_ = stored(parts.groupBy(scope, "query_id", "chunk_id").agg(F.sum("part").alias("part")), "partial")
     # What is known by now of chunks is a better threshold.
     last = plan.where("last").select(scope, "query_id", "term", "weight", "most")
@@ -130,7 +154,7 @@ def lexical_channel(
     wanted = near.select(scope, "query_id", "chunk_id").join(last.drop("most"), [scope, "query_id"])
     block = F.floor(F.col("chunk_id") / BLOCK_IDS).cast("long").alias("block")
     touched = near.select(scope, "query_id", block).distinct().join(last, [scope, "query_id"]).select(scope, "term", "block").distinct()
-    added = held.join(touched, [scope, "term", "block"], "left_semi").join(wanted, [scope, "term", "chunk_id"])
+    added = often.join(touched, [scope, "term", "block"], "left_semi").join(wanted, [scope, "term", "chunk_id"])
     matched = near.unionByName(added.select(scope, "query_id", "chunk_id", (F.col("weight") * F.col("impact")).alias("part")))
     matched = stored(matched.groupBy(scope, "query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score")), "matches")
     return _ranked(matched.select("query_id", "chunk_id", "score").unionByName(_unmatched(chunks, queries, scope, matched, k)), k)
@@ -143,14 +167,14 @@ def _parts(held: DataFrame, terms: DataFrame, scope: str) -> DataFrame:
     return joined.select(scope, "query_id", "chunk_id", (F.col("weight") * F.col("impact")).alias("part"))
 
 
-def _thresholds(held: DataFrame, blocks: DataFrame, weights: DataFrame, scope: str, k: int) -> DataFrame:
+def _thresholds(held: DataFrame, often: DataFrame, blocks: DataFrame, weights: DataFrame, scope: str, k: int) -> DataFrame:
     """query_id, cut: a score that ``k`` chunks of the query reach, for queries with common terms."""
     sure = weights.groupBy("query_id").agg(F.min("weight").alias("_w"), F.max("df").alias("_df"))
     sure = sure.where((F.col("_w") >= 0) & (F.col("_df") > RARE_CHUNKS)).select("query_id")
     weights = weights.join(sure, "query_id", "left_semi").select(scope, "query_id", "term", "weight", "df")
     rare, common = weights.where(F.col("df") <= RARE_CHUNKS), weights.where(F.col("df") > RARE_CHUNKS)
     heads = top_k(blocks, [scope, "term"], [F.desc("best"), F.asc("block")], HEAD_BLOCKS, "_i").select(scope, "term", "block")
-    seen = _parts(held, rare, scope).unionByName(_parts(held, common.join(heads, [scope, "term"]), scope))
+    seen = _parts(held, rare, scope).unionByName(_parts(often, common.join(heads, [scope, "term"]), scope))
     return _kth_best(seen.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")), k)
 
 
@@ -316,12 +340,14 @@ def verbatim_hits(chunks: DataFrame, queries: DataFrame, scope: str, tables: dic
 
     def within(needles: DataFrame, texts: DataFrame, holders: DataFrame) -> DataFrame:
         inside = contained(needles.select("needle").distinct(), texts.select("haystack").distinct()).withColumnRenamed("haystack", "term")
+        inside = stored(inside, "holding-terms")  # few, so that the postings need not be moved to them
         return holders.select(scope, "term", "chunk_id").join(inside, "term").select(scope, "needle", "chunk_id").distinct()
 
     words = asked.where("needle <> ''")
     found = words.join(within(words, tokens_, tables["postings"]), [scope, "needle"])
     sure = found.where("single").select("query_id", "chunk_id", "term", "times")
-    phrases = found.where("not single").join(chunks.select(scope, "chunk_id", F.lower("text").alias("text")), [scope, "chunk_id"])
+    texts = chunks.join(words.where("not single").select(scope).distinct(), scope, "left_semi")
+    phrases = found.where("not single").join(texts.select(scope, "chunk_id", F.lower("text").alias("text")), [scope, "chunk_id"])
     phrases = phrases.where(F.contains("text", "term")).select("query_id", "chunk_id", "term", "times")
     blank = spaced.withColumn("needle", F.col("term"))
     blank = blank.join(within(blank, gaps.withColumnRenamed("term", "haystack"), gaps), [scope, "needle"]).select("query_id", "chunk_id", "term", "times")

@@ -263,3 +263,16 @@ def test_context_text(spark):
 def test_jvm_dot_product(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0])], "vector array<float>, query_vector array<double>")
     assert retrieval.dense_scores(df).select(F.col("score")).first()[0] == 11.0
+
+
+def test_terms_are_counted_where_the_texts_are_read(spark):
+    rows = [("a", 1, "x y X  z"), ("a", 2, None), ("a", 3, " "), ("b", 1, "y"), ("b", 4, "q Q q")]
+    table = lambda r: spark.createDataFrame(r, "scope string, chunk_id long, text string")
+    keys = ["scope", "chunk_id"]
+    got = retrieval._counts(table(rows), keys)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    known = lambda df: sorted((tuple(r) for r in df.select(*keys, "term", "tf").collect()), key=str)
+    for more in ([], [("b", 4, "q r"), ("b", 4, "q"), (None, 7, "n n"), (None, 7, "n"), ("b", None, "o"), ("b", None, "o")]):
+        assert known(retrieval._counts(table(rows + more), keys)) == known(retrieval.postings(table(rows + more), keys))
+    lens = {r["len"] for r in retrieval._counts(table(rows), keys).where("chunk_id = 1 and scope = 'a'").collect()}
+    assert lens == {4}
