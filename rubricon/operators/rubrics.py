@@ -71,14 +71,20 @@ def shape_warnings(counted: DataFrame) -> DataFrame:
 
 
 def validation(rubric: DataFrame, facts: DataFrame) -> DataFrame:
-    """Missing, unknown and repeated facts per question, with the first error text."""
-    assigned = rubric.groupBy("question", "fact").agg(F.count(F.lit(1)).alias("_n"))
-    wanted = facts.select("question", "fact").distinct().withColumn("_w", F.lit(True))
-    both = assigned.join(wanted, ["question", "fact"], "full_outer")
+    """Missing, unknown and repeated facts per question, with the first error text.
+
+    Both sides meet in one aggregate, which holds counts only; a join would sort them as well. A fact
+    or question that is NULL equals no other, so there it counts on either side.
+    """
+    assigned = rubric.select("question", "fact", F.lit(1).cast("long").alias("_n"), F.lit(False).alias("_w"))
+    wanted = facts.select("question", "fact", F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_w"))
+    both = assigned.unionByName(wanted).groupBy("question", "fact").agg(F.sum("_n").alias("_n"), F.max("_w").alias("_w"))
+    known = F.col("question").isNotNull() & F.col("fact").isNotNull()
+    has = F.col("_n") > 0
     out = both.groupBy("question").agg(
-        F.count_if(F.col("_n").isNull()).alias("missing"),
-        F.count_if(F.col("_w").isNull()).alias("extra"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"),
+        F.count_if(F.col("_w") & ~(known & has)).alias("missing"),
+        F.count_if(has & ~(known & F.col("_w"))).alias("extra"),
+        F.coalesce(F.sum(F.when(has, F.col("_n") - 1)), F.lit(0)).alias("duplicates"),
     )
     error = (
         F.when(F.col("missing") > 0, "omitted facts")

@@ -212,3 +212,20 @@ def test_develop_enriches_then_repairs(spark):
     assert {r["question"]: (r["outcome"], r["best_attempt"]) for r in out["repairs"].collect()} == {1: ("repaired", 1), 2: ("repaired", 2)}
     assert asked == [(1, 2), (2, 1)]
     assert out["quality"].where("recommendation <> 'stop'").count() == 0
+
+
+def test_validation_joins_nothing_and_null_equals_nothing(spark):
+    rubric = [("q", "critical", 0, "a"), ("q", "critical", 1, "a"), ("q", "optional", 2, "b"), ("q", "optional", 3, None), (None, "optional", 0, "a"), ("ok", "critical", 0, "z")]
+    r = spark.createDataFrame(rubric, "question string, tier string, pos int, fact string")
+    f = spark.createDataFrame([("q", "a"), ("q", "c"), ("q", None), (None, "a"), ("ok", "z"), ("ok", "z")], "question string, fact string")
+    out = rubrics.validation(r, f)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {x["question"]: (x["missing"], x["extra"], x["duplicates"], x["error"]) for x in out.collect()}
+    assert got == {"q": (2, 2, 1, "omitted facts"), None: (1, 1, 0, "omitted facts"), "ok": (0, 0, 0, None)}
+
+
+def test_assignment_keeps_one_row_per_tier_and_appends_the_rest(spark):
+    r = spark.createDataFrame([("q", "critical", 4, " A  b"), ("q", "critical", 2, "a B"), ("q", "optional", 1, "a b"), ("q", "optional", 0, "new")], "question string, tier string, pos int, fact string")
+    f = spark.createDataFrame([("q", 0, "a b"), ("q", 1, "A b"), ("q", 2, "c"), ("q", 3, None)], "question string, pos int, fact string")
+    got = {(x["tier"], x["pos"], x["fact"], x["appended"]) for x in rubrics.repaired_assignment(r, f).collect()}
+    assert got == {("critical", 2, "A b", False), ("optional", 1, "A b", False), ("important", 0, "a b", True), ("important", 2, "c", True), ("important", 3, None, True)}
