@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rubricon.functions.text import trim_space
+from rubricon.functions.text import SPACE, trim_space
+
+# How a text that may be JSON begins; a letter begins nothing but these words.
+JSON_START = r"\A(?:[^A-Za-z]|true|false|null|NaN|Inf)"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a costly value, which is evaluated once however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def unfenced(text: Column) -> Column:
     """Text without a surrounding code fence."""
-    t = trim_space(text)
-    inner = trim_space(F.replace(F.regexp_replace(t, r"\A```(?:json)?", ""), F.lit("```")))
-    return F.when(t.startswith("```"), inner).otherwise(t)
+
+    def inner(t: Column) -> Column:
+        return trim_space(F.replace(F.regexp_replace(t, r"\A```(?:json)?", ""), F.lit("```")))
+
+    def trimmed(t: Column) -> Column:
+        # Most texts have no space at their ends, which two characters tell.
+        spaced = F.left(t, F.lit(1)).rlike(SPACE) | F.right(t, F.lit(1)).rlike(SPACE)
+        return F.when(spaced, trim_space(t)).otherwise(t)
+
+    trim = _once(text, trimmed)
+    return _once(trim, lambda t: F.when(t.startswith("```"), inner(t)).otherwise(t))
 
 
 def strict_json(text: Column) -> Column:
@@ -20,23 +38,20 @@ def strict_json(text: Column) -> Column:
     error instead of being skipped."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     items = F.try_variant_get(wrapped, "$", "array<variant>")
-    return F.when(F.size(items) == 1, F.element_at(items, 1))
-
-
-def _slice(text: Column, pattern: str) -> Column:
-    found = F.regexp_extract(text, pattern, 0)
-    return F.when(found != "", found)
+    return _once(items, lambda i: F.when(F.size(i) == 1, F.element_at(i, 1)))
 
 
 def find_json(text: Column, arrays: bool = True) -> Column:
     """JSON value in a reply: the whole text, else first ``[`` to last ``]`` (only with
     ``arrays``), else first ``{`` to last ``}``, else NULL."""
-    clean = unfenced(text)
-    tries = [strict_json(clean)]
-    if arrays:
-        tries.append(strict_json(_slice(clean, r"(?s)\[.*\]")))
-    tries.append(strict_json(_slice(clean, r"(?s)\{.*\}")))
-    return F.coalesce(*tries)
+    parts = [r"(?s)\[.*\]", r"(?s)\{.*\}"] if arrays else [r"(?s)\{.*\}"]
+
+    def found(clean: Column) -> Column:
+        # A text that cannot be JSON is not parsed: an error costs far more than a look at its beginning.
+        whole = F.when(clean.rlike(JSON_START), strict_json(clean))
+        return F.coalesce(whole, *[strict_json(F.regexp_extract(clean, p, 0)) for p in parts])
+
+    return _once(unfenced(text), found)
 
 
 def json_kind(value: Column) -> Column:
@@ -106,7 +121,7 @@ def context_list(reply: Column) -> Column:
 
 def tiered_facts(value: Column) -> Column:
     """Parsed rubric reply as ``array<struct<tier, fact>>``, or NULL when the shape is unknown.
-    Pass a column that holds the VARIANT, not its expression: it is read many times.
+    Pass a column that holds the VARIANT, not its expression: it is read several times.
 
     Accepts an object of tier arrays, a list of ``{tier, facts}`` and a list of
     ``{fact, tier}``; the two list shapes cannot be mixed. Unknown tiers are dropped.
@@ -119,17 +134,20 @@ def tiered_facts(value: Column) -> Column:
         return F.transform(listed, lambda f: pair(F.lit(t), f))
 
     by_tier = F.flatten(F.array(*[of_tier(t) for t in ("critical", "important", "optional")]))
-    items = F.try_variant_get(value, "$", "array<variant>")
-    tier = lambda i: F.lower(json_field(i, "$.tier", "string"))
-    many = lambda i: json_field(i, "$.facts", "array<string>")
-    one = lambda i: json_field(i, "$.fact", "string")
-    known = lambda p: p["tier"].isin("critical", "important", "optional")
-    grouped = F.flatten(
-        F.transform(items, lambda i: F.transform(many(i), lambda f: pair(tier(i), f)))
+    items = F.transform(
+        F.try_variant_get(value, "$", "array<variant>"),
+        lambda i: F.struct(
+            F.lower(json_field(i, "$.tier", "string")).alias("tier"),
+            json_field(i, "$.facts", "array<string>").alias("many"),
+            json_field(i, "$.fact", "string").alias("one"),
+        ),
     )
-    single = F.transform(items, lambda i: pair(tier(i), one(i)))
-    return (
-        F.when(json_kind(value) == "object", by_tier)
-        .when(F.forall(items, lambda i: tier(i).isNotNull() & many(i).isNotNull()), F.filter(grouped, known))
-        .when(F.forall(items, lambda i: tier(i).isNotNull() & one(i).isNotNull()), F.filter(single, known))
+    known = lambda p: p["tier"].isin("critical", "important", "optional")
+    grouped = lambda i: F.flatten(F.transform(i, lambda x: F.transform(x["many"], lambda f: pair(x["tier"], f))))
+    single = lambda i: F.transform(i, lambda x: pair(x["tier"], x["one"]))
+    return _once(
+        items,
+        lambda i: F.when(i.isNull() & (json_kind(value) == "object"), by_tier)
+        .when(F.forall(i, lambda x: x["tier"].isNotNull() & x["many"].isNotNull()), F.filter(grouped(i), known))
+        .when(F.forall(i, lambda x: x["tier"].isNotNull() & x["one"].isNotNull()), F.filter(single(i), known)),
     )

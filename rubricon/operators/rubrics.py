@@ -111,14 +111,11 @@ def repaired_assignment(rubric: DataFrame, facts: DataFrame) -> DataFrame:
     induced = first_by(
         rubric.select("question", "tier", "pos", fold(F.col("fact")).alias("_f")), ["question", "tier", "_f"], ["pos"]
     )
-    mapped = (
-        induced.join(originals, ["question", "_f"])
-        .select("question", "tier", "pos", F.col("_fact").alias("fact"))
-    )
-    kept = first_by(mapped, ["question", "tier", "fact"], ["pos"])
+    # A fact has one folded text, so these rows are distinct in question, tier and fact.
+    kept = induced.join(originals, ["question", "_f"]).select("question", "tier", "pos", F.col("_fact").alias("fact"))
     left_out = (
         facts.select("question", "fact", "pos")
-        .join(kept.select("question", "fact").distinct(), ["question", "fact"], "left_anti")
+        .join(kept.select("question", "fact"), ["question", "fact"], "left_anti")
         .select("question", F.lit("important").alias("tier"), F.col("pos"), "fact")
     )
     return kept.withColumn("appended", F.lit(False)).unionByName(

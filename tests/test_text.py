@@ -157,3 +157,16 @@ def test_long_texts_reach_python_row_by_row(spark):
     for made in (parse_page("t"), splitting.make_splitter(200, 30)("t"), text.normalise_question(F.col("t"))):
         plan = df.select(made.alias("x"))._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_a_reply_is_parsed_once_a_try(spark):
+    df = spark.createDataFrame([("x",)], "s string")
+    plan = df.select(jsontext.find_json(F.col("s")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 3
+
+
+def test_json_that_begins_with_a_letter_or_follows_text(spark):
+    raw = ["true", "nullx", "null", " false ", "Sure: [1] done", "t [2] x", "NaN", "] [1", "", "x {\"a\": [3]} y", "```json\ntrue\n```", "no", None]
+    df = spark.createDataFrame(list(enumerate(raw)), "i int, s string")
+    got = [r["v"] for r in df.select("i", F.to_json(jsontext.find_json(F.col("s"))).alias("v")).orderBy("i").collect()]
+    assert got == ["true", None, "null", "false", "[1]", "[2]", None, None, None, "[3]", "true", None, None]
