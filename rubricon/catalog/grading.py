@@ -294,7 +294,8 @@ def _(t):
         F.lit("").alias("reason"),
         F.lit(None).cast("string").alias("failure"),
     )
-    return grade_answers(criteria, answers, replies, ["model", "part"])["gated_summary"]
+    # Many lines share the replies to a part; five models to a part are more than Spark expects of the file.
+    return grade_answers(criteria, answers, replies.hint("shuffle_hash"), ["model", "part"])["gated_summary"]
 
 
 _NUMBERS = "SELECT p_partkey, p_name, p_size, p_size % 51 + p_partkey % 49 AS a, p_partkey % 90 + 10 AS b FROM part"

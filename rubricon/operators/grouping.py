@@ -58,6 +58,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def tasks_for(df: DataFrame, rows: int = 250_000) -> int:
+    """How many tasks take about ``rows`` rows of ``df`` each, but at least one a core. The rows are
+    counted: a shuffle that Spark sizes by bytes gives a task millions of rows that compress well."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def salted_join(
     rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str | Column], how: str = "inner", salts: int = 16
 ) -> DataFrame:
