@@ -36,7 +36,7 @@ from rubricon.llm import simhash
 from rubricon.llm.common import id_of, shown_id, text_of
 from rubricon.llm.simhash import _LOWER, components
 from rubricon.llm.substrings import _filter, _passes
-from rubricon.session import scratch, stored
+from rubricon.session import bounded_batches, scratch, stored
 
 SAMPLE_ROWS = 10_000
 COMMON = 1 << 16
@@ -265,6 +265,7 @@ def near_groups(
     without a word, null ones too, have the empty set and are linked with each other only. A null id is
     smaller than all others. An empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as put:
         rows = put(_shingled(docs, words, num, den, id_col, text_col), "shingles")
         stars = components(links(docs, rows, words, num, den, max_bits, id_col, text_col, put))

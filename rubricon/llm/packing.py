@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rubricon.llm.common import id_of, shown_id, text_of
 from rubricon.llm.vocabulary import Words
-from rubricon.session import stored
+from rubricon.session import bounded_batches, stored
 
 CELL_PIECES = 16_384
 
@@ -85,6 +85,7 @@ def pieces(
 
     A text is its ids and then ``end_id``; only texts longer than ``size`` are cut.
     """
+    bounded_batches(docs.sparkSession)
     fields = [("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     fields += [("ids", pa.binary())] if with_ids else []
     schema = pa.schema(fields)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.llm.common import bounded_sample, fold, id_of, shown_id, text_of
-from rubricon.session import stored
+from rubricon.session import bounded_batches, stored
 
 FIGURES = (
     "upper", "digit", "high", "bang", "hash", "star", "dollar", "amp", "percent", "bar", "stop", "comma", "line",
@@ -249,6 +249,7 @@ def train(
     the sigmoid. Bin edges, ``prior`` (by default estimated) and risk cover all texts. Rows that repeat
     id and text are one row that counts as often; a null id is not learnt from.
     """
+    bounded_batches(docs.sparkSession)
     learnt = F.col(id_col).isNotNull() & (fold(id_col) != held_out_fold)
     known = labels.where(learnt & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     known = bounded_sample(known, id_col, labelled_rows).select(id_of(id_col).alias("id"), "y")
@@ -287,6 +288,7 @@ def scored(
     label could be learnt from, every score is 1: nothing is rejected unseen. Rows that repeat an id
     have rows of their own; a null id is never held out. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.llm.common import id_of, shown_id, slices, text_of
-from rubricon.session import stored
+from rubricon.session import bounded_batches, stored
 
 HOT_SHARE, HOT_LEAST = 4096, 64
 FILTER_BITS = 1 << 28  # 32 MB at most
@@ -247,6 +247,7 @@ def kept_words(
     share an id but not the text are ordered by a hash of the text, and rows that share both are one
     document. An empty table gives an empty one. Other columns of ``docs`` are not read.
     """
+    bounded_batches(docs.sparkSession)
     text = text_of(text_col)
     rows = docs.select(
         id_of(id_col).alias("id"),

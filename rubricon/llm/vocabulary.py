@@ -65,10 +65,11 @@ class Words:
     """Word-end BPE of one file: lower case, white space dropped. Ids as little-endian 32-bit bytes.
 
     White space parts a text into words that are encoded on their own, so each worker keeps the ids
-    of the first ``CACHE`` different words it meets.
+    of words it has met: at most twice ``CACHE`` of them. When ``known`` is full it becomes ``older``,
+    which words come back from when they are met again; the rest of it goes at the next change.
     """
 
-    CACHE = 400_000
+    CACHE = 80_000
     _made: dict[str, Words] = {}
     # The alphabet in which lower-casing is letter by letter and nothing is composed.
     _plain = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
@@ -104,6 +105,7 @@ class Words:
         self.core = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.ids = [(ids[k] if k in ids else 0).to_bytes(4, "little") for k in ranks]
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
@@ -118,7 +120,14 @@ class Words:
         if None in got:
             for i, g in enumerate(got):
                 if g is None:
-                    got[i] = g = known.get(words[i]) or self._word(words[i])
-                    if len(known) < self.CACHE and len(words[i]) < 64:
-                        known[words[i]] = g
+                    got[i] = self._met(words[i])
         return b"".join(got)
+
+    def _met(self, word: bytes) -> bytes:
+        """Ids of a word that was not in ``known`` when its text was looked up."""
+        ids = self.known.get(word) or self.older.get(word) or self._word(word)
+        if len(word) < 64:
+            if len(self.known) >= self.CACHE:
+                self.known, self.older = {}, self.known
+            self.known[word] = ids
+        return ids

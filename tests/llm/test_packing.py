@@ -4,9 +4,12 @@ from collections import defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rubricon.llm import packing
+from rubricon.llm.vocabulary import Words
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("word_bpe_49k.json")
@@ -95,3 +98,34 @@ def test_words_equal_the_library(spark):
 
 def test_empty_table(documents):
     assert packing.best_fit(documents([]), PATH).collect() == []
+
+
+def test_few_words_are_kept():
+    words, plain = Words(PATH), Words(PATH)
+    text = " ".join(f"w{i}" for i in range(200_000))
+    assert words.encode(text) == words.encode(text)
+    assert len(words.known) + len(words.older) <= 160_000
+    words.CACHE = 3
+    again = ["alpha Beta gamma", "Beta delta eps zeta eta", "alpha x" + "y" * 70, "Beta alpha"]
+    assert [words.encode(t) for t in again] == [plain.encode(t) for t in again]
+    assert len(words.known) <= 3 and len(words.older) <= 160_000
+
+
+def test_batches_to_python_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(48, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x "), 1 << 19).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    try:
+        spark.conf.unset(key)
+        packing.pieces(docs, PATH)
+        assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 8 << 20
+        spark.conf.set(key, "16m")
+        packing.pieces(docs, PATH)
+        assert spark.conf.get(key) == "16m"
+    finally:
+        spark.conf.set(key, before)
