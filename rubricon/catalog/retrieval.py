@@ -6,6 +6,7 @@ from rubricon.catalog.base import SPACE_SQL, query, with_
 from rubricon.functions.text import exact_terms
 from rubricon.operators import documents, retrieval
 from rubricon.plans.retrieve import retrieve
+from rubricon.session import stored
 
 _TOK = f"list_filter(string_split_regex(lower(text), '{SPACE_SQL}+'), lambda t: t <> '')"
 
@@ -178,7 +179,8 @@ def _rerank_scores(t, candidates):
 
 @query("reranked_chunks", _HYBRID + _RERANKED + " SELECT query_id, chunk_id, rerank_score, rerank_rank FROM reranked")
 def _(t):
-    c = _candidates(t)
+    # Stored, as both the scores and the ranking read them.
+    c = stored(_candidates(t), "candidates")
     return retrieval.rerank(c, _rerank_scores(t, c)).select("query_id", "chunk_id", "rerank_score", "rerank_rank")
 
 

@@ -19,10 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.operators.grouping import exploded
+from rubricon.session import stored
 
 GRAM, WINDOW = 8, 9
 SIZES = (1, 2, 3, 8)
 FEW = 16
+# Characters of needles up to which the grams of haystacks are kept only where a needle has them.
+FEW_CHARS = 100_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -72,14 +75,17 @@ def _by_grams(needles: DataFrame, haystacks: DataFrame, keys: list[str]) -> Data
     for size in SIZES:
         kind = F.when(length >= size, size).otherwise(kind)
     kind = F.when(length >= GRAM + WINDOW - 1, 0).otherwise(kind)
-    kinds = sorted(r["k"] for r in needles.where(length > 0).select(kind.alias("k")).distinct().collect())
+    kinds = needles.where(length > 0).groupBy(kind.alias("k")).agg(F.sum(length).alias("n")).collect()
     found = None
-    for k in kinds:
+    for k, chars in sorted(map(tuple, kinds)):
         size, window = (GRAM, WINDOW) if k == 0 else (k, 1)
         gram = lambda text: grams(F.col(text), size, window)
         need = exploded(needles.where(kind == k), [*keys, "_nid"], gram("needle"), "_i", "_g").drop("_i")
         hay = haystacks.where(F.length("haystack") >= size + window - 1)
         hay = exploded(hay, [*keys, "_hid"], gram("haystack"), "_i", "_g").drop("_i")
+        if chars <= FEW_CHARS:
+            need = stored(need, "grams")
+            hay = hay.join(F.broadcast(need.select(*keys, "_g").distinct()), [*keys, "_g"], "left_semi")
         part = _rarest(need, hay, keys).join(hay, [*keys, "_g"]).select(*keys, "_nid", "_hid")
         found = part if found is None else found.unionByName(part)
     if found is None:

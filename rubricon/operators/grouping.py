@@ -7,7 +7,7 @@ the sum of a small prefix table and a numbering inside bounded buckets or ranges
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from rubricon.session import stored
 
+# Rows up to which a lookup table is broadcast, and bits of a filter of terms.
+LOOKUP_ROWS, FILTER_BITS = 200_000, 1 << 24
+
 
 def _rest(df: DataFrame, keys: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in keys]
@@ -64,6 +67,25 @@ def tasks_for(df: DataFrame, rows: int = 250_000) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
 
 
+def lookups(table: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What marks lookups of no more rows than ``table``, a stored one: they are broadcast if it has few.
+    Spark knows the bytes of files only, so it would move all rows that are looked up in what it has yet
+    to compute."""
+    return F.broadcast if table.count() <= LOOKUP_ROWS else lambda lookup: lookup
+
+
+def maybe_in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``column`` may be among that of ``wanted``, a stored table: all that are, and some more.
+
+    A filter of ``FILTER_BITS`` bits at most, one a hash, in words of 64 that are broadcast. It spares
+    rows the way to a join with ``wanted``, which settles the rest."""
+    at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    place = {"_word": F.shiftright(at, 6), "_bit": F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))}
+    words = wanted.select(column).distinct().withColumns(place).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumns(place).join(F.broadcast(stored(words, "filter")), "_word")
+    return marked.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*rows.columns)
+
+
 def salted_join(
     rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str | Column], how: str = "inner", salts: int = 16
 ) -> DataFrame:

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from rubricon.functions.text import SPACE, exact_terms, tokens
 from rubricon.operators.containment import contained, let
-from rubricon.operators.grouping import exploded, numbered, top_k
+from rubricon.operators.grouping import LOOKUP_ROWS, exploded, lookups, maybe_in, numbered, top_k
 from rubricon.operators.index import corpus_stats, postings
-from rubricon.session import stored
+from rubricon.session import scratch, stored
 
 # Channel depth, fused and reranked depth, fusion constant, ranking weights.
 CHANNEL_K, FUSED_K, RERANK_K, RRF_BASE = 40, 80, 20, 60
@@ -128,36 +128,54 @@ def lexical_channel(
     together are left for last: they are looked up for those chunks only that the others bring near it.
     Blocks of the others are skipped where all other terms at their best would not lift them to it.
     A query with fewer than ``k`` chunks so far, or with a negative weight, has no threshold and reads all.
+    Where queries have few terms, these go to the postings, which then stay where they are.
     """
     tables = tables or lexical_tables(chunks, scope)
+    with scratch(chunks.sparkSession) as put:
+        matched = stored(_matches(queries, scope, k, tables, put), "matches")
+    return _ranked(matched.select("query_id", "chunk_id", "score").unionByName(_unmatched(chunks, queries, scope, matched, k)), k)
+
+
+def _matches(queries: DataFrame, scope: str, k: int, tables: dict[str, DataFrame], put) -> DataFrame:
+    """<scope>, query_id, chunk_id, score: chunks with a term of the query, all that can be among the best ``k``.
+    ``put`` stores what is read here only."""
     held = tables["postings"]
     weights = stored(query_weights(queries, scope, tables["terms"], tables["corpus"]).withColumn("most", F.col("weight") * F.col("reach")), "weights")
+    brief = lookups(weights)
     # Blocks matter for common terms only.
-    common = weights.where(F.col("df") > RARE_CHUNKS).select(scope, "term").distinct()
+    common = brief(weights.where(F.col("df") > RARE_CHUNKS).select(scope, "term").distinct())
     blocks = stored(tables["blocks"].join(common, [scope, "term"], "left_semi"), "blocks")
     # Of the postings those of common terms are all that is moved, not all that the joins below would meet.
     often = held.join(common, [scope, "term"], "left_semi")
-    cut = _thresholds(held, often, blocks, weights, scope, k)
+    cut = _thresholds(held, often, blocks, weights, scope, k, brief)
     plan = stored(_last_terms(weights, cut, scope), "terms")
     least = F.col("cut") - SLACK
     rare = F.col("df") <= RARE_CHUNKS
     open_ = F.col("weight") * F.col("best") + F.col("total") - F.col("most") >= least
-    seen = blocks.join(plan.where(~rare & ~F.col("last")), [scope, "term"]).where(open_)
-    parts = _parts(held, plan.where(rare), scope).unionByName(_parts(often, seen, scope))
-    partial_ = stored(parts.groupBy(scope, "query_id", "chunk_id").agg(F.sum("part").alias("part")), "partial")
+    seen = blocks.join(brief(plan.where(~rare & ~F.col("last"))), [scope, "term"]).where(open_)
+    seen = stored(seen.select(scope, "term", "block", "query_id", "weight"), "open-blocks")
+    parts = _parts(held, brief(plan.where(rare)), scope).unionByName(_parts(often, lookups(seen)(seen), scope))
+    partial_ = put(parts.groupBy(scope, "query_id", "chunk_id").agg(F.sum("part").alias("part")), "partial")
     # What is known by now of chunks is a better threshold.
-    last = plan.where("last").select(scope, "query_id", "term", "weight", "most")
-    limits = last.groupBy("query_id").agg(F.sum("most").alias("rest"))
+    last = brief(plan.where("last").select(scope, "query_id", "term", "weight", "most"))
+    limits = brief(last.groupBy("query_id").agg(F.sum("most").alias("rest")))
     reached = _kth_best(partial_.join(limits.select("query_id"), "query_id", "left_semi").withColumnRenamed("part", "score"), k)
+    limits = brief(put(limits.join(reached, "query_id", "left"), "limits"))
     close = F.col("cut").isNull() | (F.col("part") + F.col("rest") >= least)
-    near = partial_.join(limits.join(reached, "query_id", "left"), "query_id", "left").where(close).drop("cut", "rest")
-    wanted = near.select(scope, "query_id", "chunk_id").join(last.drop("most"), [scope, "query_id"])
+    near = put(partial_.join(limits, "query_id", "left").where(close).drop("cut", "rest"), "near")
     block = F.floor(F.col("chunk_id") / BLOCK_IDS).cast("long").alias("block")
     touched = near.select(scope, "query_id", block).distinct().join(last, [scope, "query_id"]).select(scope, "term", "block").distinct()
-    added = often.join(touched, [scope, "term", "block"], "left_semi").join(wanted, [scope, "term", "chunk_id"])
+    touched = put(touched, "touched-blocks")
+    # Many blocks would move the postings as the lookup itself does.
+    looked = often.join(F.broadcast(touched), [scope, "term", "block"], "left_semi") if touched.count() <= LOOKUP_ROWS else often
+    pairs, last = near.select(scope, "query_id", "chunk_id"), last.drop("most")
+    if brief is F.broadcast:
+        # Chunks meet their common words, of which the query's own are kept on the spot.
+        added = pairs.join(looked, [scope, "chunk_id"]).join(last, [scope, "query_id", "term"])
+    else:
+        added = looked.join(pairs.join(last, [scope, "query_id"]), [scope, "term", "chunk_id"])
     matched = near.unionByName(added.select(scope, "query_id", "chunk_id", (F.col("weight") * F.col("impact")).alias("part")))
-    matched = stored(matched.groupBy(scope, "query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score")), "matches")
-    return _ranked(matched.select("query_id", "chunk_id", "score").unionByName(_unmatched(chunks, queries, scope, matched, k)), k)
+    return matched.groupBy(scope, "query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
 def _parts(held: DataFrame, terms: DataFrame, scope: str) -> DataFrame:
@@ -167,14 +185,14 @@ def _parts(held: DataFrame, terms: DataFrame, scope: str) -> DataFrame:
     return joined.select(scope, "query_id", "chunk_id", (F.col("weight") * F.col("impact")).alias("part"))
 
 
-def _thresholds(held: DataFrame, often: DataFrame, blocks: DataFrame, weights: DataFrame, scope: str, k: int) -> DataFrame:
+def _thresholds(held: DataFrame, often: DataFrame, blocks: DataFrame, weights: DataFrame, scope: str, k: int, brief) -> DataFrame:
     """query_id, cut: a score that ``k`` chunks of the query reach, for queries with common terms."""
     sure = weights.groupBy("query_id").agg(F.min("weight").alias("_w"), F.max("df").alias("_df"))
     sure = sure.where((F.col("_w") >= 0) & (F.col("_df") > RARE_CHUNKS)).select("query_id")
-    weights = weights.join(sure, "query_id", "left_semi").select(scope, "query_id", "term", "weight", "df")
+    weights = weights.join(brief(sure), "query_id", "left_semi").select(scope, "query_id", "term", "weight", "df")
     rare, common = weights.where(F.col("df") <= RARE_CHUNKS), weights.where(F.col("df") > RARE_CHUNKS)
     heads = top_k(blocks, [scope, "term"], [F.desc("best"), F.asc("block")], HEAD_BLOCKS, "_i").select(scope, "term", "block")
-    seen = _parts(held, rare, scope).unionByName(_parts(often, common.join(heads, [scope, "term"]), scope))
+    seen = _parts(held, brief(rare), scope).unionByName(_parts(often, brief(brief(common).join(heads, [scope, "term"])), scope))
     return _kth_best(seen.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")), k)
 
 
@@ -340,18 +358,26 @@ def verbatim_hits(chunks: DataFrame, queries: DataFrame, scope: str, tables: dic
 
     def within(needles: DataFrame, texts: DataFrame, holders: DataFrame) -> DataFrame:
         inside = contained(needles.select("needle").distinct(), texts.select("haystack").distinct()).withColumnRenamed("haystack", "term")
-        inside = stored(inside, "holding-terms")  # few, so that the postings need not be moved to them
-        return holders.select(scope, "term", "chunk_id").join(inside, "term").select(scope, "needle", "chunk_id").distinct()
+        inside = stored(inside, "holding-terms")
+        rows = holders.select(scope, "term", "chunk_id")
+        # As many tokens as may hold a short term, the postings without any should stay where they are.
+        return maybe_in(rows, "term", inside).join(inside, "term").select(scope, "needle", "chunk_id").distinct()
 
     words = asked.where("needle <> ''")
     found = words.join(within(words, tokens_, tables["postings"]), [scope, "needle"])
-    sure = found.where("single").select("query_id", "chunk_id", "term", "times")
-    texts = chunks.join(words.where("not single").select(scope).distinct(), scope, "left_semi")
-    phrases = found.where("not single").join(texts.select(scope, "chunk_id", F.lower("text").alias("text")), [scope, "chunk_id"])
-    phrases = phrases.where(F.contains("text", "term")).select("query_id", "chunk_id", "term", "times")
-    blank = spaced.withColumn("needle", F.col("term"))
-    blank = blank.join(within(blank, gaps.withColumnRenamed("term", "haystack"), gaps), [scope, "needle"]).select("query_id", "chunk_id", "term", "times")
-    hits = sure.unionByName(phrases).unionByName(blank)
+    kinds = {r[0] for r in asked.select(F.when(F.col("needle") == "", "blank").when(~F.col("single"), "phrase")).distinct().collect()}
+    hit = ["query_id", "chunk_id", "term", "times"]
+    hits = found.where("single").select(*hit)
+    if "phrase" in kinds:
+        found = stored(found, "found-words")  # read twice
+        hits = found.where("single").select(*hit)
+        texts = chunks.join(words.where("not single").select(scope).distinct(), scope, "left_semi")
+        phrases = found.where("not single").join(texts.select(scope, "chunk_id", F.lower("text").alias("text")), [scope, "chunk_id"])
+        hits = hits.unionByName(phrases.where(F.contains("text", "term")).select(*hit))
+    if "blank" in kinds:
+        blank = spaced.withColumn("needle", F.col("term"))
+        blank = blank.join(within(blank, gaps.withColumnRenamed("term", "haystack"), gaps), [scope, "needle"])
+        hits = hits.unionByName(blank.select(*hit))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum("times").alias("hits"))
 
 

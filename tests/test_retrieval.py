@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rubricon.operators import retrieval
+from rubricon.operators import grouping, retrieval
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
 
@@ -276,3 +276,59 @@ def test_terms_are_counted_where_the_texts_are_read(spark):
         assert known(retrieval._counts(table(rows + more), keys)) == known(retrieval.postings(table(rows + more), keys))
     lens = {r["len"] for r in retrieval._counts(table(rows), keys).where("chunk_id = 1 and scope = 'a'").collect()}
     assert lens == {4}
+
+
+def test_few_query_terms_go_to_the_postings(spark, monkeypatch):
+    """Whatever Spark believes of table sizes, no posting is moved to meet the terms."""
+    monkeypatch.setattr(retrieval, "RARE_CHUNKS", 30)
+    monkeypatch.setattr(retrieval, "BLOCK_IDS", 64)
+    rnd = random.Random(21)
+    c = spark.createDataFrame(common_corpus(rnd, 600), "scope string, chunk_id long, text string")
+    q = spark.createDataFrame([("hot", 1, "the rare7 rare8"), ("hot", 2, "alpha the")], "scope string, query_id long, text string")
+    read, parts = [], retrieval._parts
+    monkeypatch.setattr(retrieval, "_parts", lambda *a: read.append(parts(*a)) or read[-1])
+    ranks = lambda: sorted(map(tuple, retrieval.lexical_channel(c, q, "scope", 10).collect()))
+    want = ranks()
+    read.clear()
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        assert ranks() == want and read
+        for df in read:
+            assert "SortMergeJoin [scope" not in df._jdf.queryExecution().toString()
+        # More terms than a lookup may have meet the postings in a join that moves both.
+        monkeypatch.setattr(grouping, "LOOKUP_ROWS", 0)
+        monkeypatch.setattr(retrieval, "LOOKUP_ROWS", 0)
+        assert ranks() == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_filter_of_terms_loses_none(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"t{i}", i) for i in range(3000)] + [(None, -1)], "term string, n long")
+    wanted = spark.createDataFrame([(f"t{i}",) for i in range(0, 3000, 100)] * 2 + [(None,)], "term string")
+    for bits, most in ((1 << 24, 40), (64, 3000)):
+        monkeypatch.setattr(grouping, "FILTER_BITS", bits)
+        got = grouping.maybe_in(rows, "term", wanted).where("term is not null")
+        found = sorted(r["n"] for r in got.collect())
+        assert set(range(0, 3000, 100)) <= set(found) and len(found) == len(set(found)) <= most
+        assert got.columns == rows.columns
+
+
+def test_candidates_are_made_once_before_they_are_reranked(spark, tmp_path):
+    from rubricon.catalog import QUERIES
+
+    rnd = random.Random(22)
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    texts = [" ".join(rnd.choices(WORDS, k=8)) for _ in range(30)]
+    put("documents", [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    put("benchmark", [(i, f"{t} Alpha") for i, t in enumerate(texts[:3])], "item_id long, text string")
+    put("embeddings", [(i, [rnd.random() for _ in range(4)], 0) for i in range(30)], "vec_id long, embedding array<float>, label int")
+    out = QUERIES["reranked_chunks"](spark, str(tmp_path))
+    # The channels are not part of what ranks the candidates.
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    got = {q: [r["chunk_id"] for r in out.where(f"query_id = {q}").orderBy("rerank_rank").collect()] for q in range(3)}
+    assert all(len(g) == retrieval.RERANK_K for g in got.values())
+    sizes = [[round(1000.0 / len(texts[i]), 6) for i in g] for g in got.values()]
+    assert all(s == sorted(s, reverse=True) for s in sizes)
