@@ -363,5 +363,6 @@ def _(t):
 
 @query("page_index")
 def _(t):
-    """Index of all unseen pages: chunks with metadata, sampled and gated."""
-    return build_index(t.pages)["chunks"]
+    """Index of all unseen pages: chunks with metadata, of the plain text where blocks give few, each
+    with whether the even sample has it and whether the gate lets its page pass."""
+    return build_index(t.pages, least=index.SPARSE_CHUNKS)["chunks"]

@@ -269,6 +269,14 @@ def publishable(chunks: DataFrame, key: str, share: float = PREFIX_SHARE) -> Dat
     )
 
 
+def gated(chunks: DataFrame, publish: DataFrame, key: str, cap: int = CHUNK_CAP) -> DataFrame:
+    """Chunks with ``sampled``, whether ``proportional_sample`` keeps them, and the ``publish`` flag of
+    their document, from the counts of ``publishable``."""
+    counts = publish.select(key, F.col("chunks").alias("_n"), "publish")
+    sampled = ((F.col("_n") <= cap) | _sampled(cap)).alias("sampled")
+    return chunks.join(counts, key).select(*chunks.columns, sampled, "publish")
+
+
 def postings(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Term counts per chunk, with the chunk's length in terms."""
     cut = chunks.select(*keys, tokens(F.col("text")).alias("_t"))

@@ -294,3 +294,25 @@ def test_adjacent_repeats_move_the_blocks_once(spark):
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
     assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
+def test_the_page_index_takes_every_step(spark, tmp_path, monkeypatch):
+    """Pages with few chunks are split from their plain text; chunks carry the sample and the gate."""
+    from rubricon.catalog import QUERIES
+
+    bare = "<html><body>only " + "loose words " * 30 + "</body></html>"
+    rows = [(1, "http://a", page(3)), (2, "http://b", page(900)), (3, "http://c", bare)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(index, "CHUNK_CAP", 7)
+    key = dict(spark.createDataFrame(rows, "page_id long, url string, html string").select("url", index.url_key(F.col("url"))).collect())
+    chunks = QUERIES["page_index"](spark, str(tmp_path)).collect()
+    of = {url: sorted((c for c in chunks if c["url_key"] == k), key=lambda c: c["chunk_idx"]) for url, k in key.items()}
+    # The heading is too short for a block, the loose words are in none.
+    assert len(of["http://a"]) == 1 and "FORM 10-K" in of["http://a"][0]["text"] and "[SECTION" not in of["http://a"][0]["text"]
+    assert [c["text"].split()[:2] for c in of["http://c"]] == [["only", "loose"]]
+    big = of["http://b"]
+    assert len(big) >= 50 and big[0]["text"].startswith("[SECTION")
+    assert [c["chunk_idx"] for c in big if c["sampled"]] == [int(i * (len(big) / 7)) for i in range(7)]
+    assert of["http://a"][0]["sampled"] and not any(c["publish"] for c in chunks)
+    prefixed = build_index(spark.read.parquet(str(tmp_path / "pages.parquet")), contexts=lambda c: c.where("chunk_idx < 1").selectExpr("url_key", "chunk_idx", "'p' AS prefix"))
+    assert {r["url_key"] for r in prefixed["chunks"].where("publish").collect()} == {key["http://a"]}
