@@ -235,11 +235,13 @@ def dense_channel(vectors: DataFrame, queries: DataFrame, k: int = CHANNEL_K, sc
     ``vectors([<scope>,] chunk_id, vector)``, ``queries([<scope>,] query_id, vector)``; with ``scope``
     a query sees the vectors of its scope only. The vectors of a scope are dealt to row blocks and its
     queries to column blocks, as many as keep a block within ``BLOCK_VECTORS`` and ``BLOCK_QUERIES``;
-    a task forms the products of one pair of blocks and keeps the best of each query.
+    a task forms the products of one pair of blocks and keeps the best of each query. A missing vector has
+    no product; a missing number of a vector adds nothing to one.
     """
     of_scope = (F.col(scope) if scope else F.lit("")).alias("scope")
-    v = vectors.select(of_scope, "chunk_id", "vector")
-    q = queries.select(of_scope, "query_id", "vector")
+    some = F.size("vector") > 0  # not of null either
+    v = vectors.select(of_scope, "chunk_id", "vector").where(some)
+    q = queries.select(of_scope, "query_id", "vector").where(some)
     blocks = lambda df, size: df.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
     grid = blocks(v, BLOCK_VECTORS).withColumnRenamed("n", "rows").join(blocks(q, BLOCK_QUERIES).withColumnRenamed("n", "columns"), "scope")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -249,10 +251,11 @@ def dense_channel(vectors: DataFrame, queries: DataFrame, k: int = CHANNEL_K, sc
     asked = q.join(grid, "scope").withColumn("column", dealt("query_id", "columns")).withColumn("row", every("rows"))
     narrow = all(df.schema["vector"].dataType.simpleString() == "array<float>" for df in (vectors, queries))
     vector = F.col("vector").cast("array<float>" if narrow else "array<double>").alias("vector")
-    sides = asked.select("scope", "row", "column", "query_id", none.alias("chunk_id"), vector).unionByName(
-        mine.select("scope", "row", "column", none.alias("query_id"), "chunk_id", vector)
+    kind = lambda vector_: F.lit(vector_).alias("is_vector")
+    sides = asked.select("scope", "row", "column", "query_id", none.alias("chunk_id"), vector, kind(False)).unionByName(
+        mine.select("scope", "row", "column", none.alias("query_id"), "chunk_id", vector, kind(True))
     )
-    cells = sides.repartition("scope", "row", "column").sortWithinPartitions("scope", "row", "column", F.col("query_id").isNull(), F.desc("chunk_id"))
+    cells = sides.repartition("scope", "row", "column").sortWithinPartitions("scope", "row", "column", "is_vector", F.desc("chunk_id"))
     return _ranked(cells.mapInArrow(partial(_products, k=k), HITS), k)
 
 
@@ -269,7 +272,7 @@ def _products(batches, k):
                 if held is not None:
                     yield held.hits()
                 cell, queries, held = keys[first], [], None
-            n = part.num_rows - part.column(3).null_count
+            n = part.num_rows - part.column(6).true_count
             if n:
                 queries.append(part.slice(0, n))
             if n < part.num_rows and queries:
@@ -283,8 +286,9 @@ class _Block:
     """The best ``k`` vectors of each query of a block, larger id first on equal scores."""
 
     def __init__(self, queries, k):
-        self.ids = np.concatenate([b.column(3).to_numpy() for b in queries])
-        self.matrix = np.concatenate([_rows(b) for b in queries])
+        self.ids = pa.concat_arrays([b.column(3) for b in queries])  # one of them may be null
+        rows = [_rows(b) for b in queries]
+        self.matrix = np.concatenate([_widened(r, max(x.shape[1] for x in rows)) for r in rows])
         self.norms = np.linalg.norm(self.matrix, axis=1)
         self.k = k
         self.place, self.score, self.found = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
@@ -293,7 +297,7 @@ class _Block:
     def offer(self, batch):
         ids, rows = batch.column(4).to_numpy(), _rows(batch)
         for at in range(0, len(ids), PRODUCT_ROWS):
-            mine = rows[at : at + PRODUCT_ROWS]
+            mine = _widened(rows[at : at + PRODUCT_ROWS], self.matrix.shape[1])
             # No product is larger than the product of the norms.
             reach = self.norms * np.linalg.norm(mine, axis=1).max(initial=0.0) * (1 + 1e-9) + 1e-9
             open_ = np.flatnonzero(reach >= self.floor)
@@ -317,12 +321,25 @@ class _Block:
         self.floor[full] = self.score[np.searchsorted(self.place, full, "right") - 1]
 
     def hits(self):
-        columns = [pa.array(self.ids[self.place]), pa.array(self.found), pa.array(self.score)]
+        columns = [self.ids.take(pa.array(self.place)), pa.array(self.found), pa.array(self.score)]
         return pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
 
 
 def _rows(batch):
-    return batch.column(5).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+    """The vectors of a batch, filled up with zeros to the longest of them."""
+    vectors = batch.column(5)
+    flat, sizes = vectors.flatten().fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64), vectors.value_lengths().to_numpy()
+    width = int(sizes.max(initial=0))
+    if (sizes == width).all():
+        return flat.reshape(batch.num_rows, width)
+    rows = np.zeros((batch.num_rows, width))
+    rows[np.arange(width) < sizes[:, None]] = flat
+    return rows
+
+
+def _widened(rows, width):
+    """Rows of ``width`` columns; numbers beyond those of the queries have no partner."""
+    return rows[:, :width] if rows.shape[1] >= width else np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
 
 
 def dense_scores(vectors: DataFrame, query: str = "query_vector") -> DataFrame:
