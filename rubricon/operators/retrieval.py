@@ -235,13 +235,13 @@ def dense_channel(vectors: DataFrame, queries: DataFrame, k: int = CHANNEL_K, sc
     ``vectors([<scope>,] chunk_id, vector)``, ``queries([<scope>,] query_id, vector)``; with ``scope``
     a query sees the vectors of its scope only. The vectors of a scope are dealt to row blocks and its
     queries to column blocks, as many as keep a block within ``BLOCK_VECTORS`` and ``BLOCK_QUERIES``;
-    a task forms the products of one pair of blocks and keeps the best of each query. A missing vector has
-    no product; a missing number of a vector adds nothing to one.
+    a task forms the products of one pair of blocks and keeps the best of each query. A missing number
+    of a vector adds nothing; where the vector or that of the query is missing, the chunk has no score and comes
+    last, and where both are, it is left out.
     """
     of_scope = (F.col(scope) if scope else F.lit("")).alias("scope")
-    some = F.size("vector") > 0  # not of null either
-    v = vectors.select(of_scope, "chunk_id", "vector").where(some)
-    q = queries.select(of_scope, "query_id", "vector").where(some)
+    v = vectors.select(of_scope, "chunk_id", "vector")
+    q = queries.select(of_scope, "query_id", "vector")
     blocks = lambda df, size: df.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
     grid = blocks(v, BLOCK_VECTORS).withColumnRenamed("n", "rows").join(blocks(q, BLOCK_QUERIES).withColumnRenamed("n", "columns"), "scope")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -287,6 +287,7 @@ class _Block:
 
     def __init__(self, queries, k):
         self.ids = pa.concat_arrays([b.column(3) for b in queries])  # one of them may be null
+        self.missing = np.concatenate([_missing(b) for b in queries])
         rows = [_rows(b) for b in queries]
         self.matrix = np.concatenate([_widened(r, max(x.shape[1] for x in rows)) for r in rows])
         self.norms = np.linalg.norm(self.matrix, axis=1)
@@ -295,21 +296,25 @@ class _Block:
         self.floor = np.full(len(self.ids), -np.inf)
 
     def offer(self, batch):
-        ids, rows = batch.column(4).to_numpy(), _rows(batch)
+        ids, rows, missing = batch.column(4).to_numpy(), _rows(batch), _missing(batch)
         for at in range(0, len(ids), PRODUCT_ROWS):
             mine = _widened(rows[at : at + PRODUCT_ROWS], self.matrix.shape[1])
             # No product is larger than the product of the norms.
             reach = self.norms * np.linalg.norm(mine, axis=1).max(initial=0.0) * (1 + 1e-9) + 1e-9
             open_ = np.flatnonzero(reach >= self.floor)
             if len(open_):
-                self._keep(open_, np.round(mine @ self.matrix[open_].T, 9), ids[at : at + PRODUCT_ROWS])
+                without, asked = missing[at : at + PRODUCT_ROWS, None], self.missing[None, open_]
+                scores = np.where(without | asked, -np.inf, np.round(mine @ self.matrix[open_].T, 9))
+                self._keep(open_, np.where(without & asked, np.nan, scores), ids[at : at + PRODUCT_ROWS])
 
     def _keep(self, queries, scores, ids):
+        known = ~np.isnan(scores)
+        scores = np.where(known, scores, -np.inf)
         floor = self.floor[queries]
         if len(ids) > self.k:
             cut = len(ids) - self.k
             floor = np.maximum(floor, np.partition(scores, cut, axis=0)[cut])
-        row, column = np.nonzero(scores >= floor)
+        row, column = np.nonzero((scores >= floor) & known)
         place = np.concatenate([self.place, queries[column]])
         score = np.concatenate([self.score, scores[row, column]])
         found = np.concatenate([self.found, ids[row]])
@@ -321,14 +326,14 @@ class _Block:
         self.floor[full] = self.score[np.searchsorted(self.place, full, "right") - 1]
 
     def hits(self):
-        columns = [self.ids.take(pa.array(self.place)), pa.array(self.found), pa.array(self.score)]
+        columns = [self.ids.take(pa.array(self.place)), pa.array(self.found), pa.array(self.score, mask=np.isneginf(self.score))]
         return pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
 
 
 def _rows(batch):
     """The vectors of a batch, filled up with zeros to the longest of them."""
     vectors = batch.column(5)
-    flat, sizes = vectors.flatten().fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64), vectors.value_lengths().to_numpy()
+    flat, sizes = vectors.flatten().fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64), vectors.value_lengths().fill_null(0).to_numpy()
     width = int(sizes.max(initial=0))
     if (sizes == width).all():
         return flat.reshape(batch.num_rows, width)
@@ -337,6 +342,10 @@ def _rows(batch):
     return rows
 
 
+def _missing(batch):
+    return batch.column(5).value_lengths().fill_null(0).to_numpy() == 0
+
+
 def _widened(rows, width):
     """Rows of ``width`` columns; numbers beyond those of the queries have no partner."""
     return rows[:, :width] if rows.shape[1] >= width else np.pad(rows, ((0, 0), (0, width - rows.shape[1])))

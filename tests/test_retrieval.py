@@ -334,7 +334,7 @@ def test_candidates_are_made_once_before_they_are_reranked(spark, tmp_path):
     assert all(s == sorted(s, reverse=True) for s in sizes)
 
 
-def test_missing_vectors_have_no_products(spark):
+def test_missing_vectors_come_last(spark):
     v = [(0, [1.0, 2.0]), (1, None), (2, [None, 3.0]), (3, []), (4, [5.0]), (5, [1.0, 1.0, 9.0])]
     q = [(7, [1.0, 1.0]), (8, None), (9, []), (None, [0.0, 1.0])]
     vectors = spark.createDataFrame(v, "chunk_id long, vector array<float>")
@@ -342,4 +342,5 @@ def test_missing_vectors_have_no_products(spark):
     got = {}
     for r in retrieval.dense_channel(vectors, queries, 10).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
-    assert got == {7: [(4, 5.0), (2, 3.0), (0, 3.0), (5, 2.0)], None: [(2, 3.0), (0, 2.0), (5, 1.0), (4, 0.0)]}
+    gone, rest = [(3, None), (1, None)], [(5, None), (4, None), (2, None), (0, None)]
+    assert got == {7: [(4, 5.0), (2, 3.0), (0, 3.0), (5, 2.0), *gone], 8: rest, 9: rest, None: [(2, 3.0), (0, 2.0), (5, 1.0), (4, 0.0), *gone]}
